@@ -68,18 +68,26 @@ def _f1(precision: Column, recall: Column) -> Column:
     return 2 * precision * recall / (precision + recall + F.lit(L.F1_EPSILON))
 
 
-def average_precision(curve: DataFrame) -> DataFrame:
-    """Precision weighted by the gain in recall; unknown without positives."""
+def _average_precision() -> Column:
     gain = F.try_divide(F.col("pos"), F.col("all_pos"))
-    return curve.agg(F.sum(gain * F.col("precision")).alias("average_precision"))
+    return F.sum(gain * F.col("precision"))
 
 
-def roc_auc(curve: DataFrame) -> DataFrame:
-    """Chance that a positive outranks a negative, ties counting half; unknown for one class."""
+def _roc_auc() -> Column:
     # Doubles: the number of pairs outgrows a bigint at a few billion rows of each class.
     outranked = F.col("neg").cast("double") * (F.col("tp") - F.col("pos") / 2)
     pairs = F.max("all_pos").cast("double") * F.max("all_neg")
-    return curve.agg(F.try_divide(F.sum(outranked), pairs).alias("roc_auc"))
+    return F.try_divide(F.sum(outranked), pairs)
+
+
+def average_precision(curve: DataFrame) -> DataFrame:
+    """Precision weighted by the gain in recall; unknown without positives."""
+    return curve.agg(_average_precision().alias("average_precision"))
+
+
+def roc_auc(curve: DataFrame) -> DataFrame:
+    """Chance that a positive outranks a negative, ties counting half; unknown for one class."""
+    return curve.agg(_roc_auc().alias("roc_auc"))
 
 
 def best_f1_threshold(curve: DataFrame) -> DataFrame:
@@ -90,3 +98,17 @@ def best_f1_threshold(curve: DataFrame) -> DataFrame:
         .limit(1)
         .select(F.col("score").alias("threshold"), "f1", "precision", "recall")
     )
+
+
+def summary(curve: DataFrame) -> DataFrame:
+    """ROC AUC, average precision, best threshold and its F1 in one pass over the curve."""
+    best = F.max(F.struct("f1", (-F.col("score")).alias("minus_score")))
+    return curve.agg(
+        _roc_auc().alias("roc_auc"), _average_precision().alias("average_precision"),
+        best.alias("best"),
+    ).select(
+        "roc_auc",
+        "average_precision",
+        (-F.col("best.minus_score")).alias("threshold"),
+        F.col("best.f1").alias("f1"),
+    )

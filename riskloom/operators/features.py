@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from riskloom.functions import columns as C
 from riskloom.functions import labels as L
 from riskloom.operators.refine import history_measures, user_demographics, with_history
-from riskloom.operators.skew import sliced_join
+from riskloom.operators.skew import SLICE_ROWS, sliced_join
 
 MONEY = ["customer_lifetime_value", "customer_ticket_medio"]
 COUNTS = ["total_cancelled_orders", "total_returned_orders", "total_orders_calculated"]
@@ -38,34 +38,41 @@ def behavior_features(orders: DataFrame) -> DataFrame:
     )
 
 
-def _finish_features(customers: DataFrame) -> DataFrame:
-    filled = customers.fillna(0, subset=MONEY + COUNTS)
-    money = [C.round_cents(F.col(name)).alias(name) for name in MONEY]
-    return filled.select(*FEATURE_TABLE, *money, *COUNTS)
-
-
 def features_modeling(users: DataFrame, behavior: DataFrame) -> DataFrame:
     """One row per user, with zeros where a user has no orders."""
-    return _finish_features(users.select(*FEATURE_TABLE).join(behavior, "user_id", "left"))
+    return finish_features(users.select(*FEATURE_TABLE).join(behavior, "user_id", "left"))
 
 
-def features_from_raw(raw_users: DataFrame, raw_orders: DataFrame) -> DataFrame:
-    """The same table straight from raw data.
+def finish_features(customers: DataFrame) -> DataFrame:
+    """Fill gaps, round money, and keep the columns of the feature table."""
+    money = [C.round_cents(F.coalesce(name, F.lit(0.0))).alias(name) for name in MONEY]
+    counts = [F.coalesce(name, F.lit(0)).alias(name) for name in COUNTS]
+    return customers.select(*FEATURE_TABLE, *money, *counts)
+
+
+def customers_from_raw(raw_users: DataFrame, raw_orders: DataFrame) -> DataFrame:
+    """Refined users and their unrounded behavior in one frame, straight from raw data.
 
-    Label and behavior both come from one pass over the orders and one aggregation by user, and
-    the orders themselves are never joined: users of other countries drop out after they have
-    shrunk to one row each.
+    Label and behavior come from one pass over the orders and one aggregation by user. The
+    orders themselves are never joined: users of other countries drop out after they have shrunk
+    to one row each.
     """
     order_value = F.col("num_of_item") * F.lit(L.UNIT_PRICE)
     history = (
         raw_orders.withColumn("total_order_value", order_value)
         .groupBy("user_id")
         .agg(
-            *history_measures(), *value_measures(),
+            *history_measures(),
+            *value_measures(),
             F.count("order_id").alias("total_orders_calculated"),
         )
     )
-    return _finish_features(with_history(user_demographics(raw_users), history))
+    return with_history(user_demographics(raw_users), history)
+
+
+def features_from_raw(raw_users: DataFrame, raw_orders: DataFrame) -> DataFrame:
+    """The feature table straight from raw data."""
+    return finish_features(customers_from_raw(raw_users, raw_orders))
 
 
 def orders_modeling(
@@ -73,6 +80,7 @@ def orders_modeling(
     users: DataFrame,
     how: str = "left",
     customer_columns: Sequence[str] = (),
+    slice_rows: int = SLICE_ROWS,
 ) -> DataFrame:
     """One row per order with the customer's label and the account's age at the order.
 
@@ -82,7 +90,7 @@ def orders_modeling(
     columns of the users.
     """
     customer = users.select("user_id", "is_bad_payer", "account_created_at", *customer_columns)
-    joined = sliced_join(orders, customer, "user_id", "order_id", how)
+    joined = sliced_join(orders, customer, "user_id", "order_id", how, slice_rows)
     days = C.elapsed_days(F.col("order_timestamp"), F.col("account_created_at"))
     return joined.withColumn("dias_conta_ate_compra", days).select(
         "order_id",

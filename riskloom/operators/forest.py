@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.ml import PipelineModel
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -11,7 +10,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.functions import labels as L
-from riskloom.operators import curves
 from riskloom.operators.split import stratified_split, training_frame, with_class_weights
 from riskloom.session import durable
 
@@ -50,27 +48,16 @@ def score(model: PipelineModel, frame: DataFrame) -> DataFrame:
 def train_and_score(features: DataFrame, **forest: int) -> tuple[PipelineModel, DataFrame]:
     """Split, train, and score the held-out customers.
 
-    The split is stored once: fitting reads it several times and must see the same rows in
-    training and in test even if an executor is lost in between.
+    Both the training frame and the split are stored: the split reads the frame twice, and
+    fitting reads the split several times and must see the same rows in training and in test
+    even if an executor is lost in between.
     """
-    split = durable(stratified_split(training_frame(features)))
+    frame = durable(training_frame(features))
+    split = durable(stratified_split(frame))
     model = train(split.where("is_test = 0"), **forest)
     return model, score(model, split.where("is_test = 1"))
 
 
-def evaluate(scored: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The curve and a one-row summary: ROC AUC, average precision, best threshold and its F1."""
-    curve = curves.pr_curve(scored)
-    best = curves.best_f1_threshold(curve)
-    summary = curves.roc_auc(curve).select(
-        "roc_auc",
-        curves.average_precision(curve).scalar().alias("average_precision"),
-        best.select("threshold").scalar().alias("threshold"),
-        best.select("f1").scalar().alias("f1"),
-    )
-    return curve, summary
-
-
 def save(model: PipelineModel, threshold: DataFrame, path: str) -> None:
     """Store the model and its threshold side by side."""
     model.write().overwrite().save(f"{path}/model")

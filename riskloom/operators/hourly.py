@@ -9,18 +9,31 @@ from riskloom.functions import columns as C
 from riskloom.functions import labels as L
 from riskloom.operators.refine import order_facts, user_demographics
 
-HOUR = ["order_hour", "order_hour_formatted", "turno_pedido"]
-
 
 def hourly_profile(orders: DataFrame) -> DataFrame:
     """Orders, value and their bad-payer part per hour, from an orders table with labels."""
     bad = F.col("is_bad_payer") == 1
-    return orders.groupBy(*HOUR).agg(
+    profile = orders.groupBy("order_hour").agg(
         F.count("*").alias("orders"),
         F.count_if(bad).alias("bad_orders"),
         F.sum("total_order_value").alias("value"),
         F.sum(F.when(bad, F.col("total_order_value"))).alias("bad_value"),
     )
+    return _with_labels(profile)
+
+
+def _with_labels(profile: DataFrame) -> DataFrame:
+    """Label and shift follow from the hour, so they stay out of the shuffles."""
+    hour = F.col("order_hour")
+    return profile.select(
+        hour,
+        C.hour_label(hour).alias("order_hour_formatted"),
+        C.shift(hour).alias("turno_pedido"),
+        "orders",
+        "bad_orders",
+        "value",
+        "bad_value",
+    )
 
 
 def hourly_profile_from_raw(raw_users: DataFrame, raw_orders: DataFrame) -> DataFrame:
@@ -32,7 +45,7 @@ def hourly_profile_from_raw(raw_users: DataFrame, raw_orders: DataFrame) -> Data
     per_user_hour = (
         order_facts(raw_orders)
         .where(F.col("user_id").isNotNull())
-        .groupBy("user_id", *HOUR)
+        .groupBy("user_id", "order_hour")
         .agg(
             F.count("*").alias("orders"),
             F.count("order_id").alias("known"),
@@ -47,12 +60,13 @@ def hourly_profile_from_raw(raw_users: DataFrame, raw_orders: DataFrame) -> Data
         user_demographics(raw_users).select("user_id"), "user_id", "left_semi"
     )
     bad = F.col("is_bad_payer") == 1
-    return labelled.groupBy(*HOUR).agg(
+    profile = labelled.groupBy("order_hour").agg(
         F.sum("orders").alias("orders"),
         F.sum(F.when(bad, F.col("orders")).otherwise(0)).alias("bad_orders"),
         F.sum("value").alias("value"),
         F.sum(F.when(bad, F.col("value"))).alias("bad_value"),
     )
+    return _with_labels(profile)
 
 
 def _share(part: str, whole: str) -> Column:

@@ -7,7 +7,21 @@ from pyspark.sql import functions as F
 
 from riskloom.functions import columns as C
 from riskloom.functions import labels as L
-from riskloom.operators.skew import sliced_join
+from riskloom.operators.skew import SLICE_ROWS, sliced_join
+
+REFINED_USERS = [
+    "user_id",
+    "age",
+    "gender",
+    "state",
+    "account_created_at",
+    "total_orders",
+    "total_cancelled_orders",
+    "total_returned_orders",
+    "total_items_purchased",
+    "last_order_date",
+    "is_bad_payer",
+]
 
 
 def user_demographics(raw_users: DataFrame, country: str = L.COUNTRY) -> DataFrame:
@@ -50,19 +64,8 @@ def with_history(demographics: DataFrame, history: DataFrame) -> DataFrame:
 
 
 def refined_users(raw_users: DataFrame, raw_orders: DataFrame) -> DataFrame:
-    return with_history(user_demographics(raw_users), user_order_aggregates(raw_orders)).select(
-        "user_id",
-        "age",
-        "gender",
-        "state",
-        "account_created_at",
-        "total_orders",
-        "total_cancelled_orders",
-        "total_returned_orders",
-        "total_items_purchased",
-        "last_order_date",
-        "is_bad_payer",
-    )
+    customers = with_history(user_demographics(raw_users), user_order_aggregates(raw_orders))
+    return customers.select(*REFINED_USERS)
 
 
 def order_facts(raw_orders: DataFrame) -> DataFrame:
@@ -83,8 +86,10 @@ def order_facts(raw_orders: DataFrame) -> DataFrame:
     )
 
 
-def refined_orders(raw_orders: DataFrame, users: DataFrame) -> DataFrame:
-    """Orders of the given users (any frame with a ``user_id``)."""
-    return sliced_join(
-        order_facts(raw_orders), users.select("user_id"), "user_id", "order_id", "left_semi"
-    )
+def refined_orders(
+    raw_orders: DataFrame, users: DataFrame, slice_rows: int = SLICE_ROWS
+) -> DataFrame:
+    """Orders of the given users (any frame with a unique ``user_id``)."""
+    facts = order_facts(raw_orders)
+    user_ids = users.select("user_id")
+    return sliced_join(facts, user_ids, "user_id", "order_id", "left_semi", slice_rows)

@@ -5,29 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A key is hot above this share of all rows, so at most 1 / HOT_SHARE keys can be hot.
-HOT_SHARE = 1e-4
-# Below this many rows a key is never worth splitting.
-HOT_ROWS = 1_000_000
+# Rows of one key that a task may take; a key with more is cut into slices of this size.
+SLICE_ROWS = 1_000_000
+# The list of cut keys is broadcast, so it holds the largest keys only. Any key beyond them has
+# less than 1 / MAX_HOT_KEYS of all rows, which is no skew, and is joined like every other key.
+MAX_HOT_KEYS = 10_000
 # Rows without a key match nothing; they are only spread out.
 NULL_KEY_SLICES = 1_000
 
 SLICE = "_slice"
 
 
-def hot_keys(
-    facts: DataFrame, key: str, share: float = HOT_SHARE, min_rows: int = HOT_ROWS
-) -> DataFrame:
-    """(key, slices) for every key too big for one task; never more than 1 / share rows.
+def hot_keys(facts: DataFrame, key: str, slice_rows: int = SLICE_ROWS) -> DataFrame:
+    """(key, slices) for the keys too big for one task.
 
-    Reads only the key column and aggregates it before the shuffle. The total is a scalar
-    subquery on the same counts.
+    Reads only the key column and aggregates it before the shuffle.
     """
     counts = facts.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("rows"))
-    total = counts.agg(F.coalesce(F.sum("rows"), F.lit(0))).scalar()
-    limit = F.greatest(total * share, F.lit(float(min_rows)))
-    return counts.where(F.col("rows") > limit).select(
-        key, F.ceil(F.col("rows") / limit).cast("int").alias("slices")
+    return (
+        counts.where(F.col("rows") > slice_rows)
+        .orderBy(F.desc("rows"), key)
+        .limit(MAX_HOT_KEYS)
+        .select(key, F.ceil(F.col("rows") / slice_rows).cast("int").alias("slices"))
     )
 
 
@@ -37,18 +36,16 @@ def sliced_join(
     key: str,
     spread_by: str,
     how: str = "inner",
-    share: float = HOT_SHARE,
-    min_rows: int = HOT_ROWS,
+    slice_rows: int = SLICE_ROWS,
 ) -> DataFrame:
     """Join ``facts`` to ``dims`` (unique on ``key``), cutting hot keys into slices.
 
     The fact rows of a hot key are spread over its slices by ``spread_by`` and its single
-    dimension row is repeated once per slice, so no task gets more rows of one key than the
-    limit in :func:`hot_keys`. All other keys have one slice. Where no key is hot, the adaptive
-    planner sees an empty list and drops both look-ups.
+    dimension row is repeated once per slice. All other keys have one slice. Where no key is
+    hot, the adaptive planner sees an empty list and drops both look-ups.
     """
-    # Safe to broadcast: at most 1 / share rows, by the definition of a hot key.
-    hot = F.broadcast(hot_keys(facts, key, share, min_rows))
+    # Safe to broadcast: never more than MAX_HOT_KEYS rows of two numbers.
+    hot = F.broadcast(hot_keys(facts, key, slice_rows))
     slices = F.coalesce(F.col("slices"), F.lit(1))
     fact_slices = F.when(F.col(key).isNull(), NULL_KEY_SLICES).otherwise(slices)
     cut_facts = (

@@ -8,7 +8,7 @@ results that need single orders next to their customer join the two, in slices.
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from riskloom import schemas
 from riskloom.functions import labels as L
 from riskloom.operators import curves, features, forest, hourly, refine, report, segments, split
-from riskloom.session import new_path
+from riskloom.session import durable, new_path
 from riskloom.sources import files, testdata
 from riskloom.streaming import flags
 
@@ -25,43 +25,65 @@ STATE_SAMPLE = 60
 
 
 class Tables:
-    """The frames the queries start from, all lazy."""
+    """The frames the queries start from.
+
+    All are lazy but the ``stored_`` ones. Those are written once because their query reads them
+    several times: one pass over the raw tables, and one customer per row to write, is cheaper.
+    """
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.folder = folder
-        self.raw_users = testdata.raw_users(spark, folder)
-        self.raw_orders = testdata.raw_orders(spark, folder)
 
-    @property
+    @cached_property
+    def raw_users(self) -> DataFrame:
+        return testdata.raw_users(self.spark, self.folder)
+
+    @cached_property
+    def raw_orders(self) -> DataFrame:
+        return testdata.raw_orders(self.spark, self.folder)
+
+    @cached_property
     def demographics(self) -> DataFrame:
         return refine.user_demographics(self.raw_users)
 
-    @property
+    @cached_property
     def users(self) -> DataFrame:
         return refine.refined_users(self.raw_users, self.raw_orders)
 
-    @property
+    @cached_property
     def refined_orders(self) -> DataFrame:
         return refine.refined_orders(self.raw_orders, self.demographics)
 
-    @property
+    @cached_property
     def features(self) -> DataFrame:
         return features.features_from_raw(self.raw_users, self.raw_orders)
 
-    @property
+    @cached_property
     def clients(self) -> DataFrame:
         return features.client_bands(self.features)
 
+    @cached_property
+    def stored_clients(self) -> DataFrame:
+        return durable(self.clients)
+
     def orders(self, *customer_columns: str) -> DataFrame:
         facts = refine.order_facts(self.raw_orders)
         return features.orders_modeling(facts, self.users, "inner", customer_columns)
 
-    @property
+    @cached_property
     def profile(self) -> DataFrame:
         return hourly.hourly_profile_from_raw(self.raw_users, self.raw_orders)
 
-    @property
+    @cached_property
+    def training(self) -> DataFrame:
+        return split.training_frame(self.features)
+
+    @cached_property
+    def stored_training(self) -> DataFrame:
+        return durable(self.training)
+
+    @cached_property
     def scored(self) -> DataFrame:
         """Customers with a stand-in score that any SQL engine computes alike."""
         points = F.pmod(
@@ -71,13 +93,15 @@ class Tables:
             "user_id", F.col(L.TARGET).alias("y"), (points / 1000.0).alias("score")
         )
 
-    @property
+    @cached_property
     def curve(self) -> DataFrame:
         return curves.pr_curve(self.scored)
 
+    @cached_property
     def predictions(self) -> DataFrame:
-        tuned = curves.best_f1_threshold(self.curve).select("threshold").scalar()
-        return report.threshold_predictions(self.scored, tuned)
+        stored = durable(self.scored)
+        best = curves.best_f1_threshold(curves.pr_curve(stored))
+        return report.threshold_predictions(stored, best.select("threshold").scalar())
 
     def new_path(self, name: str) -> str:
         return new_path(self.spark, name)
@@ -90,7 +114,7 @@ def behavior_features(t: Tables) -> DataFrame:
 
 
 def rate_labels(t: Tables) -> DataFrame:
-    clients = t.clients
+    clients = t.stored_clients
     parts = [
         segments.rate_labels(
             segments.rate_by(t.orders(), ["faixa_tempo_conta"]), "faixa_tempo_conta", 1
@@ -102,7 +126,7 @@ def rate_labels(t: Tables) -> DataFrame:
 
 
 def split_counts(t: Tables) -> DataFrame:
-    assigned = split.stratified_split(split.training_frame(t.features))
+    assigned = split.stratified_split(t.stored_training)
     return assigned.groupBy(L.TARGET).agg(
         F.count_if(F.col("is_test") == 0).alias("n_train"),
         F.count_if(F.col("is_test") == 1).alias("n_test"),
@@ -137,11 +161,11 @@ def rf_scores(t: Tables) -> DataFrame:
 
 
 def rf_metrics(t: Tables) -> DataFrame:
-    return forest.evaluate(rf_scores(t))[1]
+    return curves.summary(curves.pr_curve(rf_scores(t)))
 
 
 def rf_report(t: Tables) -> DataFrame:
-    scored = rf_scores(t)
+    scored = durable(rf_scores(t))
     best = curves.best_f1_threshold(curves.pr_curve(scored))
     return report.classification_report(
         report.threshold_predictions(scored, best.select("threshold").scalar())
@@ -151,9 +175,9 @@ def rf_report(t: Tables) -> DataFrame:
 def batch_scoring(t: Tables) -> DataFrame:
     """Train, store, reload, and score every customer with the stored model and threshold."""
     path = t.new_path("risk-model")
-    model, scored = forest.train_and_score(t.features)
+    model, scored = forest.train_and_score(t.stored_training)
     forest.save(model, curves.best_f1_threshold(curves.pr_curve(scored)), path)
-    return forest.flag_customers(*forest.load(t.spark, path), t.features)
+    return forest.flag_customers(*forest.load(t.spark, path), t.stored_training)
 
 
 def streaming_flags(t: Tables) -> DataFrame:
@@ -198,8 +222,8 @@ QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
         "order_id", "order_hour", "turno_pedido", "shift_hour_index"
     ),
     # learning
-    "training_frame": lambda t: split.training_frame(t.features),
-    "stratified_split": lambda t: split.stratified_split(split.training_frame(t.features)).select(
+    "training_frame": lambda t: t.training,
+    "stratified_split": lambda t: split.stratified_split(t.stored_training).select(
         "user_id", L.TARGET, "is_test"
     ),
     "split_counts": split_counts,
@@ -213,9 +237,9 @@ QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "average_precision": lambda t: rounded(curves.average_precision(t.curve), "average_precision"),
     "roc_auc": lambda t: rounded(curves.roc_auc(t.curve), "roc_auc"),
     "best_f1_threshold": lambda t: curves.best_f1_threshold(t.curve),
-    "threshold_predictions": lambda t: t.predictions(),
+    "threshold_predictions": lambda t: t.predictions,
     "classification_report": lambda t: rounded(
-        report.classification_report(t.predictions()), "precision", "recall", "f1_score"
+        report.classification_report(t.predictions), "precision", "recall", "f1_score"
     ),
     # files and streams
     "csv_roundtrip": csv_features,
