@@ -1,0 +1,124 @@
+from __future__ import annotations
+
+import pytest
+from pyspark.sql import functions as F
+
+from riskloom.functions import columns as C
+from riskloom.functions import labels as L
+from tests.frames import at, one
+
+
+def evaluate(spark, column):
+    return one(spark, value=column)["value"]
+
+
+@pytest.mark.parametrize(
+    ("later", "earlier", "days"),
+    [
+        ("2020-01-01T23:00:00", "2020-01-02T00:00:00", -1),
+        ("2020-01-02T00:30:00", "2020-01-01T23:30:00", 0),
+        ("2020-01-02T23:30:00", "2020-01-01T23:30:00", 1),
+        ("2020-01-02T23:29:59.999999", "2020-01-01T23:30:00", 0),
+        ("2020-01-01T00:00:00", "2020-01-02T00:00:00", -1),
+        ("2020-01-01T00:00:00", "2020-01-02T00:00:01", -2),
+        ("2021-03-01T10:00:00", "2020-03-01T10:00:00", 365),
+    ],
+)
+def test_elapsed_days_are_floored(spark, later, earlier, days):
+    def ts(text):
+        return F.lit(at(text)).cast("timestamp_ntz")
+
+    assert evaluate(spark, C.elapsed_days(ts(later), ts(earlier))) == days
+
+
+def test_elapsed_days_of_a_missing_date(spark):
+    missing = F.lit(None).cast("timestamp_ntz")
+    now = F.lit(at("2020-01-01")).cast("timestamp_ntz")
+    assert evaluate(spark, C.elapsed_days(now, missing)) is None
+
+
+@pytest.mark.parametrize("zone", ["UTC", "America/Sao_Paulo"])
+def test_elapsed_days_ignore_the_session_zone(spark, zone):
+    # Clocks in Sao Paulo went forward at midnight of 2018-11-04.
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        days = spark.sql(
+            "SELECT TIMESTAMP_NTZ '2018-11-05 00:30:00' AS a, TIMESTAMP_NTZ '2018-11-03 00:30:00' AS b"
+        ).select(C.elapsed_days(F.col("a"), F.col("b")))
+        assert days.first()[0] == 2
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+
+
+@pytest.mark.parametrize(
+    ("days", "index"),
+    [(-1, 0), (0, 1), (30, 1), (31, 2), (90, 2), (91, 3), (365, 3), (366, 4), (None, 4)],
+)
+def test_account_age_bands(spark, days, index):
+    label = evaluate(spark, C.account_age_band(F.lit(days).cast("bigint")))
+    assert label == L.ACCOUNT_AGE_BANDS[1][index]
+
+
+@pytest.mark.parametrize(
+    ("age", "index"),
+    [(17, 0), (25, 0), (26, 1), (35, 1), (36, 2), (45, 2), (46, 3), (60, 3), (61, 4), (None, 4)],
+)
+def test_age_bands(spark, age, index):
+    assert evaluate(spark, C.age_band(F.lit(age).cast("int"))) == L.AGE_BANDS[1][index]
+
+
+@pytest.mark.parametrize(
+    ("value", "index"),
+    [(0.0, 0), (100.0, 0), (100.5, 1), (300.0, 1), (600.0, 2), (1000.0, 3), (1000.5, 4)],
+)
+def test_clv_bands(spark, value, index):
+    assert evaluate(spark, C.clv_band(F.lit(value))) == L.CLV_BANDS[1][index]
+
+
+@pytest.mark.parametrize(
+    ("hour", "shift", "index", "label"),
+    [
+        (0, L.NIGHT_SHIFT, 6, "00hs"),
+        (5, L.NIGHT_SHIFT, 11, "05hs"),
+        (6, L.DAY_SHIFT, 12, "06hs"),
+        (17, L.DAY_SHIFT, 23, "17hs"),
+        (18, L.NIGHT_SHIFT, 0, "18hs"),
+        (23, L.NIGHT_SHIFT, 5, "23hs"),
+    ],
+)
+def test_hours(spark, hour, shift, index, label):
+    column = F.lit(hour)
+    row = one(
+        spark, shift=C.shift(column), index=C.shift_hour_index(column), label=C.hour_label(column)
+    )
+    assert tuple(row) == (shift, index, label)
+
+
+@pytest.mark.parametrize(
+    ("value", "cents"), [(79.625, 79.62), (79.635, 79.64), (0.125, 0.12), (0.375, 0.38), (1.0, 1.0)]
+)
+def test_money_is_rounded_half_even(spark, value, cents):
+    assert evaluate(spark, C.round_cents(F.lit(value))) == cents
+
+
+@pytest.mark.parametrize(
+    ("rate", "decimals", "label"),
+    [(0.0625, 1, "6.2%"), (0.2255, 2, "22.55%"), (0.0, 1, "0.0%"), (1.0, 1, "100.0%")],
+)
+def test_percent_labels(spark, rate, decimals, label):
+    assert evaluate(spark, C.percent_label(F.lit(rate), decimals)) == label
+    assert label == f"{rate:.{decimals}%}"
+
+
+@pytest.mark.parametrize(
+    ("orders", "cancelled", "returned", "label"),
+    [(2, 1, 0, 1), (2, 0, 1, 1), (1, 1, 0, 0), (3, 1, 0, 0), (4, 1, 1, 1), (0, 0, 0, 0)],
+)
+def test_bad_payer_rule(spark, orders, cancelled, returned, label):
+    counts = [F.lit(n).cast("bigint") for n in (orders, cancelled, returned)]
+    assert evaluate(spark, C.bad_payer(*counts)) == label
+
+
+def test_unknown_status_is_no_flag(spark):
+    assert evaluate(spark, C.flag(F.lit(None).cast("string") == L.CANCELLED)) == 0

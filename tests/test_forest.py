@@ -1,0 +1,50 @@
+from __future__ import annotations
+
+import pytest
+from pyspark.sql import functions as F
+
+from riskloom.functions import labels as L
+from riskloom.operators import curves, forest
+from riskloom.plans.queries import Tables
+from tests.test_metrics import brute_auc, brute_curve
+
+
+@pytest.fixture(scope="module")
+def clients(spark):
+    frame = Tables(spark, "/root/testdata/sf0.01").features
+    return frame.cache()
+
+
+@pytest.fixture(scope="module")
+def trained(clients):
+    return forest.train_and_score(clients, trees=10)
+
+
+def test_scores_of_the_held_out_customers(trained, clients):
+    _, scored = trained
+    rows = scored.collect()
+    assert len(rows) == -(-clients.count() // 5)
+    assert all(0 <= row.score <= 1 for row in rows)
+    pairs = [(row.y, row.score) for row in rows]
+    summary = curves.summary(curves.pr_curve(scored)).first()
+    assert summary.roc_auc == pytest.approx(brute_auc(pairs))
+    assert summary.f1 == pytest.approx(max(point[5] for point in brute_curve(pairs)))
+    assert summary.roc_auc > 0.55
+
+
+def test_model_and_threshold_come_back(spark, trained, clients, tmp_path):
+    model, scored = trained
+    best = curves.best_f1_threshold(curves.pr_curve(scored))
+    forest.save(model, best, str(tmp_path))
+    loaded, threshold = forest.load(spark, str(tmp_path))
+    assert threshold == best.first().threshold
+    flagged = forest.flag_customers(loaded, threshold, clients)
+    assert flagged.count() == clients.count()
+    assert flagged.where((F.col("score") >= threshold).cast("int") != F.col("is_high_risk")).count() == 0
+    before = {row.user_id: row.score for row in scored.collect()}
+    after = {row.user_id: row.score for row in flagged.collect()}
+    assert all(after[user] == score for user, score in before.items())
+
+
+def test_features_do_not_give_the_target_away():
+    assert not {"total_cancelled_orders", "total_returned_orders", L.TARGET} & set(L.FEATURES)

@@ -1,0 +1,70 @@
+"""Joins with a user who holds a third of all orders."""
+
+from __future__ import annotations
+
+import pytest
+from pyspark.sql import functions as F
+
+from riskloom.operators import features, refine
+from riskloom.operators.skew import SLICE, hot_keys, sliced_join
+from tests.frames import assert_equal, many_users, skewed_orders, values
+
+
+@pytest.fixture(scope="module")
+def facts(spark):
+    return refine.order_facts(skewed_orders(spark))
+
+
+def test_hot_keys(spark, facts):
+    # 2000 rows from the third plus the user's share of the rest
+    rows = facts.where("user_id = 7").count()
+    assert rows > 2000
+    assert values(hot_keys(facts, "user_id", 500), "user_id", "slices") == [(7, -(-rows // 500))]
+    assert hot_keys(facts, "user_id").count() == 0
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi"])
+@pytest.mark.parametrize("slice_rows", [1, 10, 500, 1_000_000])
+def test_sliced_join_equals_plain_join(spark, facts, how, slice_rows):
+    dims = many_users(spark).select(F.col("id").alias("user_id"), "age", "state")
+    with_gaps = facts.withColumn(
+        "user_id", F.when(F.col("order_id") % 11 != 0, F.col("user_id"))
+    )
+    assert_equal(
+        sliced_join(with_gaps, dims, "user_id", "order_id", how, slice_rows),
+        with_gaps.join(dims, "user_id", how),
+    )
+
+
+def test_no_slice_holds_a_third_of_the_rows(spark, facts):
+    dims = many_users(spark).select(F.col("id").alias("user_id"), "age")
+    joined = sliced_join(facts, dims, "user_id", "order_id", "inner", 100)
+    assert SLICE not in joined.columns
+    hot = hot_keys(facts, "user_id", 100).where("user_id = 7").first()
+    per_slice = (
+        facts.where("user_id = 7")
+        .groupBy(F.pmod(F.xxhash64("order_id"), F.lit(hot.slices)).alias("s"))
+        .count()
+    )
+    assert per_slice.agg(F.max("count")).first()[0] < 200
+
+
+def test_tables_with_a_hot_user(spark):
+    raw_users, raw_orders = many_users(spark), skewed_orders(spark)
+    refined = refine.refined_users(raw_users, raw_orders)
+    assert_equal(
+        refine.refined_orders(raw_orders, refined, 100), refine.refined_orders(raw_orders, refined)
+    )
+    facts = refine.order_facts(raw_orders)
+    assert_equal(
+        features.orders_modeling(facts, refined, "left", slice_rows=100),
+        features.orders_modeling(facts, refined, "left"),
+    )
+
+
+def test_look_ups_vanish_without_hot_keys(spark, facts):
+    dims = many_users(spark).select(F.col("id").alias("user_id"), "age")
+    joined = sliced_join(facts, dims, "user_id", "order_id")
+    joined.collect()
+    final = joined._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "TakeOrdered" not in final and "LeftOuter" not in final

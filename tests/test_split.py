@@ -1,0 +1,51 @@
+from __future__ import annotations
+
+import math
+
+import pytest
+from pyspark.sql import functions as F
+
+from riskloom.functions import labels as L
+from riskloom.operators.split import class_weights, stratified_split, with_class_weights
+
+
+def labelled(spark, rows: int, every: int):
+    return spark.range(rows).select(
+        F.col("id").alias("user_id"), (F.col("id") % every == 0).cast("int").alias(L.TARGET)
+    )
+
+
+@pytest.mark.parametrize(("rows", "every"), [(1000, 7), (997, 10), (11, 3), (50_000, 3)])
+def test_split_keeps_the_class_shares(spark, rows, every):
+    frame = labelled(spark, rows, every)
+    parts = stratified_split(frame).cache()
+    assert parts.count() == rows
+    assert parts.select("user_id").distinct().count() == rows
+    test_rows = parts.where("is_test = 1")
+    assert test_rows.count() == math.ceil(0.2 * rows)
+    sizes = dict(frame.groupBy(L.TARGET).count().collect())
+    drawn = dict(test_rows.groupBy(L.TARGET).count().collect())
+    for label, size in sizes.items():
+        assert abs(drawn[label] - 0.2 * size) <= 1
+
+
+def test_split_depends_on_the_seed_only(spark):
+    frame = labelled(spark, 500, 5)
+
+    def chosen(df, seed):
+        return {row.user_id for row in stratified_split(df, seed=seed).where("is_test = 1").collect()}
+
+    assert chosen(frame, 42) == chosen(frame.repartition(7), 42)
+    assert chosen(frame, 42) != chosen(frame, 43)
+
+
+def test_split_of_nothing(spark):
+    assert stratified_split(labelled(spark, 0, 2)).count() == 0
+
+
+def test_weights_balance_the_classes(spark):
+    frame = labelled(spark, 1000, 4)
+    weights = {row[L.TARGET]: row.weight for row in class_weights(frame).collect()}
+    assert weights == {1: 1000 / (2 * 250), 0: 1000 / (2 * 750)}
+    totals = with_class_weights(frame).groupBy(L.TARGET).agg(F.sum("weight")).collect()
+    assert [row[1] for row in totals] == pytest.approx([500.0, 500.0])

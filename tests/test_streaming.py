@@ -1,0 +1,45 @@
+from __future__ import annotations
+
+from riskloom import schemas
+from riskloom.streaming.flags import flag_orders, write_available
+from tests.frames import at, assert_equal, many_users, orders, skewed_orders, values
+from pyspark.sql import functions as F
+
+
+def test_flags(spark):
+    scores = spark.createDataFrame([(1, 0, 0.9), (2, 0, 0.5), (3, 0, 0.4)], "user_id bigint, y int, score double")
+    incoming = orders(
+        spark, *((i, user, "Complete", at("2020-01-01"), 1) for i, user in enumerate((1, 2, 3, 4, None)))
+    )
+    flags = flag_orders(incoming, scores, 0.5).orderBy("order_id")
+    assert flags.columns == [c.split()[0] for c in schemas.ORDER_FLAGS.split(", ")]
+    assert values(flags, "user_id", "score", "is_high_risk") == [
+        (1, 0.9, 1),
+        (2, 0.5, 1),
+        (3, 0.4, 0),
+        (4, None, 0),
+        (None, None, 0),
+    ]
+
+
+def test_slices_do_not_change_the_flags(spark):
+    scores = many_users(spark).select(F.col("id").alias("user_id"), (F.col("id") / 100).alias("score"))
+    incoming = skewed_orders(spark)
+    assert_equal(flag_orders(incoming, scores, 0.4, 16), flag_orders(incoming, scores, 0.4, 1))
+
+
+def test_stream_picks_up_only_new_files(spark, tmp_path):
+    source, out, state = (str(tmp_path / name) for name in ("in", "out", "state"))
+    scores = spark.createDataFrame([(7, 0.9)], "user_id bigint, score double")
+    batch = skewed_orders(spark, 300)
+
+    def run():
+        stream = spark.readStream.schema(schemas.RAW_ORDERS).parquet(source)
+        write_available(flag_orders(stream, scores, 0.5), out, state)
+        return spark.read.schema(schemas.ORDER_FLAGS).parquet(out)
+
+    batch.where("order_id < 200").write.parquet(source)
+    assert run().count() == 200
+    assert run().count() == 200
+    batch.where("order_id >= 200").write.mode("append").parquet(source)
+    assert_equal(run(), flag_orders(batch, scores, 0.5))
