@@ -37,16 +37,20 @@ def sliced_join(
     spread_by: str,
     how: str = "inner",
     slice_rows: int = SLICE_ROWS,
+    hot: DataFrame | None = None,
+    usual_slices: int = 1,
 ) -> DataFrame:
     """Join ``facts`` to ``dims`` (unique on ``key``), cutting hot keys into slices.
 
     The fact rows of a hot key are spread over its slices by ``spread_by`` and its single
-    dimension row is repeated once per slice. All other keys have one slice. Where no key is
-    hot, the adaptive planner sees an empty list and drops both look-ups.
+    dimension row is repeated once per slice. All other keys have ``usual_slices``. Where no key
+    is hot, the adaptive planner sees an empty list and drops both look-ups. A stream cannot
+    count its keys before it joins them; it passes a list that :func:`hot_keys` made from stored
+    rows.
     """
     # Safe to broadcast: never more than MAX_HOT_KEYS rows of two numbers.
-    hot = F.broadcast(hot_keys(facts, key, slice_rows))
-    slices = F.coalesce(F.col("slices"), F.lit(1))
+    hot = F.broadcast(hot_keys(facts, key, slice_rows) if hot is None else hot)
+    slices = F.coalesce(F.col("slices"), F.lit(usual_slices))
     fact_slices = F.when(F.col(key).isNull(), NULL_KEY_SLICES).otherwise(slices)
     cut_facts = (
         facts.join(hot, key, "left")

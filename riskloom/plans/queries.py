@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from riskloom import schemas
 from riskloom.functions import labels as L
 from riskloom.operators import curves, features, forest, hourly, refine, report, segments, split
+from riskloom.operators.skew import hot_keys
 from riskloom.session import durable, new_path
 from riskloom.sources import files, testdata
 from riskloom.streaming import flags
@@ -185,9 +186,11 @@ def streaming_flags(t: Tables) -> DataFrame:
     files.write_parquet(t.scored, scores)
     stored = files.read_parquet(t.spark, scores, schemas.SCORED)
     threshold = curves.best_f1_threshold(curves.pr_curve(stored)).first()["threshold"]
+    hot = durable(hot_keys(t.raw_orders, "user_id"))
     out = t.new_path("flags")
     incoming = testdata.order_stream(t.spark, t.folder)
-    flags.write_available(flags.flag_orders(incoming, stored, threshold), out, t.new_path("state"))
+    flagged = flags.flag_orders(incoming, stored, threshold, hot)
+    flags.write_available(flagged, out, t.new_path("state"))
     return t.spark.read.schema(schemas.ORDER_FLAGS).parquet(out)
 
 

@@ -15,7 +15,8 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def raw_users(spark: SparkSession, folder: str) -> DataFrame:
     customer = table(spark, folder, "customer")
-    nation = table(spark, folder, "nation")
+    # Safe to broadcast: 25 nations at every scale.
+    nation = F.broadcast(table(spark, folder, "nation"))
     return customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).selectExpr(
         "c_custkey AS id",
         "CAST(18 + c_custkey % 60 AS int) AS age",
@@ -54,11 +55,18 @@ def raw_orders(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def order_stream(spark: SparkSession, folder: str) -> DataFrame:
-    """The order table read as a stream of files."""
+# Bytes of new files a micro-batch may take, so that a backlog is worked off in steps.
+BATCH_BYTES = 64 * 1024**3
+
+
+def order_stream(spark: SparkSession, folder: str, batch_bytes: int = BATCH_BYTES) -> DataFrame:
+    """The order table read as a stream of files.
+
+    The pattern lets the table be a single file, which a stream does not accept by its name.
+    """
     return (
         spark.readStream.schema(schemas.TEST_TABLES["orders"])
-        .option("pathGlobFilter", "orders.parquet")
-        .parquet(folder)
+        .option("maxBytesPerTrigger", batch_bytes)
+        .parquet(f"{folder}/orders.parquet*")
         .selectExpr(*ORDER_COLUMNS)
     )

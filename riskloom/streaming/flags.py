@@ -5,34 +5,42 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Slices a user's orders are spread over within a micro-batch. A stream cannot count its keys
-# before it joins them, so every user gets the same number.
-SLICES = 8
+from riskloom.operators.skew import sliced_join
+
+# Slices for users who are not known to be hot, in case one becomes so within a micro-batch.
+USUAL_SLICES = 4
 
 
 def flag_orders(
-    orders: DataFrame, scores: DataFrame, threshold: float, slices: int = SLICES
+    orders: DataFrame,
+    scores: DataFrame,
+    threshold: float,
+    hot: DataFrame,
+    usual_slices: int = USUAL_SLICES,
 ) -> DataFrame:
     """Attach the stored score of the customer to each order and flag it at the threshold.
 
     ``orders`` is a stream or a batch; ``scores`` is a stored table (user_id, score), unique on
-    the user. An order of an unscored customer passes through without a flag. The join keeps no
-    state between batches, so replayed input from the checkpoint gives the same rows.
+    the user; ``hot`` is the list of hot users in the stored orders. An order of an unscored
+    customer passes through without a flag. The join keeps no state between micro-batches, so
+    replayed input gives the same rows.
     """
-    cut = orders.withColumn("_slice", F.pmod(F.xxhash64("order_id"), F.lit(slices)).cast("int"))
-    repeated = scores.select("user_id", "score").withColumn(
-        "_slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1)))
+    scored = sliced_join(
+        orders,
+        scores.select("user_id", "score"),
+        "user_id",
+        "order_id",
+        "left",
+        hot=hot,
+        usual_slices=usual_slices,
     )
     high = F.coalesce((F.col("score") >= threshold).cast("int"), F.lit(0))
-    return (
-        cut.join(repeated, ["user_id", "_slice"], "left")
-        .select(
-            "order_id",
-            "user_id",
-            F.col("created_at").alias("order_timestamp"),
-            "score",
-            high.alias("is_high_risk"),
-        )
+    return scored.select(
+        "order_id",
+        "user_id",
+        F.col("created_at").alias("order_timestamp"),
+        "score",
+        high.alias("is_high_risk"),
     )
 
 

@@ -52,9 +52,11 @@ def test_profile_scans_orders_once(spark, folder, no_broadcast):
     assert "lineitem.parquet" not in plan
 
 
-def test_only_hot_key_lists_are_broadcast(spark, folder, no_broadcast):
+def test_only_hot_key_lists_and_nations_are_broadcast(spark, folder, no_broadcast):
     plan = plan_of(Tables(spark, folder).orders())
-    assert plan.count("BroadcastExchange") == plan.count("TakeOrderedAndProject") == 2
+    assert plan.count("TakeOrderedAndProject") == 2
+    assert plan.count("nation.parquet") == 1
+    assert plan.count("BroadcastExchange") == 3
 
 
 def test_shared_folder_is_the_one_of_the_session(spark):

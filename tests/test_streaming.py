@@ -1,17 +1,25 @@
 from __future__ import annotations
 
+import pytest
+from pyspark.sql import functions as F
+
 from riskloom import schemas
+from riskloom.operators.skew import hot_keys
+from riskloom.sources import testdata
 from riskloom.streaming.flags import flag_orders, write_available
-from tests.frames import at, assert_equal, many_users, orders, skewed_orders, values
-from pyspark.sql import functions as F
+from tests.frames import assert_equal, at, many_users, orders, skewed_orders, values
+
+SCORES = "user_id bigint, score double"
 
 
 def test_flags(spark):
-    scores = spark.createDataFrame([(1, 0, 0.9), (2, 0, 0.5), (3, 0, 0.4)], "user_id bigint, y int, score double")
+    scores = spark.createDataFrame([(1, 0.9), (2, 0.5), (3, 0.4)], SCORES)
     incoming = orders(
-        spark, *((i, user, "Complete", at("2020-01-01"), 1) for i, user in enumerate((1, 2, 3, 4, None)))
+        spark,
+        *((i, user, "Complete", at("2020-01-01"), 1) for i, user in enumerate((1, 2, 3, 4, None))),
     )
-    flags = flag_orders(incoming, scores, 0.5).orderBy("order_id")
+    hot = hot_keys(incoming, "user_id")
+    flags = flag_orders(incoming, scores, 0.5, hot).orderBy("order_id")
     assert flags.columns == [c.split()[0] for c in schemas.ORDER_FLAGS.split(", ")]
     assert values(flags, "user_id", "score", "is_high_risk") == [
         (1, 0.9, 1),
@@ -22,24 +30,48 @@ def test_flags(spark):
     ]
 
 
-def test_slices_do_not_change_the_flags(spark):
-    scores = many_users(spark).select(F.col("id").alias("user_id"), (F.col("id") / 100).alias("score"))
+@pytest.mark.parametrize("slice_rows", [10, 1_000_000])
+@pytest.mark.parametrize("usual_slices", [1, 4])
+def test_slices_do_not_change_the_flags(spark, slice_rows, usual_slices):
+    ids = many_users(spark).select(F.col("id").alias("user_id"))
+    scores = ids.withColumn("score", F.col("user_id") / 100)
     incoming = skewed_orders(spark)
-    assert_equal(flag_orders(incoming, scores, 0.4, 16), flag_orders(incoming, scores, 0.4, 1))
+    hot = hot_keys(incoming, "user_id", slice_rows)
+    flags = flag_orders(incoming, scores, 0.4, hot, usual_slices)
+    plain = incoming.join(scores, "user_id", "left").select(
+        "order_id",
+        "user_id",
+        F.col("created_at").alias("order_timestamp"),
+        "score",
+        F.when(F.col("score") >= 0.4, 1).otherwise(0).alias("is_high_risk"),
+    )
+    assert_equal(flags, plain)
 
 
 def test_stream_picks_up_only_new_files(spark, tmp_path):
     source, out, state = (str(tmp_path / name) for name in ("in", "out", "state"))
-    scores = spark.createDataFrame([(7, 0.9)], "user_id bigint, score double")
+    scores = spark.createDataFrame([(7, 0.9)], SCORES)
     batch = skewed_orders(spark, 300)
+    hot = hot_keys(batch, "user_id", 10)
 
     def run():
         stream = spark.readStream.schema(schemas.RAW_ORDERS).parquet(source)
-        write_available(flag_orders(stream, scores, 0.5), out, state)
+        write_available(flag_orders(stream, scores, 0.5, hot), out, state)
         return spark.read.schema(schemas.ORDER_FLAGS).parquet(out)
 
     batch.where("order_id < 200").write.parquet(source)
     assert run().count() == 200
     assert run().count() == 200
     batch.where("order_id >= 200").write.mode("append").parquet(source)
-    assert_equal(run(), flag_orders(batch, scores, 0.5))
+    assert_equal(run(), flag_orders(batch, scores, 0.5, hot))
+
+
+@pytest.mark.parametrize("batch_bytes", [1, testdata.BATCH_BYTES])
+def test_order_table_as_a_folder_of_files(spark, folder, tmp_path, batch_bytes):
+    table = testdata.table(spark, folder, "orders")
+    table.repartition(3).write.parquet(str(tmp_path / "orders.parquet"))
+    stream = testdata.order_stream(spark, str(tmp_path), batch_bytes)
+    out = str(tmp_path / "out")
+    write_available(stream, out, str(tmp_path / "state"))
+    assert_equal(spark.read.parquet(out), table.selectExpr(*testdata.ORDER_COLUMNS))
+    assert not stream.columns.count("num_of_item")
