@@ -28,6 +28,7 @@ def pr_curve(scored: DataFrame, score: str = "score", label: str = "y") -> DataF
     points = durable(ranged.withColumn("block", F.spark_partition_id()))
 
     blocks = points.groupBy("block").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    # Windows over one row per partition.
     in_front = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.partitionBy(F.lit(0))
     offsets = blocks.select(

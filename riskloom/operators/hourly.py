@@ -83,7 +83,8 @@ def shift_gap(profile: DataFrame) -> DataFrame:
     """Gap between the shifts as a share of all detractors; no row unless both have some."""
 
     def of_shift(name: str) -> Column:
-        return F.coalesce(F.sum(F.when(F.col("turno_pedido") == name, F.col("bad_orders"))), F.lit(0))
+        orders = F.sum(F.when(F.col("turno_pedido") == name, F.col("bad_orders")))
+        return F.coalesce(orders, F.lit(0))
 
     shifts = profile.agg(
         of_shift(L.DAY_SHIFT).alias("dia"), of_shift(L.NIGHT_SHIFT).alias("noite")

@@ -24,6 +24,20 @@ REFINED_USERS = [
 ]
 
 
+def naive_utc(df: DataFrame, column: str = "created_at") -> DataFrame:
+    """Turn a timestamp with a zone, or text, into the zoneless UTC time the tables hold.
+
+    A zoneless timestamp stays as it is; the session time zone has no say.
+    """
+    kind = df.schema[column].dataType.typeName()
+    if kind == "timestamp":
+        epoch = F.lit("1970-01-01").cast("timestamp_ntz")
+        return df.withColumn(column, F.timestamp_add("MICROSECOND", F.unix_micros(column), epoch))
+    if kind == "string":
+        return df.withColumn(column, F.to_timestamp_ntz(column))
+    return df
+
+
 def user_demographics(raw_users: DataFrame, country: str = L.COUNTRY) -> DataFrame:
     return raw_users.where(F.col("country") == country).select(
         F.col("id").alias("user_id"),

@@ -57,12 +57,13 @@ def stratified_split(
 def test_quotas(class_counts: DataFrame, label: str, test_fraction: float) -> DataFrame:
     """Test rows per class: proportional, largest remainders first, summing to the whole share.
 
-    ``class_counts`` has one row (label, n) per class.
+    ``class_counts`` has one row (label, n) per class, so its windows need no partitions.
     """
     classes = Window.partitionBy(F.lit(0))
     total = F.sum("n").over(classes)
     train_total = total - F.ceil(total * F.lit(test_fraction))
-    exact = F.col("n") * train_total / total
+    # Doubles: the product outgrows a bigint at a few billion rows.
+    exact = F.col("n").cast("double") * train_total / total
     return (
         class_counts.withColumn("_exact", exact)
         .withColumn("_floor", F.floor("_exact"))
@@ -82,6 +83,7 @@ def test_quotas(class_counts: DataFrame, label: str, test_fraction: float) -> Da
 def class_weights(frame: DataFrame, label: str = L.TARGET) -> DataFrame:
     """Balanced weight per class: rows / (classes * rows of the class)."""
     counts = frame.groupBy(label).agg(F.count("*").alias("n"))
+    # One row per class from here on.
     classes = Window.partitionBy(F.lit(0))
     weight = F.sum("n").over(classes) / (F.count("*").over(classes) * F.col("n"))
     return counts.withColumn("weight", weight)

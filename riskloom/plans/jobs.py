@@ -21,8 +21,10 @@ def build_tables(raw_users: DataFrame, raw_orders: DataFrame, path: str, csv: bo
     """Write the refined users, the feature table and the orders table under ``path``.
 
     Two passes over the raw orders: one aggregates them by user, one joins them to the result,
-    plus a pass over the user ids alone that looks for hot users.
+    plus a pass over the user ids alone that looks for hot users. Creation times may carry a zone;
+    the tables hold them in UTC.
     """
+    raw_users, raw_orders = refine.naive_utc(raw_users), refine.naive_utc(raw_orders)
     write = files.write_csv if csv else files.write_parquet
     customers = durable(features.customers_from_raw(raw_users, raw_orders))
     users = customers.select(*refine.REFINED_USERS)

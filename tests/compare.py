@@ -17,7 +17,7 @@ def duck(folder: str) -> duckdb.DuckDBPyConnection:
 
 
 def sort_key(row: tuple) -> tuple:
-    return tuple((value is None, str(type(value)), value if value is not None else 0) for value in row)
+    return tuple((value is None, 0 if value is None else value) for value in row)
 
 
 def rows_of(columns: list[str], rows: list[tuple]) -> list[tuple]:

@@ -43,10 +43,10 @@ def test_elapsed_days_ignore_the_session_zone(spark, zone):
     old = spark.conf.get("spark.sql.session.timeZone")
     spark.conf.set("spark.sql.session.timeZone", zone)
     try:
-        days = spark.sql(
-            "SELECT TIMESTAMP_NTZ '2018-11-05 00:30:00' AS a, TIMESTAMP_NTZ '2018-11-03 00:30:00' AS b"
-        ).select(C.elapsed_days(F.col("a"), F.col("b")))
-        assert days.first()[0] == 2
+        later, earlier = (
+            F.lit(f"2018-11-0{day} 00:30:00").cast("timestamp_ntz") for day in (5, 3)
+        )
+        assert evaluate(spark, C.elapsed_days(later, earlier)) == 2
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
 

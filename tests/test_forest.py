@@ -40,7 +40,8 @@ def test_model_and_threshold_come_back(spark, trained, clients, tmp_path):
     assert threshold == best.first().threshold
     flagged = forest.flag_customers(loaded, threshold, clients)
     assert flagged.count() == clients.count()
-    assert flagged.where((F.col("score") >= threshold).cast("int") != F.col("is_high_risk")).count() == 0
+    high = (F.col("score") >= threshold).cast("int")
+    assert flagged.where(high != F.col("is_high_risk")).count() == 0
     before = {row.user_id: row.score for row in scored.collect()}
     after = {row.user_id: row.score for row in flagged.collect()}
     assert all(after[user] == score for user, score in before.items())

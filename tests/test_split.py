@@ -33,7 +33,8 @@ def test_split_depends_on_the_seed_only(spark):
     frame = labelled(spark, 500, 5)
 
     def chosen(df, seed):
-        return {row.user_id for row in stratified_split(df, seed=seed).where("is_test = 1").collect()}
+        test_rows = stratified_split(df, seed=seed).where("is_test = 1")
+        return {row.user_id for row in test_rows.collect()}
 
     assert chosen(frame, 42) == chosen(frame.repartition(7), 42)
     assert chosen(frame, 42) != chosen(frame, 43)

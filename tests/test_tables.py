@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pytest
 from pyspark.sql import functions as F
 
 from riskloom.operators import features, hourly, refine, segments
@@ -15,6 +16,21 @@ def build(spark, raw_users, raw_orders):
     return refined, kept, features.behavior_features(kept)
 
 
+@pytest.mark.parametrize("zone", ["UTC", "America/Sao_Paulo"])
+@pytest.mark.parametrize("kind", ["timestamp", "timestamp_ntz", "string"])
+def test_creation_times_end_up_in_utc(spark, zone, kind):
+    text = "2020-07-01 23:30:00.123456" + ("Z" if kind == "timestamp" else "")
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        df = spark.range(1).select(F.lit(text).cast(kind).alias("created_at"))
+        naive = refine.naive_utc(df)
+        assert naive.dtypes == [("created_at", "timestamp_ntz")]
+        assert naive.first().created_at == at("2020-07-01T23:30:00.123456")
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+
+
 def test_user_without_orders(spark):
     raw_users = users(spark, (1, at("2020-01-01")), (2, at("2020-01-01")))
     raw_orders = orders(spark, (10, 1, "Complete", at("2020-02-01"), 2))
