@@ -69,11 +69,23 @@ def with_history(demographics: DataFrame, history: DataFrame) -> DataFrame:
 
     Users without orders get zeros, no last order date and label 0.
     """
-    counted = ["total_orders", "total_cancelled_orders", "total_returned_orders"]
-    return (
-        demographics.join(history, "user_id", "left")
-        .fillna(0, subset=[*counted, "total_items_purchased"])
-        .withColumn("is_bad_payer", C.bad_payer(*map(F.col, counted)))
+    orders, cancelled, returned, items = (
+        F.coalesce(name, F.lit(0))
+        for name in (
+            "total_orders",
+            "total_cancelled_orders",
+            "total_returned_orders",
+            "total_items_purchased",
+        )
+    )
+    return demographics.join(history, "user_id", "left").withColumns(
+        {
+            "total_orders": orders,
+            "total_cancelled_orders": cancelled,
+            "total_returned_orders": returned,
+            "total_items_purchased": items,
+            "is_bad_payer": C.bad_payer(orders, cancelled, returned),
+        }
     )
 
 

@@ -10,8 +10,8 @@ SLICE_ROWS = 1_000_000
 # The list of cut keys is broadcast, so it holds the largest keys only. Any key beyond them has
 # less than 1 / MAX_HOT_KEYS of all rows, which is no skew, and is joined like every other key.
 MAX_HOT_KEYS = 10_000
-# Rows without a key match nothing; they are only spread out.
-NULL_KEY_SLICES = 1_000
+# Rows without a key match nothing, so each may have a slice of its own.
+NULL_KEY_SLICES = 2**30
 
 SLICE = "_slice"
 
@@ -52,14 +52,8 @@ def sliced_join(
     hot = F.broadcast(hot_keys(facts, key, slice_rows) if hot is None else hot)
     slices = F.coalesce(F.col("slices"), F.lit(usual_slices))
     fact_slices = F.when(F.col(key).isNull(), NULL_KEY_SLICES).otherwise(slices)
-    cut_facts = (
-        facts.join(hot, key, "left")
-        .withColumn(SLICE, F.pmod(F.xxhash64(spread_by), fact_slices).cast("int"))
-        .drop("slices")
-    )
-    repeated_dims = (
-        dims.join(hot, key, "left")
-        .withColumn(SLICE, F.explode(F.sequence(F.lit(0), slices - 1)))
-        .drop("slices")
-    )
-    return cut_facts.join(repeated_dims, [key, SLICE], how).drop(SLICE)
+    fact_slice = F.pmod(F.xxhash64(spread_by), fact_slices).cast("int")
+    dim_slice = F.explode(F.sequence(F.lit(0), slices - 1))
+    cut_facts = facts.join(hot, key, "left").withColumn(SLICE, fact_slice)
+    repeated_dims = dims.join(hot, key, "left").withColumn(SLICE, dim_slice).drop("slices")
+    return cut_facts.join(repeated_dims, [key, SLICE], how).drop(SLICE, "slices")

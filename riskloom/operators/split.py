@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from riskloom.functions import labels as L
 
-# Hex digits of the row hash that name a bucket: 16 ** 3 buckets per class.
-BUCKET_DIGITS = 3
+# A row's hash has 60 bits; the highest 12 name its bucket, which makes 4096 buckets per class.
+HASH_BITS = 60
+BUCKET_BITS = 12
 
 
 def training_frame(features: DataFrame) -> DataFrame:
@@ -29,9 +30,10 @@ def stratified_split(
     task, so rows are ranked within hash buckets and a small table of bucket sizes, at most
     classes x 4096 rows, supplies the number of rows in front of each bucket.
     """
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
     hashed = frame.withColumn(
-        "_hash", F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
-    ).withColumn("_bucket", F.substring("_hash", 1, BUCKET_DIGITS))
+        "_hash", F.conv(F.substring(digest, 1, HASH_BITS // 4), 16, 10).cast("bigint")
+    ).withColumn("_bucket", F.shiftright("_hash", HASH_BITS - BUCKET_BITS))
     sizes = hashed.groupBy(label, "_bucket").agg(F.count("*").alias("_size"))
 
     of_class = Window.partitionBy(label)

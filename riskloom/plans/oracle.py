@@ -124,7 +124,8 @@ CTES = {
     "hashed": """
         SELECT user_id, is_bad_payer,
                row_number() OVER (PARTITION BY is_bad_payer
-                                  ORDER BY md5('42:' || CAST(user_id AS VARCHAR)), user_id) AS rk
+                                  ORDER BY substr(md5('42:' || CAST(user_id AS VARCHAR)), 1, 15),
+                                           user_id) AS rk
         FROM features""",
     "class_counts": """
         SELECT is_bad_payer, n, total - ceil(total * CAST(0.2 AS DOUBLE)) AS n_train_all,

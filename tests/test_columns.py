@@ -1,5 +1,9 @@
 from __future__ import annotations
 
+import random
+from datetime import datetime, timedelta
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -122,3 +126,33 @@ def test_bad_payer_rule(spark, orders, cancelled, returned, label):
 
 def test_unknown_status_is_no_flag(spark):
     assert evaluate(spark, C.flag(F.lit(None).cast("string") == L.CANCELLED)) == 0
+
+
+def test_many_ratios_read_like_python_percentages(spark):
+    ratios = sorted({a / b for b in range(1, 130) for a in range(b + 1)})
+    df = spark.createDataFrame([(r,) for r in ratios], "r double")
+    rows = df.select("r", C.percent_label(F.col("r"), 1), C.percent_label(F.col("r"), 2)).collect()
+    assert len(rows) == len(ratios)
+    assert all(one == f"{r:.1%}" and two == f"{r:.2%}" for r, one, two in rows)
+
+
+def test_many_means_round_like_numpy(spark):
+    means = [45.5 * items / orders for orders in range(1, 60) for items in range(0, 200, 3)]
+    df = spark.createDataFrame([(m,) for m in means], "m double")
+    rows = df.select("m", C.round_cents(F.col("m"))).collect()
+    assert len(rows) == len(means)
+    assert all(rounded == np.round(m, 2) for m, rounded in rows)
+
+
+def test_many_day_counts_equal_floored_time_spans(spark):
+    rng = random.Random(11)
+    start = datetime(2019, 1, 1)
+
+    def moment() -> datetime:
+        return start + timedelta(microseconds=rng.randrange(4 * 365 * 86_400 * 10**6))
+
+    pairs = [(moment(), moment()) for _ in range(2000)]
+    df = spark.createDataFrame(pairs, "a timestamp_ntz, b timestamp_ntz")
+    rows = df.select("a", "b", C.elapsed_days(F.col("a"), F.col("b"))).collect()
+    assert len(rows) == len(pairs)
+    assert all(days == (a - b).days for a, b, days in rows)
