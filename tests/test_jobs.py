@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import pytest
 
+from riskloom.__main__ import main
 from riskloom.plans import jobs
 from riskloom.plans.queries import QUERIES, STATE_SAMPLE, Tables
 from tests.frames import assert_equal
@@ -26,3 +27,22 @@ def test_training_job(spark, tmp_path):
     assert result["summary"].count() == 1
     assert result["classification_report"].count() == 10
     assert (tmp_path / "model").is_dir() and (tmp_path / "threshold").is_dir()
+
+
+def test_command_line(spark, tmp_path, capsys):
+    t = Tables(spark, "/root/testdata/sf0.01")
+    users, orders, tables, model, out = (
+        str(tmp_path / name) for name in ("users", "orders", "tables", "model", "out")
+    )
+    t.raw_users.write.parquet(users)
+    t.raw_orders.write.parquet(orders)
+    main(["build", users, orders, tables])
+    main(["report", tables, "--min-sample", "60"])
+    printed = capsys.readouterr().out
+    assert "rate_by_state_min_sample" in printed and "4. +365 dias" in printed
+    main(["train", tables, model])
+    assert "weighted avg" in capsys.readouterr().out
+    main(["score", tables, model, out])
+    scored = spark.read.parquet(out)
+    assert scored.columns == ["user_id", "score", "is_high_risk"]
+    assert scored.count() == t.features.count()
