@@ -73,6 +73,10 @@ def bad_payer(orders: Column, cancelled: Column, returned: Column) -> Column:
     return flag((orders >= L.BAD_PAYER_MIN_ORDERS) & (lost_share >= L.BAD_PAYER_MIN_SHARE))
 
 
+def order_value(items: Column) -> Column:
+    return items * F.lit(L.UNIT_PRICE)
+
+
 def round_cents(value: Column) -> Column:
     """Round to two decimals, ties to even (``round`` would take them up)."""
     return F.rint(value * 100) / 100

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.functions import columns as C
-from riskloom.functions import labels as L
 from riskloom.operators.refine import history_measures, user_demographics, with_history
 from riskloom.operators.skew import SLICE_ROWS, sliced_join
 
@@ -57,9 +56,8 @@ def customers_from_raw(raw_users: DataFrame, raw_orders: DataFrame) -> DataFrame
     orders themselves are never joined: users of other countries drop out after they have shrunk
     to one row each.
     """
-    order_value = F.col("num_of_item") * F.lit(L.UNIT_PRICE)
     history = (
-        raw_orders.withColumn("total_order_value", order_value)
+        raw_orders.withColumn("total_order_value", C.order_value(F.col("num_of_item")))
         .groupBy("user_id")
         .agg(
             *history_measures(),

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.functions import labels as L
-from riskloom.operators.split import stratified_split, training_frame, with_class_weights
+from riskloom.operators.split import stratified_split, with_class_weights
 from riskloom.session import durable
 
 
@@ -45,14 +45,12 @@ def score(model: PipelineModel, frame: DataFrame) -> DataFrame:
     )
 
 
-def train_and_score(features: DataFrame, **forest: int) -> tuple[PipelineModel, DataFrame]:
-    """Split, train, and score the held-out customers.
+def train_and_score(frame: DataFrame, **forest: int) -> tuple[PipelineModel, DataFrame]:
+    """Split a training frame, train, and score the held-out customers.
 
-    Both the training frame and the split are stored: the split reads the frame twice, and
-    fitting reads the split several times and must see the same rows in training and in test
-    even if an executor is lost in between.
+    The split reads the frame twice, so a frame that is costly to compute should be stored. The
+    split itself is stored because fitting reads it several times.
     """
-    frame = durable(training_frame(features))
     split = durable(stratified_split(frame))
     model = train(split.where("is_test = 0"), **forest)
     return model, score(model, split.where("is_test = 1"))
@@ -70,7 +68,7 @@ def load(spark: SparkSession, path: str) -> tuple[PipelineModel, float]:
     return model, row["threshold"]
 
 
-def flag_customers(model: PipelineModel, threshold: float, features: DataFrame) -> DataFrame:
-    """Score customers with a stored model and flag those at or above its threshold."""
-    scored = score(model, training_frame(features)).drop("y")
+def flag_customers(model: PipelineModel, threshold: float, frame: DataFrame) -> DataFrame:
+    """Score a training or feature frame and flag the customers at or above the threshold."""
+    scored = score(model, frame).drop("y")
     return scored.withColumn("is_high_risk", (F.col("score") >= threshold).cast("int"))

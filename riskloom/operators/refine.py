@@ -108,7 +108,7 @@ def order_facts(raw_orders: DataFrame) -> DataFrame:
         C.flag(F.col("status") == L.CANCELLED).alias("is_cancelled"),
         C.flag(F.col("status") == L.RETURNED).alias("is_returned"),
         F.col("num_of_item").alias("total_items_purchased"),
-        (F.col("num_of_item") * F.lit(L.UNIT_PRICE)).alias("total_order_value"),
+        C.order_value(F.col("num_of_item")).alias("total_order_value"),
     )
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from riskloom import schemas
 from riskloom.functions import labels as L
-from riskloom.operators import curves, features, forest, hourly, refine, report, segments
+from riskloom.operators import curves, features, forest, hourly, refine, report, segments, split
 from riskloom.session import durable
 from riskloom.sources import files
 
@@ -73,7 +73,7 @@ def train_model(clients: DataFrame, path: str, **forest_params: int) -> dict[str
 
     Returns the one-row summary and the per-class report at the default and tuned thresholds.
     """
-    model, held_out = forest.train_and_score(clients, **forest_params)
+    model, held_out = forest.train_and_score(split.training_frame(clients), **forest_params)
     scored = durable(held_out)
     curve = curves.pr_curve(scored)
     best = curves.best_f1_threshold(curve)

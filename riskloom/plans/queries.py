@@ -158,7 +158,7 @@ def parquet_orders(t: Tables) -> DataFrame:
 
 
 def rf_scores(t: Tables) -> DataFrame:
-    return forest.train_and_score(t.features)[1]
+    return forest.train_and_score(t.stored_training)[1]
 
 
 def rf_metrics(t: Tables) -> DataFrame:

@@ -54,6 +54,12 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the checkpoint folder, so later uses neither recompute nor lose it."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+    """Write ``df`` once to the shared folder and go on from there.
+
+    Later uses neither recompute it nor lose it with an executor, and as a Parquet table it is
+    compressed and read column by column.
+    """
+    spark = df.sparkSession
+    path = new_path(spark, "stored")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

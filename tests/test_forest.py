@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from riskloom.functions import labels as L
 from riskloom.operators import curves, forest
+from riskloom.operators.split import training_frame
 from riskloom.plans.queries import Tables
 from tests.test_metrics import brute_auc, brute_curve
 
@@ -17,7 +18,7 @@ def clients(spark):
 
 @pytest.fixture(scope="module")
 def trained(clients):
-    return forest.train_and_score(clients, trees=10)
+    return forest.train_and_score(training_frame(clients), trees=10)
 
 
 def test_scores_of_the_held_out_customers(trained, clients):
