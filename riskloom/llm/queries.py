@@ -5,12 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from riskloom.llm import bpe
+from riskloom.llm import balltree, bpe, langid, mixing, pii, secrets, vectors
 from riskloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+# Rows of the embeddings whose id is divisible by this are the queries of the search.
+QUERY_EVERY = 50
+
 
 def vocabulary() -> str:
     """The vocabulary file that the queries use; the operators take any path."""
@@ -19,12 +23,43 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_exact_topk(spark: SparkSession, folder: str) -> DataFrame:
+    return balltree.top_k(table(spark, folder, "embeddings"), F.col("id") % QUERY_EVERY == 0)
+
+
+def op2_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return vectors.near_duplicates(table(spark, folder, "embeddings"))
+
+
+def op3_language(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return langid.predict(docs, *langid.fitted(langid.training_rows(docs)))
+
+
+def op4_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.places(table(spark, folder, "documents"))
+
+
 def op8_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.round_trip_digests(table(spark, folder, "documents"), vocabulary())
 
 
+def op9_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    return secrets.find_secrets(table(spark, folder, "documents"))
+
+
+def op10_pii(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.find_personal_data(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Query] = {
+    "op1_exact_topk": op1_exact_topk,
+    "op2_embedding_dedup": op2_embedding_dedup,
+    "op3_language": op3_language,
+    "op4_mixing": op4_mixing,
     "op8_bpe": op8_bpe,
+    "op9_secrets": op9_secrets,
+    "op10_pii": op10_pii,
 }
 
 ORACLE_SQL: dict[str, str] = {}
