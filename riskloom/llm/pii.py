@@ -168,7 +168,20 @@ def revealing_terms(
         .agg(F.count("*").alias("together"))
         .where(F.col("together") >= support)
     )
-    meetings = durable(meetings)
+    # A term is in at least as many documents as hold it near an entity. Where even that number
+    # keeps the disclosure below the threshold, as for common words, all of them need no count.
+    seen = near.select(terms.alias("term"), "id").groupBy("term")
+    total = docs.agg(F.count("*").alias("n")).scalar()
+    pmi = F.log2(F.col("together") * F.col("n") / (F.col("n_entity") * F.col("n_term")))
+    content = F.log2(F.col("n") / F.col("n_entity"))
+    disclosed = F.least(pmi / content, F.lit(1.0))
+    meetings = durable(
+        meetings.join(holders, "entity")
+        .join(seen.agg(F.countDistinct("id").alias("n_term")), "term")
+        .withColumn("n", total)
+        .where(disclosed >= generalise)
+        .drop("n_term")
+    )
     words = docs.select(
         F.explode(
             F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)))
@@ -179,14 +192,9 @@ def revealing_terms(
         .agg(F.count("*").alias("n_term"))
         .join(meetings.select("term").distinct(), "term", "left_semi")
     )
-    total = docs.agg(F.count("*").alias("n")).scalar()
-    pmi = F.log2(F.col("together") * F.col("n") / (F.col("n_entity") * F.col("n_term")))
-    content = F.log2(F.col("n") / F.col("n_entity"))
     judged = (
         meetings.join(spread, "term")
-        .join(holders, "entity")
-        .withColumn("n", total)
-        .withColumn("disclosed", F.least(pmi / content, F.lit(1.0)))
+        .withColumn("disclosed", disclosed)
         .where(F.col("disclosed") >= generalise)
     )
     return (
