@@ -85,7 +85,7 @@ class ChunkEncoder:
 
     def agrees(self, left: bytes, right: bytes) -> bool:
         """Whether the last word of ``left`` and the first of ``right`` encode alike apart."""
-        tail = left[left.rfind(b" ") + 1 :]
+        tail = left[max(0, left.rfind(b" ")) :]
         stop = right.find(b" ", 1)
         head = right if stop < 0 else right[:stop]
         around = tail + b"\0\0" + head
@@ -104,7 +104,9 @@ class ChunkEncoder:
         chunks = cut(text)
         i = 0
         while i + 1 < len(chunks):
-            if self.agrees(chunks[i], chunks[i + 1]):
+            # A word that began before its chunk can only be judged with the chunk before.
+            whole_word = i == 0 or b" " in chunks[i]
+            if whole_word and self.agrees(chunks[i], chunks[i + 1]):
                 i += 1
             else:  # repair: the two are one chunk, and its join to the one before is new
                 chunks[i : i + 2] = [chunks[i] + chunks[i + 1]]

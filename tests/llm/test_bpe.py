@@ -1,0 +1,100 @@
+"""Chunked BPE against the tokenizers library."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+
+import numpy as np
+import pytest
+from tokenizers import Tokenizer
+
+from riskloom.llm import bpe
+from riskloom.llm.queries import QUERIES, vocabulary
+
+
+@pytest.fixture(scope="module")
+def reference():
+    return Tokenizer.from_file(vocabulary())
+
+
+PARTS = [
+    " ", "  ", "\n", "\t", "a", "B", "é", "'s", "'", "1", "23", "<|endoftext|>", "<|endof", " ",
+    "　", "漢", "🙂", "\u0085", "\x1c", ".", "!!", "\r\n", "ſ", "́", "the", " word", "\x00",
+]
+
+
+def test_random_texts(reference):
+    random.seed(3)
+    codec = bpe.ChunkEncoder(vocabulary())
+    for _ in range(3000):
+        text = "".join(random.choices(PARTS, k=random.randint(0, 80)))
+        want = reference.encode(text, add_special_tokens=False).ids
+        ids = codec.encode(text.encode())
+        assert ids.tolist() == want
+        assert codec.decode(ids) == reference.decode(want, skip_special_tokens=False)
+
+
+def test_any_cut_is_repaired(reference, monkeypatch):
+    """Cuts at places that change the tokens still end in exact agreement."""
+    random.seed(4)
+
+    def anywhere(text: bytes) -> list[bytes]:
+        characters = text.decode()
+        places = sorted(random.sample(range(1, len(characters)), min(6, len(characters) - 1)))
+        return [
+            characters[a:b].encode()
+            for a, b in zip([0, *places], [*places, len(characters)])
+        ]
+
+    monkeypatch.setattr(bpe, "cut", anywhere)
+    codec = bpe.ChunkEncoder(vocabulary())
+    for _ in range(300):
+        words = [random.choice(["other", "things", "12345", "ünder", "don't", "x"]) for _ in range(12)]
+        text = " ".join(words)
+        assert codec.encode(text.encode()).tolist() == reference.encode(text).ids
+
+
+def test_chunks_are_shared_and_bounded(monkeypatch):
+    passage = " ".join(f"word{i} of some passage" for i in range(4000))
+    codec = bpe.ChunkEncoder(vocabulary())
+    codec.encode(("one beginning " + passage).encode())
+    stored = len(codec.store)
+    codec.encode(("quite another start, longer than the first " + passage).encode())
+    assert stored > 20 and len(codec.store) <= stored + 3
+    monkeypatch.setattr(bpe, "STORE_BYTES", 10_000)
+    for i in range(200):
+        codec.encode(f"text number {i} {passage[i * 50:i * 50 + 2000]}".encode())
+    assert codec.stored <= 10_000
+
+
+def test_edges(spark, reference):
+    texts = [None, "", " ", "a", "x" * 100_000, "no blank" * 3, "same", "same", " " * 5000]
+    rows = [(i if i else None, text, "kept out", 7) for i, text in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, ids string, n_tokens int")
+    found = {r["doc_id"]: r for r in bpe.round_trip_digests(docs, vocabulary()).collect()}
+    assert len(found) == len(texts)
+    for doc_id, text, _, _ in rows:
+        ids = reference.encode(text or "", add_special_tokens=False).ids
+        row = found[doc_id]
+        assert row["n_tokens"] == len(ids)
+        assert row["ids_sha256"] == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+        assert row["decoded_sha256"] == hashlib.sha256((text or "").encode()).hexdigest()
+    assert bpe.round_trip_digests(docs.limit(0), vocabulary()).count() == 0
+
+
+def test_tables_round_trip(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    encoded = bpe.encode_documents(docs, vocabulary())
+    decoded = bpe.decode_documents(encoded, vocabulary())
+    assert dict(decoded.collect()) == {r["doc_id"]: r["text"] for r in docs.collect()}
+
+
+def test_query(spark, folder, reference):
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    rows = QUERIES["op8_bpe"](spark, folder).collect()
+    assert len(rows) == len(texts)
+    for row in rows:
+        ids = reference.encode(texts[row["doc_id"]], add_special_tokens=False).ids
+        assert row["n_tokens"] == len(ids)
+        assert row["ids_sha256"] == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
