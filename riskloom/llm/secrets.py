@@ -2,7 +2,8 @@
 
 One model describes random strings, the other ordinary words and identifiers. Both are trained on
 samples that the corpus labels itself: the values matched by the fixed patterns are random, all
-other runs of word characters are ordinary. Counts of character pairs are summed over all
+other runs of key characters are ordinary, but for the long ones that mix letters and digits: those
+are what the models shall judge, so they have no label. Counts of character pairs are summed over all
 documents; a model is a table of ALPHABET x ALPHABET counts, whatever the corpus's size.
 
 A further span of kind ``markov`` is a run of key characters of at least MIN_RUN, outside the
@@ -41,6 +42,8 @@ MIN_RUN = 20
 # Natural log units per character by which the random model must be the likelier one.
 MIN_RATIO = 0.7
 
+BACK_OFF = 20
+
 # Character 0 is the start or end of a run.
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 ALPHABET = len(LETTERS) + 1
@@ -64,6 +67,15 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(spans)
 
 
+def mixed_runs(text: str) -> list[tuple[int, int]]:
+    """(start, end) of long runs of key characters with both letters and digits."""
+    return [
+        m.span()
+        for m in RUN.finditer(text)
+        if re.search("[0-9]", m.group()) and re.search("[A-Za-z]", m.group())
+    ]
+
+
 def random_value(text: str, span: tuple[int, int, int]) -> str:
     """The part of a matched span that was drawn at random."""
     start, kind, end = span
@@ -87,11 +99,11 @@ def train(docs: DataFrame, text_column: str = "text") -> DataFrame:
             texts = [text or "" for text in batch.column(0).to_pylist()]
             values = []
             for i, text in enumerate(texts):
-                spans = base_spans(text)
+                spans = base_spans(text) + [(a, -1, b) for a, b in mixed_runs(text)]
                 if spans:
-                    values += [random_value(text, span) for span in spans]
+                    values += [random_value(text, span) for span in spans if span[1] >= 0]
                     at, rest = 0, []
-                    for start, _, end in spans:
+                    for start, _, end in sorted(spans):
                         rest.append(text[at : max(at, start)])
                         at = max(at, end)
                     texts[i] = " ".join([*rest, text[at:]])
@@ -112,30 +124,32 @@ def train(docs: DataFrame, text_column: str = "text") -> DataFrame:
 
 
 def log_ratio(counts: DataFrame) -> np.ndarray:
-    """log P(b | a, random) - log P(b | a, ordinary) as a table, with add-one smoothing.
+    """log P(b | a, random) - log P(b | a, ordinary) as a table.
 
+    After a rare character a model falls back to how often characters occur at all: its pairs are
+    smoothed with BACK_OFF observations spread like the single characters, those with one of each.
     ``counts`` has at most 2 * ALPHABET**2 rows.
     """
-    table = np.ones((2, ALPHABET * ALPHABET))
+    table = np.zeros((2, ALPHABET * ALPHABET))
     for row in counts.collect():
-        table[row["is_random"], row["pair"]] += row["n"]
+        table[row["is_random"], row["pair"]] = row["n"]
     table = table.reshape(2, ALPHABET, ALPHABET)
-    logs = np.log(table / table.sum(axis=2, keepdims=True))
+    single = table.sum(axis=1, keepdims=True) + 1
+    single /= single.sum(axis=2, keepdims=True)
+    logs = np.log((table + BACK_OFF * single) / (table.sum(axis=2, keepdims=True) + BACK_OFF))
     return logs[1] - logs[0]
 
 
 def markov_spans(text: str, base: list, ratio: np.ndarray, least: float) -> list:
     found = []
-    for m in RUN.finditer(text):
-        run = m.group()
-        if run.isalpha() or not re.search("[0-9]", run) or not re.search("[A-Za-z]", run):
-            continue
-        if any(start < m.end() and m.start() < end for start, _, end in base):
+    for at, to in mixed_runs(text):
+        if any(start < to and at < end for start, _, end in base):
             continue
+        run = text[at:to]
         codes = _CODE[np.frombuffer(run.encode(), np.uint8)]
         score = ratio[0, codes[0]] + ratio[codes[:-1], codes[1:]].sum() + ratio[codes[-1], 0]
         if score >= least * len(run):
-            found.append((m.start(), 3, m.end()))
+            found.append((at, 3, to))
     return found
 
 
