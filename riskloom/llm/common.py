@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +15,19 @@ from pyspark.sql import functions as F
 BLOCK_BYTES = 1 << 20
 
 
+def share_package(spark: SparkSession) -> None:
+    """Let Python workers look for this package where the driver found it.
+
+    That is enough where all machines see the same path; else submit it with ``--py-files``.
+    """
+    root = str(Path(__file__).resolve().parents[2])
+    known = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if root not in known.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [root, known]))
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    share_package(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 

@@ -68,7 +68,7 @@ class Profiles:
     def letter(self, code: int) -> np.ndarray:
         if code not in self.letters:
             lanes = np.arange(DIMENSIONS // 64, dtype=np.uint64)
-            seed = np.uint64(code + 1) * np.uint64(0x9E3779B97F4A7C15)
+            seed = np.uint64((code + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
             words = mix64(mix64(lanes + np.uint64(1)) ^ seed)
             self.letters[code] = np.unpackbits(words.view(np.uint8)).astype(np.int8) * 2 - 1
         return self.letters[code]
