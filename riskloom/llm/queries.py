@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import balltree, bpe, langid, mixing, pii, secrets, vectors
+from riskloom.llm import balltree, bpe, forest_dedup, langid, mixing, pii, secrets, vectors
 from riskloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,6 +40,10 @@ def op4_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.places(table(spark, folder, "documents"))
 
 
+def op5_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return forest_dedup.near_duplicates(table(spark, folder, "documents"), width=2)
+
+
 def op8_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.round_trip_digests(table(spark, folder, "documents"), vocabulary())
 
@@ -57,6 +61,7 @@ QUERIES: dict[str, Query] = {
     "op2_embedding_dedup": op2_embedding_dedup,
     "op3_language": op3_language,
     "op4_mixing": op4_mixing,
+    "op5_near_dedup": op5_near_dedup,
     "op8_bpe": op8_bpe,
     "op9_secrets": op9_secrets,
     "op10_pii": op10_pii,
