@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import balltree, bpe, brown, forest_dedup, langid, mixing, pii, secrets, vectors
+from riskloom.llm import balltree, bpe, brown, forest_dedup, langid, mixing, pii, secrets, substrings, vectors
 from riskloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,6 +44,10 @@ def op5_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return forest_dedup.near_duplicates(table(spark, folder, "documents"), width=2)
 
 
+def op6_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return substrings.digests(table(spark, folder, "documents"))
+
+
 def op7_lm_score(spark: SparkSession, folder: str) -> DataFrame:
     return brown.score(table(spark, folder, "documents"))
 
@@ -66,6 +70,7 @@ QUERIES: dict[str, Query] = {
     "op3_language": op3_language,
     "op4_mixing": op4_mixing,
     "op5_near_dedup": op5_near_dedup,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_lm_score": op7_lm_score,
     "op8_bpe": op8_bpe,
     "op9_secrets": op9_secrets,
