@@ -1,7 +1,7 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-Documents of a source are shuffled by a hash of their content and cut into blocks of BLOCK_DOCS. Block i (from 1)
-of a source with share u of the stream is released at slot floor((i - 1) / u) and due at
+Documents of a source are shuffled by a hash of id and text and cut into blocks of BLOCK_DOCS.
+Block i (from 1) of a source with share u of the stream is released at slot floor((i - 1) / u) and due at
 ceil(i / u); in each slot the released block with the earliest deadline is put next. At any slot
 the number of blocks a source has had differs from its share by less than one block.
 
@@ -98,16 +98,19 @@ def mix(
     weights: dict[str, float] | None = None,
     id_column: str = "doc_id",
     source_column: str = "source",
+    text_column: str = "text",
     block_docs: int = BLOCK_DOCS,
+    carried: list[str] | None = None,
 ) -> DataFrame:
     """(row, source, block, slot, position): each input row as a struct, and its place.
 
+    The struct has the columns named in ``carried``, or all.
     ``weights``: the target share of each source in any unit; without it, the square roots of the
     sources' sizes, a usual choice to lift small sources. Ascending ``position`` is the mixed order.
     """
     spark = docs.sparkSession
-    content = [F.col(f"`{name}`") for name in docs.columns]
-    mixed = F.xxhash64(*content)
+    content = [F.col(f"`{name}`") for name in carried or docs.columns]
+    mixed = F.xxhash64(id_column, text_column)
     rows = docs.select(
         F.struct(*content).alias("row"),
         F.coalesce(F.col(source_column).cast("string"), F.lit("")).alias("source"),
@@ -165,5 +168,5 @@ def in_mixed_order(docs: DataFrame, weights: dict[str, float] | None = None) ->
 
 def places(docs: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
     """(doc_id, source, block, slot, position) of every document."""
-    narrow = docs.select("doc_id", "source", F.xxhash64("text").alias("text_hash"))
-    return mix(narrow, weights).select("row.doc_id", "source", "block", "slot", "position")
+    placed = mix(docs, weights, carried=["doc_id"])
+    return placed.select("row.doc_id", "source", "block", "slot", "position")
