@@ -8,6 +8,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,6 +56,31 @@ def arrow_map(
     return df.mapInArrow(run, schema)
 
 
+def segments(
+    batches: Iterator[pa.RecordBatch], names: list[str]
+) -> Iterator[tuple[pa.RecordBatch, list[int]]]:
+    """Runs of rows that agree in the named columns, with their bounds.
+
+    A run may span several batches, and many short runs come together in one.
+    """
+    rest: pa.RecordBatch | None = None
+    for batch in batches:
+        if rest is not None:
+            batch = pa.concat_batches([rest, batch])
+        n = batch.num_rows
+        new = np.zeros(max(n - 1, 0), bool)
+        for name in names:
+            column = batch.column(batch.schema.get_field_index(name))
+            differs = pc.not_equal(column.slice(1), column.slice(0, max(n - 1, 0)))
+            new |= differs.to_numpy(zero_copy_only=False)
+        bounds = [0, *(np.flatnonzero(new) + 1).tolist()]
+        if len(bounds) > 1:
+            yield batch.slice(0, bounds[-1]), bounds
+        rest = batch.slice(bounds[-1])
+    if rest is not None and rest.num_rows:
+        yield rest, [0, rest.num_rows]
+
+
 def blocks(texts: list[bytes], limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges of ``texts`` of about ``limit`` bytes; one longer text is a block of its own."""
     start = size = 0
