@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from riskloom.functions import labels as L
 from riskloom.operators import forest
 from riskloom.plans import jobs
-from riskloom.session import SETTINGS
+from riskloom.session import SETTINGS, temporary
 from riskloom.sources import files
 
 
@@ -23,8 +23,9 @@ def parser() -> argparse.ArgumentParser:
     build.add_argument("orders")
     build.add_argument("tables")
 
-    report = commands.add_parser("report", help="print every figure")
+    report = commands.add_parser("report", help="write every figure as a table")
     report.add_argument("tables")
+    report.add_argument("out")
     report.add_argument("--min-sample", type=int, default=L.MIN_SAMPLE)
 
     train = commands.add_parser("train", help="train, evaluate and store the model")
@@ -42,10 +43,10 @@ def parser() -> argparse.ArgumentParser:
 
 
 def show(frames: dict[str, DataFrame]) -> None:
-    """Print figures; each has one row per segment."""
+    """Print the evaluation of a model: one row, and ten."""
     for name, df in frames.items():
         print(name)
-        df.show(1000, truncate=False)
+        df.show(df.count(), truncate=False)
 
 
 def main(argv: Sequence[str] | None = None) -> None:
@@ -62,7 +63,11 @@ def main(argv: Sequence[str] | None = None) -> None:
     tables = jobs.load_tables(spark, args.tables, args.csv)
     clients = tables["features_modeling"]
     if args.command == "report":
-        show(jobs.risk_report(clients, tables["orders_modeling"], args.min_sample))
+        with temporary(spark):
+            figures = jobs.risk_report(clients, tables["orders_modeling"], args.min_sample)
+            for name, df in figures.items():
+                files.write_parquet(df, f"{args.out}/{name}")
+                print(f"{args.out}/{name}")
     elif args.command == "train":
         show(jobs.train_model(clients, args.model))
     else:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.functions import labels as L
@@ -85,3 +85,27 @@ def round_cents(value: Column) -> Column:
 def percent_label(rate: Column, decimals: int) -> Column:
     """0.0625 becomes ``6.2%`` at one decimal: the exact value is rounded, ties to even."""
     return F.concat(F.format_number(rate * 100, decimals), F.lit("%"))
+
+
+def naive_utc(df: DataFrame, column: str = "created_at") -> DataFrame:
+    """Turn a timestamp with a zone, or text, into the zoneless UTC time the tables hold.
+
+    Text with an offset is converted to UTC, text without one is taken as UTC. A zoneless
+    timestamp stays as it is; the session time zone has no say.
+    """
+    kind = df.schema[column].dataType.typeName()
+    epoch = F.lit("1970-01-01").cast("timestamp_ntz")
+
+    def in_utc(moment: Column) -> Column:
+        return F.timestamp_add("MICROSECOND", F.unix_micros(moment), epoch)
+
+    if kind == "timestamp":
+        return df.withColumn(column, in_utc(F.col(column)))
+    if kind == "string":
+        text = F.trim(column)
+        zoned = text.rlike(r"(?:[Zz]|UTC|GMT|[+-][0-9]{1,2}(?::?[0-9]{2})?)$") & text.contains(":")
+        there = in_utc(F.to_timestamp(F.when(zoned, text)))
+        return df.withColumn(
+            column, F.coalesce(there, F.to_timestamp_ntz(F.when(~zoned, text)))
+        )
+    return df

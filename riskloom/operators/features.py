@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from riskloom.functions import columns as C
 from riskloom.operators.refine import history_measures, user_demographics, with_history
-from riskloom.operators.skew import SLICE_ROWS, sliced_join
 
 MONEY = ["customer_lifetime_value", "customer_ticket_medio"]
 COUNTS = ["total_cancelled_orders", "total_returned_orders", "total_orders_calculated"]
@@ -78,17 +77,17 @@ def orders_modeling(
     users: DataFrame,
     how: str = "left",
     customer_columns: Sequence[str] = (),
-    slice_rows: int = SLICE_ROWS,
 ) -> DataFrame:
     """One row per order with the customer's label and the account's age at the order.
 
     An order of an unknown user keeps label 0 and falls into the last account-age band. With
     ``how="inner"`` such orders are dropped: on unfiltered :func:`order_facts` this equals
     refining the orders first, for one join instead of two. ``customer_columns`` adds further
-    columns of the users.
+    columns of the users. A user with very many orders is split by the engine's skew join, if
+    ``users`` is a stored table and not an aggregation by user itself.
     """
     customer = users.select("user_id", "is_bad_payer", "account_created_at", *customer_columns)
-    joined = sliced_join(orders, customer, "user_id", "order_id", how, slice_rows)
+    joined = orders.join(customer, "user_id", how)
     days = C.elapsed_days(F.col("order_timestamp"), F.col("account_created_at"))
     return joined.withColumn("dias_conta_ate_compra", days).select(
         "order_id",

@@ -14,6 +14,18 @@ from riskloom.operators.split import stratified_split, with_class_weights
 from riskloom.session import durable
 
 
+def check_features(frame: DataFrame) -> None:
+    """Fail with the columns that lack values, before the fit does so without naming them."""
+    gaps = frame.agg(
+        *(F.count_if(F.col(name).isNull() | F.isnan(F.col(name).cast("double"))).alias(name)
+          for name in (*L.FEATURES, L.TARGET))
+    ).first()
+    missing = {name: n for name, n in gaps.asDict().items() if n}
+    if missing:
+        listed = ", ".join(f"{name} in {n} rows" for name, n in missing.items())
+        raise ValueError(f"customers without a value cannot be trained on: {listed}")
+
+
 def train(
     frame: DataFrame,
     trees: int = L.FOREST_TREES,
@@ -32,6 +44,7 @@ def train(
         featureSubsetStrategy="sqrt",
         seed=seed,
     )
+    check_features(frame)
     assembler = VectorAssembler(inputCols=L.FEATURES, outputCol="features", handleInvalid="error")
     return Pipeline(stages=[assembler, forest]).fit(with_class_weights(frame))
 
@@ -58,6 +71,9 @@ def train_and_score(frame: DataFrame, **forest: int) -> tuple[PipelineModel, Dat
 
 def save(model: PipelineModel, threshold: DataFrame, path: str) -> None:
     """Store the model and its threshold side by side."""
+    best = threshold.select("threshold").first()
+    if best is None or best["threshold"] is None:
+        raise ValueError("no threshold: the held-out customers have no bad payer among them")
     model.write().overwrite().save(f"{path}/model")
     threshold.select("threshold").write.mode("overwrite").parquet(f"{path}/threshold")
 
@@ -65,6 +81,8 @@ def save(model: PipelineModel, threshold: DataFrame, path: str) -> None:
 def load(spark: SparkSession, path: str) -> tuple[PipelineModel, float]:
     model = PipelineModel.load(f"{path}/model")
     row = spark.read.schema("threshold double").parquet(f"{path}/threshold").first()
+    if row is None or row["threshold"] is None:
+        raise ValueError(f"the model under {path} was stored without a threshold")
     return model, row["threshold"]
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from riskloom.functions import columns as C
 from riskloom.functions import labels as L
-from riskloom.operators.skew import SLICE_ROWS, sliced_join
+from riskloom.functions.columns import naive_utc  # noqa: F401  (part of refining raw tables)
 
 REFINED_USERS = [
     "user_id",
@@ -24,20 +24,6 @@ REFINED_USERS = [
 ]
 
 
-def naive_utc(df: DataFrame, column: str = "created_at") -> DataFrame:
-    """Turn a timestamp with a zone, or text, into the zoneless UTC time the tables hold.
-
-    A zoneless timestamp stays as it is; the session time zone has no say.
-    """
-    kind = df.schema[column].dataType.typeName()
-    if kind == "timestamp":
-        epoch = F.lit("1970-01-01").cast("timestamp_ntz")
-        return df.withColumn(column, F.timestamp_add("MICROSECOND", F.unix_micros(column), epoch))
-    if kind == "string":
-        return df.withColumn(column, F.to_timestamp_ntz(column))
-    return df
-
-
 def user_demographics(raw_users: DataFrame, country: str = L.COUNTRY) -> DataFrame:
     return raw_users.where(F.col("country") == country).select(
         F.col("id").alias("user_id"),
@@ -112,10 +98,10 @@ def order_facts(raw_orders: DataFrame) -> DataFrame:
     )
 
 
-def refined_orders(
-    raw_orders: DataFrame, users: DataFrame, slice_rows: int = SLICE_ROWS
-) -> DataFrame:
-    """Orders of the given users (any frame with a unique ``user_id``)."""
+def refined_orders(raw_orders: DataFrame, users: DataFrame) -> DataFrame:
+    """Orders of the given users (any frame with a unique ``user_id``).
+
+    A user with very many orders is split by the engine's skew join.
+    """
     facts = order_facts(raw_orders)
-    user_ids = users.select("user_id")
-    return sliced_join(facts, user_ids, "user_id", "order_id", "left_semi", slice_rows)
+    return facts.join(users.select("user_id"), "user_id", "left_semi").select(*facts.columns)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,7 +36,7 @@ def classification_report(
 ) -> DataFrame:
     """Precision, recall, F1 and support per class with accuracy and averages, per column.
 
-    One pass counts the confusion matrices; everything after it is one row.
+    One pass counts the confusion matrices of all columns in one row; the report is stacked from it.
     """
     truth = F.col(label) == 1
     outcomes = {
@@ -54,10 +52,17 @@ def classification_report(
             for kind, outcome in outcomes.items()
         )
     )
-    return reduce(DataFrame.unionByName, (_report_of(counts, name) for name in columns))
+    lines = [(name, *line) for name in columns for line in _lines(name)]
+    values = [F.lit(value) if isinstance(value, str) else value for line in lines for value in line]
+    return counts.select(
+        F.stack(F.lit(len(lines)), *values).alias(
+            "prediction", "class_name", "precision", "recall", "f1_score", "support"
+        )
+    )
 
 
-def _report_of(counts: DataFrame, name: str) -> DataFrame:
+def _lines(name: str) -> list[tuple]:
+    """The five lines of the report of one prediction, from its counts."""
     tp, fp, fn, tn = (F.col(f"{name}_{kind}") for kind in ("tp", "fp", "fn", "tn"))
     # (hits, predicted, actual) of each class
     classes = [(tn, tn + fn, tn + fp), (tp, tp + fp, tp + fn)]
@@ -74,15 +79,9 @@ def _report_of(counts: DataFrame, name: str) -> DataFrame:
     supports = [row[4] for row in rows]
     ones = [F.lit(1), F.lit(1)]
     unknown = F.lit(None).cast("double")
-    lines = [
+    return [
         *rows,
         ("accuracy", unknown, unknown, _ratio(tp + tn, total), total),
         ("macro avg", *(average(ones, i) for i in (1, 2, 3)), total),
         ("weighted avg", *(average(supports, i) for i in (1, 2, 3)), total),
     ]
-    values = [F.lit(value) if isinstance(value, str) else value for line in lines for value in line]
-    stacked = F.stack(F.lit(len(lines)), *values)
-    return counts.select(
-        F.lit(name).alias("prediction"),
-        stacked.alias("class_name", "precision", "recall", "f1_score", "support"),
-    )

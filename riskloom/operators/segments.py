@@ -3,20 +3,22 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.functions import columns as C
 from riskloom.functions import labels as L
 
 
-def kpis(clients: DataFrame) -> DataFrame:
-    """All key figures in one row, from the per-customer features.
+def kpis(clients: DataFrame, revenue: Column | None = None) -> DataFrame:
+    """All key figures in one row, from one row per customer.
 
     Every order belongs to one customer and is cancelled, returned or neither, so the order
     figures are sums over customers and no distinct count is needed. Empty input gives counts
-    of 0 and unknown rates.
+    of 0 and unknown rates. Revenue is the sum of unrounded values: ``clients`` must hold such,
+    as ``customers_from_raw`` does, or ``revenue`` gives the sum, from the orders.
     """
 
     def total(*names: str):
@@ -26,7 +28,11 @@ def kpis(clients: DataFrame) -> DataFrame:
         total("total_orders_calculated").alias("total_pedidos"),
         F.count("*").alias("total_clientes"),
         F.count_if(F.col("total_orders_calculated") > 0).alias("clientes_com_pedido"),
-        F.coalesce(F.sum("customer_lifetime_value"), F.lit(0.0)).alias("receita_total"),
+        (
+            F.coalesce(F.sum("customer_lifetime_value"), F.lit(0.0))
+            if revenue is None
+            else F.first(revenue)
+        ).alias("receita_total"),
         F.avg("is_bad_payer").alias("taxa_inadimplencia_geral"),
         total("total_cancelled_orders", "total_returned_orders").alias("ordens_nao_concluidas"),
     )
@@ -100,3 +106,13 @@ def rate_labels(rates: DataFrame, segment: str, decimals: int) -> DataFrame:
         F.col(segment).alias("segmento"),
         C.percent_label(F.col("taxa"), decimals).alias("rotulo"),
     )
+
+
+def all_rate_labels(clients: DataFrame, orders: DataFrame) -> DataFrame:
+    """Rates as text by account age, state and customer value, from banded clients and orders."""
+    parts = [
+        rate_labels(rate_by(orders, ["faixa_tempo_conta"]), "faixa_tempo_conta", 1),
+        rate_labels(rate_by(clients, ["state"]), "state", 2),
+        rate_labels(rate_by(clients, ["Faixa_CLV"]), "Faixa_CLV", 1),
+    ]
+    return reduce(DataFrame.unionByName, parts)

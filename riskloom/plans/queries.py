@@ -2,13 +2,14 @@
 
 Each reads the raw tables. Where a result depends on customers only, the orders are aggregated
 by user before anything is joined; hour and shift results go through the hourly profile; only
-results that need single orders next to their customer join the two, in slices.
+results that need single orders next to their customer join the two.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import cached_property, reduce
+import uuid
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +17,6 @@ from pyspark.sql import functions as F
 from riskloom import schemas
 from riskloom.functions import labels as L
 from riskloom.operators import curves, features, forest, hourly, refine, report, segments, split
-from riskloom.operators.skew import hot_keys
 from riskloom.session import durable, new_path
 from riskloom.sources import files, testdata
 from riskloom.streaming import flags
@@ -25,6 +25,10 @@ from riskloom.streaming import flags
 STATE_SAMPLE = 60
 
 
+# Paths of the model and the scores by session and folder of the test tables.
+TRAINED: dict[tuple[str, str], tuple[str, str]] = {}
+
+
 class Tables:
     """The frames the queries start from.
 
@@ -56,6 +60,10 @@ class Tables:
     def refined_orders(self) -> DataFrame:
         return refine.refined_orders(self.raw_orders, self.demographics)
 
+    @cached_property
+    def customers(self) -> DataFrame:
+        return features.customers_from_raw(self.raw_users, self.raw_orders)
+
     @cached_property
     def features(self) -> DataFrame:
         return features.features_from_raw(self.raw_users, self.raw_orders)
@@ -68,9 +76,18 @@ class Tables:
     def stored_clients(self) -> DataFrame:
         return durable(self.clients)
 
+    @cached_property
+    def stored_users(self) -> DataFrame:
+        return durable(self.users)
+
     def orders(self, *customer_columns: str) -> DataFrame:
+        """Single orders beside their customer.
+
+        The customers are stored, one row each: the engine splits a hot user only where both sides
+        of a join come straight from a shuffle, and an aggregation by user would not.
+        """
         facts = refine.order_facts(self.raw_orders)
-        return features.orders_modeling(facts, self.users, "inner", customer_columns)
+        return features.orders_modeling(facts, self.stored_users, "inner", customer_columns)
 
     @cached_property
     def profile(self) -> DataFrame:
@@ -104,6 +121,23 @@ class Tables:
         best = curves.best_f1_threshold(curves.pr_curve(stored))
         return report.threshold_predictions(stored, best.select("threshold").scalar())
 
+    @cached_property
+    def trained(self) -> tuple[str, DataFrame]:
+        """Where the fitted model is stored, and the scored held-out customers.
+
+        The forest is fitted once per session and folder, for all queries that need it.
+        """
+        key = (self.spark.sparkContext.applicationId, self.folder)
+        if key not in TRAINED:
+            paths = self.new_path("risk-model"), self.new_path("risk-scores")
+            model, held_out = forest.train_and_score(self.stored_training)
+            files.write_parquet(held_out, paths[1])
+            scored = files.read_parquet(self.spark, paths[1], schemas.SCORED)
+            forest.save(model, curves.best_f1_threshold(curves.pr_curve(scored)), paths[0])
+            TRAINED[key] = paths
+        model_path, scores_path = TRAINED[key]
+        return model_path, files.read_parquet(self.spark, scores_path, schemas.SCORED)
+
     def new_path(self, name: str) -> str:
         return new_path(self.spark, name)
 
@@ -114,16 +148,15 @@ def behavior_features(t: Tables) -> DataFrame:
     return behavior.join(t.demographics.select("user_id"), "user_id", "left_semi")
 
 
-def rate_labels(t: Tables) -> DataFrame:
-    clients = t.stored_clients
-    parts = [
-        segments.rate_labels(
-            segments.rate_by(t.orders(), ["faixa_tempo_conta"]), "faixa_tempo_conta", 1
-        ),
-        segments.rate_labels(segments.rate_by(clients, ["state"]), "state", 2),
-        segments.rate_labels(segments.rate_by(clients, ["Faixa_CLV"]), "Faixa_CLV", 1),
-    ]
-    return reduce(DataFrame.unionByName, parts)
+def utc_times(t: Tables) -> DataFrame:
+    """Creation times that came as text with an offset, or with a zone, as zoneless UTC."""
+    hours = (F.col("order_id") % 25 - 12).cast("int")
+    there = F.col("created_at") + F.make_dt_interval(hours=hours)
+    offset = F.format_string("%+03d:00", hours)
+    text = F.concat(F.date_format(there, "yyyy-MM-dd'T'HH:mm:ss"), offset)
+    as_text = t.raw_orders.select("order_id", text.alias("from_text"))
+    both = as_text.withColumn("from_zone", F.to_timestamp("from_text"))
+    return refine.naive_utc(refine.naive_utc(both, "from_text"), "from_zone")
 
 
 def split_counts(t: Tables) -> DataFrame:
@@ -157,16 +190,8 @@ def parquet_orders(t: Tables) -> DataFrame:
     return files.read_parquet(t.spark, path, schemas.ORDERS_MODELING).drop("mes")
 
 
-def rf_scores(t: Tables) -> DataFrame:
-    return forest.train_and_score(t.stored_training)[1]
-
-
-def rf_metrics(t: Tables) -> DataFrame:
-    return curves.summary(curves.pr_curve(rf_scores(t)))
-
-
 def rf_report(t: Tables) -> DataFrame:
-    scored = durable(rf_scores(t))
+    scored = t.trained[1]
     best = curves.best_f1_threshold(curves.pr_curve(scored))
     return report.classification_report(
         report.threshold_predictions(scored, best.select("threshold").scalar())
@@ -174,23 +199,36 @@ def rf_report(t: Tables) -> DataFrame:
 
 
 def batch_scoring(t: Tables) -> DataFrame:
-    """Train, store, reload, and score every customer with the stored model and threshold."""
-    path = t.new_path("risk-model")
-    model, scored = forest.train_and_score(t.stored_training)
-    forest.save(model, curves.best_f1_threshold(curves.pr_curve(scored)), path)
-    return forest.flag_customers(*forest.load(t.spark, path), t.stored_training)
+    """Score every customer with the stored model and threshold."""
+    return forest.flag_customers(*forest.load(t.spark, t.trained[0]), t.stored_training)
+
+
+def forest_checks(t: Tables) -> DataFrame:
+    """Per class the scored held-out customers, and how many of them break a rule."""
+    model, threshold = forest.load(t.spark, t.trained[0])
+    again = forest.flag_customers(model, threshold, t.stored_training)
+    met = t.trained[1].join(again.withColumnRenamed("score", "after"), "user_id")
+    flagged = F.col("is_high_risk") == 1
+    return met.groupBy(F.col("y").alias(L.TARGET)).agg(
+        F.count("*").alias("n_scored"),
+        F.count_if(~F.col("score").between(0, 1)).alias("out_of_range"),
+        F.count_if(flagged != (F.col("score") >= threshold)).alias("wrong_flags"),
+        F.count_if(F.col("score") != F.col("after")).alias("changed_after_reload"),
+    )
 
 
 def streaming_flags(t: Tables) -> DataFrame:
-    scores = t.new_path("scores")
-    files.write_parquet(t.scored, scores)
-    stored = files.read_parquet(t.spark, scores, schemas.SCORED)
-    threshold = curves.best_f1_threshold(curves.pr_curve(stored)).first()["threshold"]
-    hot = durable(hot_keys(t.raw_orders, "user_id"))
+    scored = durable(t.scored)
+    best = curves.best_f1_threshold(curves.pr_curve(scored)).first()
+    if best is None:
+        raise ValueError("no threshold: there is no bad payer among the customers")
+    name = f"riskloom_scores_{uuid.uuid4().hex}"
+    stored = flags.store_scores(scored, name, t.new_path("scores"))
     out = t.new_path("flags")
     incoming = testdata.order_stream(t.spark, t.folder)
-    flagged = flags.flag_orders(incoming, stored, threshold, hot)
+    flagged = flags.flag_orders(incoming, stored, best["threshold"])
     flags.write_available(flagged, out, t.new_path("state"))
+    t.spark.sql(f"DROP TABLE {name}")
     return t.spark.read.schema(schemas.ORDER_FLAGS).parquet(out)
 
 
@@ -199,21 +237,22 @@ QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "user_order_aggregates": lambda t: refine.user_order_aggregates(t.raw_orders),
     "refined_users": lambda t: t.users,
     "refined_orders": lambda t: t.refined_orders,
+    "utc_times": utc_times,
     # feature tables
     "behavior_features": behavior_features,
     "features_modeling": lambda t: t.features,
     "orders_modeling": lambda t: t.orders(),
     "client_bands": lambda t: t.clients,
     # key figures and segments
-    "kpis": lambda t: segments.kpis(t.features),
-    "conversion_breakdown": lambda t: segments.conversion_breakdown(segments.kpis(t.features)),
+    "kpis": lambda t: segments.kpis(t.customers),
+    "conversion_breakdown": lambda t: segments.conversion_breakdown(segments.kpis(t.customers)),
     "rate_by_account_age": lambda t: segments.rate_by_account_age(t.orders()),
     "rate_by_age_gender": lambda t: segments.rate_by_age_gender(t.clients),
     "rate_by_state": lambda t: segments.rate_by_state(t.features),
     "rate_by_state_min_sample": lambda t: segments.rate_by_state(t.features, STATE_SAMPLE),
     "rate_by_clv": lambda t: segments.rate_by_clv(t.clients),
     "rate_by_age_x_account_age": lambda t: segments.rate_by_age_x_account_age(t.orders("age")),
-    "rate_labels": rate_labels,
+    "rate_labels": lambda t: segments.all_rate_labels(t.stored_clients, t.orders()),
     # hours and shifts
     "detractors_by_shift": lambda t: hourly.detractors_by_shift(t.profile),
     "shift_gap": lambda t: hourly.shift_gap(t.profile),
@@ -231,10 +270,11 @@ QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     ),
     "split_counts": split_counts,
     "class_weights": lambda t: split.class_weights(t.features),
-    "rf_scores": rf_scores,
-    "rf_metrics": rf_metrics,
+    "rf_scores": lambda t: t.trained[1],
+    "rf_metrics": lambda t: curves.summary(curves.pr_curve(t.trained[1])),
     "rf_report": rf_report,
     "batch_scoring": batch_scoring,
+    "forest_checks": forest_checks,
     # ranking metrics
     "pr_curve": lambda t: t.curve.select("score", "tp", "fp", "precision", "recall", "f1"),
     "average_precision": lambda t: rounded(curves.average_precision(t.curve), "average_precision"),

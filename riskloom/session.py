@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -12,6 +13,8 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Split a hot user even where that costs another shuffle.
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
 }
 
 
@@ -30,27 +33,43 @@ def local_session(cpus: int | str = "*", app: str = "riskloom", **extra: str) ->
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder for checkpoints and intermediate tables.
+    """The folder for intermediate tables, which all machines can reach.
 
-    It is the one the cluster names in ``spark.checkpoint.dir``. Only a local session may
-    fall back to a temporary folder: on a cluster no other machine could read it.
+    It is the session's checkpoint folder, or the one named in ``spark.checkpoint.dir``. Without
+    either it lies below the warehouse, where tables are shared as well. The session's own
+    checkpoint folder is left as it is.
     """
-    context = spark.sparkContext
-    current = context.getCheckpointDir()
-    if current:
-        return current
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-        named = tempfile.mkdtemp(prefix="riskloom-")
-    context.setCheckpointDir(named)
-    return context.getCheckpointDir() or named
+    current = spark.sparkContext.getCheckpointDir()
+    named = current or spark.conf.get("spark.checkpoint.dir", None)
+    return named or f"{spark.conf.get('spark.sql.warehouse.dir')}/riskloom-intermediate"
+
+
+# Paths handed out within the open ``temporary`` blocks, innermost last.
+_OPEN: list[list[str]] = []
 
 
 def new_path(spark: SparkSession, name: str) -> str:
     """A fresh path for an intermediate table in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if _OPEN:
+        _OPEN[-1].append(path)
+    return path
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Remove the intermediate tables that the block wrote when it ends.
+
+    Frames that read them must be computed within the block.
+    """
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        hadoop = spark._jvm.org.apache.hadoop.fs.Path
+        for path in _OPEN.pop():
+            folder = hadoop(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def durable(df: DataFrame) -> DataFrame:

@@ -4,23 +4,59 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-
-# Microseconds are spelled out: the CSV writer's own format stops at milliseconds.
-CSV_OPTIONS = {"header": "true", "timestampNTZFormat": "yyyy-MM-dd HH:mm:ss.SSSSSS"}
-
-
-def read_parquet(spark: SparkSession, path: str, schema: str) -> DataFrame:
+from pyspark.sql.types import StringType, StructField, StructType, TimestampNTZType
+
+from riskloom.functions.columns import naive_utc
+
+# Microseconds are spelled out: the CSV writer's own format stops at milliseconds. Blanks at the
+# ends of a string are part of it.
+WRITE_OPTIONS = {
+    "header": "true",
+    "timestampNTZFormat": "yyyy-MM-dd HH:mm:ss.SSSSSS",
+    "ignoreLeadingWhiteSpace": "false",
+    "ignoreTrailingWhiteSpace": "false",
+    "escape": '"',
+}
+READ_OPTIONS = {
+    "header": "true",
+    "ignoreLeadingWhiteSpace": "false",
+    "ignoreTrailingWhiteSpace": "false",
+    "escape": '"',
+    "mode": "FAILFAST",
+}
+# What a time may look like in a file: any number of fraction digits, and a zone or none.
+TIME_TEXT = r"^\d{4}-\d{2}-\d{2}([ T]\d{2}:\d{2}(:\d{2}(\.\d+)?)?)?\s*(Z|UTC|[+-]\d{2}:?\d{2})?$"
+
+
+def read_parquet(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
-def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Read CSV with the given types; a row that does not fit them fails the job."""
-    return spark.read.schema(schema).options(**CSV_OPTIONS, mode="FAILFAST").csv(path)
+def read_csv(
+    spark: SparkSession, path: str, schema: str, multi_line: bool = False
+) -> DataFrame:
+    """Read CSV with the given types; a row that does not fit them fails the job.
+
+    Times may have whole seconds or fractions and a zone, in which case they become UTC. Files
+    whose strings hold line breaks need ``multi_line``; then a file is read by one task.
+    """
+    wanted = StructType.fromDDL(schema)
+    times = [f.name for f in wanted if f.dataType == TimestampNTZType()]
+    as_text = StructType(
+        [StructField(f.name, StringType() if f.name in times else f.dataType) for f in wanted]
+    )
+    rows = spark.read.schema(as_text).options(**READ_OPTIONS, multiLine=multi_line).csv(path)
+    for name in times:
+        bad = F.concat(F.lit(f"malformed time in column {name}: "), F.col(name))
+        fits = F.col(name).isNull() | F.trim(name).rlike(TIME_TEXT)
+        rows = rows.withColumn(name, F.when(fits, F.col(name)).otherwise(F.raise_error(bad)))
+        rows = naive_utc(rows, name)
+    return rows
 
 
 def write_csv(df: DataFrame, path: str) -> None:
     """Write CSV with a header. Empty strings come back as null."""
-    df.write.mode("overwrite").options(**CSV_OPTIONS).csv(path)
+    df.write.mode("overwrite").options(**WRITE_OPTIONS).csv(path)
 
 
 def write_parquet(df: DataFrame, path: str) -> None:

@@ -55,18 +55,14 @@ def raw_orders(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-# Bytes of new files a micro-batch may take, so that a backlog is worked off in steps.
-BATCH_BYTES = 64 * 1024**3
-
-
-def order_stream(spark: SparkSession, folder: str, batch_bytes: int = BATCH_BYTES) -> DataFrame:
+def order_stream(spark: SparkSession, folder: str, batch_bytes: int | None = None) -> DataFrame:
     """The order table read as a stream of files.
 
-    The pattern lets the table be a single file, which a stream does not accept by its name.
+    ``batch_bytes``: new bytes a micro-batch may take, so that a backlog is worked off in steps; by
+    default a batch takes all there is. The pattern, which matches that one name, lets the table
+    be a single file: a stream does not accept a file by its plain name.
     """
-    return (
-        spark.readStream.schema(schemas.TEST_TABLES["orders"])
-        .option("maxBytesPerTrigger", batch_bytes)
-        .parquet(f"{folder}/orders.parquet*")
-        .selectExpr(*ORDER_COLUMNS)
-    )
+    reader = spark.readStream.schema(schemas.TEST_TABLES["orders"])
+    if batch_bytes:
+        reader = reader.option("maxBytesPerTrigger", batch_bytes)
+    return reader.parquet(f"{folder}/orders.parque[t]").selectExpr(*ORDER_COLUMNS)

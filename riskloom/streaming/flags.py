@@ -5,35 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.operators.skew import sliced_join
 
-# Slices for users who are not known to be hot, in case one becomes so within a micro-batch.
-USUAL_SLICES = 4
+def store_scores(scores: DataFrame, table: str, path: str, buckets: int | None = None) -> DataFrame:
+    """Store scores (user_id, score) laid out by user, for joins that move only the orders.
+
+    ``buckets`` should be the number of shuffle partitions of the jobs that read the table, which
+    is the default; ``path`` holds its files.
+    """
+    spark = scores.sparkSession
+    count = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    laid_out = scores.select("user_id", "score").repartition(count, "user_id")
+    writer = laid_out.write.format("parquet").mode("overwrite").option("path", path)
+    writer.bucketBy(count, "user_id").sortBy("user_id").saveAsTable(table)
+    return spark.table(table)
 
 
-def flag_orders(
-    orders: DataFrame,
-    scores: DataFrame,
-    threshold: float,
-    hot: DataFrame,
-    usual_slices: int = USUAL_SLICES,
-) -> DataFrame:
+def flag_orders(orders: DataFrame, scores: DataFrame, threshold: float) -> DataFrame:
     """Attach the stored score of the customer to each order and flag it at the threshold.
 
     ``orders`` is a stream or a batch; ``scores`` is a stored table (user_id, score), unique on
-    the user; ``hot`` is the list of hot users in the stored orders. An order of an unscored
-    customer passes through without a flag. The join keeps no state between micro-batches, so
-    replayed input gives the same rows.
+    the user. An order of an unscored customer passes through without a flag. An order that is
+    delivered again appears once: its id is remembered, for ever, so a late order is never
+    dropped, and only the ids are kept between micro-batches. Users with very many orders are
+    split by the engine's skew join.
     """
-    scored = sliced_join(
-        orders,
-        scores.select("user_id", "score"),
-        "user_id",
-        "order_id",
-        "left",
-        hot=hot,
-        usual_slices=usual_slices,
-    )
+    once = orders.dropDuplicates(["order_id"])
+    scored = once.join(scores.select("user_id", "score"), "user_id", "left")
     high = F.coalesce((F.col("score") >= threshold).cast("int"), F.lit(0))
     return scored.select(
         "order_id",
@@ -45,13 +42,26 @@ def flag_orders(
 
 
 def write_available(flags: DataFrame, path: str, checkpoint: str) -> None:
-    """Process what has arrived, write it to Parquet exactly once, and stop."""
-    query = (
-        flags.writeStream.format("parquet")
-        .option("path", path)
-        .option("checkpointLocation", checkpoint)
-        .outputMode("append")
-        .trigger(availableNow=True)
-        .start()
+    """Process what has arrived, write it to Parquet exactly once, and stop.
+
+    The ids already seen are kept in RocksDB, on the executors' disks, with changes in
+    ``checkpoint``.
+    """
+    spark = flags.sparkSession
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(
+        key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
     )
-    query.awaitTermination()
+    try:
+        query = (
+            flags.writeStream.format("parquet")
+            .option("path", path)
+            .option("checkpointLocation", checkpoint)
+            .outputMode("append")
+            .trigger(availableNow=True)
+            .start()
+        )
+        query.awaitTermination()
+    finally:
+        spark.conf.set(key, before)

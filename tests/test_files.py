@@ -23,6 +23,38 @@ def test_csv_empty_strings_come_back_as_null(spark, tmp_path):
     assert files.read_csv(spark, path, schemas.RAW_USERS).first().gender is None
 
 
+def test_csv_keeps_blanks_quotes_and_line_breaks(spark, tmp_path):
+    texts = [" lead", "trail ", " both ", 'say "x", y', "a\nb", "a\r\nb", "\\", "back\\slash,"]
+    table = users(spark, *((i, at("2020-01-01"), 30, text) for i, text in enumerate(texts)))
+    path = str(tmp_path / "users")
+    files.write_csv(table, path)
+    assert_equal(files.read_csv(spark, path, schemas.RAW_USERS, multi_line=True), table)
+
+
+def test_csv_times_of_any_precision_and_zone(spark, tmp_path):
+    path = tmp_path / "users.csv"
+    texts = {
+        "2020-01-01 10:00:00": "2020-01-01T10:00:00",
+        "2020-01-01 10:00:00.5": "2020-01-01T10:00:00.500000",
+        "2020-01-01 10:00:00.123456": "2020-01-01T10:00:00.123456",
+        "2020-01-01 10:00:00+00:00": "2020-01-01T10:00:00",
+        "2020-01-01T10:00:00-03:00": "2020-01-01T13:00:00",
+        "2020-01-01 10:00:00.25 UTC": "2020-01-01T10:00:00.250000",
+        "2020-01-01": "2020-01-01T00:00:00",
+    }
+    lines = [f"{i},30,F,A,B,{text}" for i, text in enumerate(texts)]
+    path.write_text("\n".join(["id,age,gender,state,country,created_at", *lines, "99,30,F,A,B,"]) + "\n")
+    found = files.read_csv(spark, str(path), schemas.RAW_USERS).orderBy("id").collect()
+    assert [row.created_at for row in found] == [*map(at, texts.values()), None]
+
+
+def test_bad_csv_time_fails(spark, tmp_path):
+    path = tmp_path / "users.csv"
+    path.write_text("id,age,gender,state,country,created_at\n1,3,F,A,B,yesterday\n")
+    with pytest.raises(Exception, match="(?i)malformed"):
+        files.read_csv(spark, str(path), schemas.RAW_USERS).collect()
+
+
 def test_csv_overwrites(spark, tmp_path):
     path = str(tmp_path / "users")
     for user in (1, 2):

@@ -50,3 +50,28 @@ def test_model_and_threshold_come_back(spark, trained, clients, tmp_path):
 
 def test_features_do_not_give_the_target_away():
     assert not {"total_cancelled_orders", "total_returned_orders", L.TARGET} & set(L.FEATURES)
+
+
+def test_separable_customers_come_out_right(spark):
+    rows = [(i, *([10.0 * (i % 2) + (i % 7) / 10] * len(L.FEATURES)), i % 2) for i in range(400)]
+    schema = ", ".join(["user_id bigint", *(f"{f} double" for f in L.FEATURES), f"{L.TARGET} int"])
+    _, scored = forest.train_and_score(spark.createDataFrame(rows, schema), trees=10)
+    found = scored.collect()
+    assert len(found) == 80
+    assert all((row.score >= 0.5) == (row.y == 1) for row in found)
+
+
+def test_missing_features_are_named(spark, clients):
+    frame = training_frame(clients)
+    gap = frame.withColumn("age", F.when(F.col("user_id") % 100 != 0, F.col("age")))
+    missing = gap.where("age IS NULL").count()
+    with pytest.raises(ValueError, match=f"age in {missing} rows"):
+        forest.train(gap, trees=2)
+
+
+def test_no_threshold_is_refused(spark, trained, tmp_path):
+    model, scored = trained
+    best = curves.best_f1_threshold(curves.pr_curve(scored.where("y = 0")))
+    with pytest.raises(ValueError, match="no threshold"):
+        forest.save(model, best, str(tmp_path))
+    assert not (tmp_path / "threshold").exists()

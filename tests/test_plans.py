@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from types import SimpleNamespace
+
 import pytest
 
+from riskloom.operators import report
 from riskloom.plans.queries import Tables
 from riskloom.session import new_path, shared_dir
 
@@ -52,14 +55,35 @@ def test_profile_scans_orders_once(spark, folder, no_broadcast):
     assert "lineitem.parquet" not in plan
 
 
-def test_only_hot_key_lists_and_nations_are_broadcast(spark, folder, no_broadcast):
+def test_orders_are_read_for_the_join_and_the_label_only(spark, folder, no_broadcast):
     plan = plan_of(Tables(spark, folder).orders())
-    assert plan.count("TakeOrderedAndProject") == 2
-    assert plan.count("nation.parquet") == 1
-    assert plan.count("BroadcastExchange") == 3
+    # The customers are stored before; there is no further pass over the keys.
+    assert plan.count("orders.parquet") == 1 and plan.count("FileScan") == 3
+    assert "BroadcastExchange" not in plan
+
+
+def test_report_scans_the_predictions_once(spark, folder, tmp_path):
+    path = str(tmp_path / "predictions")
+    Tables(spark, folder).predictions.write.parquet(path)
+    df = report.classification_report(spark.read.parquet(path))
+    assert df.count() == 10
+    assert plan_of(df).count("FileScan") == 1
 
 
 def test_shared_folder_is_the_one_of_the_session(spark):
-    assert spark.sparkContext.getCheckpointDir() == shared_dir(spark)
+    set_by_caller = spark.sparkContext.getCheckpointDir()
+    assert set_by_caller == shared_dir(spark)
     assert new_path(spark, "x").startswith(shared_dir(spark))
     assert new_path(spark, "x") != new_path(spark, "x")
+    assert spark.sparkContext.getCheckpointDir() == set_by_caller
+
+
+def test_shared_folder_without_a_checkpoint_folder():
+    conf = {"spark.sql.warehouse.dir": "s3://bucket/warehouse"}
+    context = SimpleNamespace(getCheckpointDir=lambda: None)
+    session = SimpleNamespace(
+        sparkContext=context, conf=SimpleNamespace(get=lambda key, default=None: conf.get(key, default))
+    )
+    assert shared_dir(session) == "s3://bucket/warehouse/riskloom-intermediate"
+    conf["spark.checkpoint.dir"] = "hdfs://shared"
+    assert shared_dir(session) == "hdfs://shared"

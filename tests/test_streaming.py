@@ -4,22 +4,26 @@ import pytest
 from pyspark.sql import functions as F
 
 from riskloom import schemas
-from riskloom.operators.skew import hot_keys
 from riskloom.sources import testdata
-from riskloom.streaming.flags import flag_orders, write_available
+from riskloom.streaming.flags import flag_orders, store_scores, write_available
 from tests.frames import assert_equal, at, many_users, orders, skewed_orders, values
+from tests.test_skew import final_plan, hot_orders, low_thresholds  # noqa: F401
 
 SCORES = "user_id bigint, score double"
 
 
+def computed(df):
+    """The rows alone: the comparison of multisets does not bear a de-duplication below it."""
+    return df.sparkSession.createDataFrame(df.collect(), df.schema)
+
+
 def test_flags(spark):
     scores = spark.createDataFrame([(1, 0.9), (2, 0.5), (3, 0.4)], SCORES)
     incoming = orders(
         spark,
         *((i, user, "Complete", at("2020-01-01"), 1) for i, user in enumerate((1, 2, 3, 4, None))),
     )
-    hot = hot_keys(incoming, "user_id")
-    flags = flag_orders(incoming, scores, 0.5, hot).orderBy("order_id")
+    flags = flag_orders(incoming, scores, 0.5).orderBy("order_id")
     assert flags.columns == [c.split()[0] for c in schemas.ORDER_FLAGS.split(", ")]
     assert values(flags, "user_id", "score", "is_high_risk") == [
         (1, 0.9, 1),
@@ -30,46 +34,62 @@ def test_flags(spark):
     ]
 
 
-@pytest.mark.parametrize("slice_rows", [10, 1_000_000])
-@pytest.mark.parametrize("usual_slices", [1, 4])
-def test_slices_do_not_change_the_flags(spark, slice_rows, usual_slices):
-    ids = many_users(spark).select(F.col("id").alias("user_id"))
-    scores = ids.withColumn("score", F.col("user_id") / 100)
-    incoming = skewed_orders(spark)
-    hot = hot_keys(incoming, "user_id", slice_rows)
-    flags = flag_orders(incoming, scores, 0.4, hot, usual_slices)
-    plain = incoming.join(scores, "user_id", "left").select(
-        "order_id",
-        "user_id",
-        F.col("created_at").alias("order_timestamp"),
-        "score",
-        F.when(F.col("score") >= 0.4, 1).otherwise(0).alias("is_high_risk"),
-    )
-    assert_equal(flags, plain)
-
-
-def test_stream_picks_up_only_new_files(spark, tmp_path):
+def test_redelivered_orders_appear_once_and_late_ones_survive(spark, tmp_path):
     source, out, state = (str(tmp_path / name) for name in ("in", "out", "state"))
     scores = spark.createDataFrame([(7, 0.9)], SCORES)
     batch = skewed_orders(spark, 300)
-    hot = hot_keys(batch, "user_id", 10)
 
     def run():
         stream = spark.readStream.schema(schemas.RAW_ORDERS).parquet(source)
-        write_available(flag_orders(stream, scores, 0.5, hot), out, state)
+        write_available(flag_orders(stream, scores, 0.5), out, state)
         return spark.read.schema(schemas.ORDER_FLAGS).parquet(out)
 
-    batch.where("order_id < 200").write.parquet(source)
+    batch.where("order_id >= 100").write.parquet(source)
     assert run().count() == 200
     assert run().count() == 200
-    batch.where("order_id >= 200").write.mode("append").parquet(source)
-    assert_equal(run(), flag_orders(batch, scores, 0.5, hot))
+    # Half of what comes next was there before; the rest is older than all of it.
+    batch.where("order_id < 200").write.mode("append").parquet(source)
+    assert_equal(run(), computed(flag_orders(batch, scores, 0.5)))
+
+
+def test_scores_stay_in_place(spark, tmp_path):
+    """The plan of a micro-batch moves orders only: the stored scores are read by user."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        ids = many_users(spark).select(F.col("id").alias("user_id"))
+        scores = ids.withColumn("score", F.col("user_id") / 100)
+        stored = store_scores(scores, "kept_scores", str(tmp_path / "scores"))
+        flagged = flag_orders(skewed_orders(spark), stored, 0.4)
+        plan = flagged._jdf.queryExecution().executedPlan().toString()
+        side = plan[plan.index("SortMergeJoin") :]
+        right = side[side.rindex("Sort [") :]
+        assert "kept_scores" in right and "Exchange" not in right and "Bucketed: true" in right
+        assert "explode" not in plan
+        assert_equal(computed(flagged), computed(flag_orders(skewed_orders(spark), scores, 0.4)))
+    finally:
+        spark.sql("DROP TABLE IF EXISTS kept_scores")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_skewed_stream_is_split(spark, tmp_path, low_thresholds):
+    hot_orders(spark).write.parquet(str(tmp_path / "in"))
+    ids = many_users(spark).select(F.col("id").alias("user_id"))
+    scores = ids.withColumn("score", F.col("user_id") / 100)
+    batch = spark.read.schema(schemas.RAW_ORDERS).parquet(str(tmp_path / "in"))
+    plain = batch.join(scores, "user_id", "left")
+    assert "skew=true" in final_plan(plain)
+    stream = spark.readStream.schema(schemas.RAW_ORDERS).parquet(str(tmp_path / "in"))
+    write_available(flag_orders(stream, scores, 0.4), str(tmp_path / "out"), str(tmp_path / "s"))
+    written = spark.read.schema(schemas.ORDER_FLAGS).parquet(str(tmp_path / "out"))
+    assert_equal(written, computed(flag_orders(batch, scores, 0.4)))
 
 
-@pytest.mark.parametrize("batch_bytes", [1, testdata.BATCH_BYTES])
+@pytest.mark.parametrize("batch_bytes", [1, None])
 def test_order_table_as_a_folder_of_files(spark, folder, tmp_path, batch_bytes):
     table = testdata.table(spark, folder, "orders")
     table.repartition(3).write.parquet(str(tmp_path / "orders.parquet"))
+    table.limit(5).write.parquet(str(tmp_path / "orders.parquet.bak"))  # not part of it
     stream = testdata.order_stream(spark, str(tmp_path), batch_bytes)
     out = str(tmp_path / "out")
     write_available(stream, out, str(tmp_path / "state"))
