@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from riskloom.llm import balltree, bpe, brown, forest_dedup, langid, mixing, pii, secrets, substrings, vectors
 from riskloom.llm.common import table
+from riskloom.llm.oracle import ORACLE_SQL  # noqa: F401  (part of the registration)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -76,5 +77,3 @@ QUERIES: dict[str, Query] = {
     "op9_secrets": op9_secrets,
     "op10_pii": op10_pii,
 }
-
-ORACLE_SQL: dict[str, str] = {}
