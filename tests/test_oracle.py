@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 
 import pytest
 
@@ -26,7 +27,11 @@ def connection():
     return duck(ORACLE_FOLDER)
 
 
-@pytest.mark.parametrize("name", contract.oracle_sql())
+# The queries of the training-data operators have their own tests.
+NAMES = [name for name in contract.oracle_sql() if not re.match(r"op\d+_|pipeline$", name)]
+
+
+@pytest.mark.parametrize("name", NAMES)
 def test_same_result(spark, connection, name):
     sql = contract.oracle_sql()[name]
     df = contract.queries()[name](spark, ORACLE_FOLDER)
@@ -39,7 +44,7 @@ def test_same_result(spark, connection, name):
 def test_every_statement_belongs_to_a_query():
     assert set(contract.oracle_sql()) <= set(contract.queries())
     unchecked = set(contract.queries()) - set(contract.oracle_sql())
-    unchecked = {name for name in unchecked if not name.startswith("op") and name != "pipeline"}
+    unchecked = {name for name in unchecked if not re.match(r"op\d+_|pipeline$", name)}
     assert unchecked == {"rf_scores", "rf_metrics", "rf_report", "batch_scoring"}
 
 
