@@ -8,8 +8,8 @@ smaller id, or earlier in the same one. Texts are UTF-8 bytes, and strings never
    becomes pieces: runs of strings with the same anchor. Pieces, of two numbers each, are grouped
    by anchor. An anchor met once has no repeated string. Of pieces with the same content all but the
    first are repeats as a whole; within a task they are taken out before anything is shuffled.
-2. Suffix groups. Where an anchor has several pieces, or comes twice in one, a suffix array of
-   their text decides: suffixes with a common prefix of LENGTH bytes stand together, and all but
+2. Suffix groups. Where an anchor has several pieces, or comes twice in one, a suffix array decides,
+   of as much of their text around the anchor as any two have in common: suffixes with a common prefix of LENGTH bytes stand together, and all but
    the first of them are repeats. See :mod:`riskloom.llm.suffixes`. Anchors with more pieces than
    a block holds have several blocks; what the blocks find is joined by a digest of the string.
 3. The removed spans of each document are joined to its text.
@@ -43,7 +43,7 @@ PIECE = 512
 CHUNK_BYTES = 16 << 20
 # Pieces of one anchor, and bytes of text, in a suffix array.
 BLOCK_PIECES = 1500
-ARRAY_BYTES = 256 << 10
+ARRAY_BYTES = 512 << 10
 
 
 def _sliding(values: np.ndarray, width: int, of) -> np.ndarray:
@@ -249,6 +249,58 @@ def cut_out(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return met.mapInArrow(run, "anchor bigint, block int, doc bigint, start int, text binary")
 
 
+def _common_length(rows: np.ndarray, group: np.ndarray, reach: np.ndarray) -> np.ndarray:
+    """The most bytes that each row has in common with another one of its group, from the left."""
+    words = rows.view(">u8")
+    order = np.lexsort((*(words[:, k] for k in reversed(range(words.shape[1]))), group))
+    differs = rows[order][1:] != rows[order][:-1]
+    common = np.where(differs.any(axis=1), differs.argmax(axis=1), rows.shape[1])
+    common[group[order][1:] != group[order][:-1]] = 0
+    most = np.zeros(len(rows), np.int64)
+    most[order] = np.maximum(np.r_[0, common], np.r_[common, 0])
+    return np.minimum(most, reach)
+
+
+def shared_parts(anchor: np.ndarray, texts: list[bytes], group: np.ndarray):
+    """Where each piece can have a string in common with another one of its group, as (from, to).
+
+    Around the anchor a piece agrees with any other for at most some bytes to the left and some to the
+    right, which sorting shows. Where both and the anchor make less than LENGTH, there is no common
+    string, and none reaches beyond them. Pieces that hold the anchor twice stay whole.
+    """
+    lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+    ends = np.cumsum(lengths)
+    starts = ends - lengths
+    raw = np.frombuffer(b"".join(texts), np.uint8)
+    owner = np.repeat(np.arange(len(texts)), lengths)
+    hashes = _anchor_hashes(raw)
+    own = owner[: len(hashes)]
+    at = np.flatnonzero((hashes == anchor[own]) & (np.arange(len(hashes)) + ANCHOR <= ends[own]))
+    own = owner[at]
+    wide = (LENGTH - ANCHOR + 7) // 8 * 8
+    plus = raw + np.uint8(1)  # UTF-8 has no byte 0xff, so zero is free to stand for the end
+
+    def beside(places: np.ndarray, inside: np.ndarray) -> np.ndarray:
+        rows = plus[np.clip(places, 0, len(raw) - 1)]
+        rows[~inside] = 0
+        return np.ascontiguousarray(rows)
+
+    step = np.arange(wide)
+    to_right = at[:, None] + ANCHOR + step
+    to_left = at[:, None] - 1 - step
+    right = beside(to_right, to_right < ends[own][:, None])
+    left = beside(to_left, to_left >= starts[own][:, None])
+    after = _common_length(right, group[own], ends[own] - at - ANCHOR)
+    before = _common_length(left, group[own], at - starts[own])
+    count = np.bincount(own, minlength=len(texts))
+    low, high = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
+    once = (count[own] == 1) & (before + ANCHOR + after >= LENGTH)
+    low[own[once]] = at[once] - before[once] - starts[own[once]]
+    high[own[once]] = at[once] + ANCHOR + after[once] - starts[own[once]]
+    high[count > 1] = lengths[count > 1]
+    return low, high
+
+
 def repeated_starts(texts: list[bytes], group: np.ndarray):
     """Strings of LENGTH bytes that stand together in the suffix order of their group.
 
@@ -281,9 +333,22 @@ def suffix_repeats(pieces: DataFrame) -> DataFrame:
         "anchor", "block", "doc", "start"
     )
 
+    found = pa.schema(
+        [("doc", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("one", pa.binary())]
+    )
+
     def solved(anchor, block, doc, start, text) -> pa.RecordBatch:
         new = np.r_[True, (anchor[1:] != anchor[:-1]) | (block[1:] != block[:-1])]
         group = np.cumsum(new) - 1
+        # A full block may not be all of its anchor's, so its pieces stay as they are.
+        partial = (np.bincount(group)[group] >= BLOCK_PIECES) | (block > 0)
+        low, high = shared_parts(anchor.view(np.uint64), text, group)
+        low[partial], high[partial] = 0, [len(text[i]) for i in np.flatnonzero(partial)]
+        some = np.flatnonzero(high - low >= LENGTH)
+        if not len(some):
+            return pa.RecordBatch.from_pylist([], schema=found)
+        doc, start, group, partial = doc[some], (start + low)[some], group[some], partial[some]
+        text = [text[i][a:b] for i, a, b in zip(some, low[some], high[some])]
         piece, at, kind = repeated_starts(text, group)
         place = doc[piece], start[piece] + at
         by = np.lexsort((place[1], place[0], kind))
@@ -300,8 +365,6 @@ def suffix_repeats(pieces: DataFrame) -> DataFrame:
         out_start = (start[p[head]] + s[head]).tolist()
         out_end = (start[p[tail]] + s[tail] + LENGTH).tolist()
         one: list[bytes | None] = [None] * len(head)
-        size = np.bincount(group)
-        partial = (size[group] >= BLOCK_PIECES) | (block > 0)
         for i, a in zip(piece[first & partial[piece]].tolist(), at[first & partial[piece]].tolist()):
             out_doc.append(doc[i])
             out_start.append(start[i] + a)
@@ -314,7 +377,7 @@ def suffix_repeats(pieces: DataFrame) -> DataFrame:
                 pa.array(out_end, pa.int32()),
                 pa.array(one, pa.binary()),
             ],
-            names=["doc", "start", "end", "one"],
+            schema=found,
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
