@@ -7,15 +7,16 @@ a node with the longest common prefixes are its candidates; at least MIN_DEPTH v
 Two documents with a similarity of 0.8 agree that far in some tree but for one case in 100,000.
 
 1. Nodes that share MIN_DEPTH values with no other node in a tree drop out of that tree.
-2. In the first trees, each node is checked against its next neighbour in the sorted order.
-   The links join the nodes of dense regions into components, however many there are.
-3. In all trees, only nodes of different components still have to be compared. Regions in which
-   such nodes are many are cut by longer prefixes, each region as deep as it needs; what shares
+2. Each node is checked against its next neighbour in the sorted order, first in a few trees, then
+   in all where the two are not yet connected. The links join the nodes of dense regions into
+   components, however many there are.
+3. Only nodes of different components still have to be compared, each with all others in its
+   regions, the likeliest partners first, as they mostly join what belongs together. Regions with many are cut by longer prefixes, each as deep as it needs; what shares
    all DEPTH values is compared block by block. No region is skipped or shortened.
 
-Each check is exact: the sizes of intersection and union of the two full sets. Comparing 128 values of
-the signatures first spares most checks of unlike sets; a pair at the threshold fails that test
-with a probability below 1e-6.
+Each check is exact: the sizes of intersection and union of the two full sets. Comparing first 128
+values of the signatures and then all spares most checks of unlike sets; a pair at the threshold
+fails these tests with a probability below 1e-6.
 
 Edge cases: null and empty texts, or those without a word, have an empty set and link with
 nothing; fewer words than a shingle has make one shingle. A missing id gives a missing
@@ -28,12 +29,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import as_utf8, blocks, mix64, word_hashes
+from riskloom.llm.common import apart, as_utf8, blocks, mix64, segments, word_hashes
 from riskloom.llm.components import components
 from riskloom.session import durable
 
@@ -46,10 +46,13 @@ FIRST_TREES = 3
 SKETCH = 128
 # Sketches of sets with a similarity of 0.8 agree in at least this share, five deviations off.
 SKETCH_AGREES = 0.62
+# The same for whole signatures.
+SIGNATURE_AGREES = 0.68
+# Partners of a node in a region that are checked before all others are.
+LIKELIEST = 2
 # Rows of a region in one task: in a sorted run, and when all of them are compared.
 RUN_ROWS = 4096
-REGION_ROWS = 256
-SHINGLES_AT_ONCE = 1 << 15
+REGION_ROWS = 2048
 
 _MULTIPLIERS = mix64(np.arange(1, TREES * DEPTH + 1, dtype=np.uint64) * np.uint64(0x9E3779B9)) | np.uint64(1)
 
@@ -192,11 +195,11 @@ def with_company(rows: DataFrame) -> DataFrame:
     ordered = rows.repartitionByRange("tree", "key", "node").sortWithinPartitions("tree", "key")
     few = durable(ordered.mapInArrow(run, rows.schema).withColumn("region", prefix(MIN_DEPTH)))
     sizes = few.groupBy("tree", "region").agg(F.count("*").alias("size")).where("size > 1")
-    return few.join(sizes, ["tree", "region"])
+    return few.join(apart(sizes, "region"), ["tree", "region"])
 
 
 def neighbour_links(near: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(u, v): linked neighbours in the sorted orders of the first trees."""
+    """(u, v): nodes that chains of linked neighbours join in the sorted orders of the first trees."""
     parts = F.ceil(F.col("size") / RUN_ROWS)
     rows = (
         near.where(F.col("tree") < FIRST_TREES)
@@ -208,17 +211,19 @@ def neighbour_links(near: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None
+        last = head = None
         for batch in batches:
             u, v = [], []
             for tree, region, part, node, shingles in zip(
                 *(batch.column(i).to_pylist() for i in range(5))
             ):
-                if last and last[:3] == (tree, region, part) and last[3] != node:
-                    if linked(last[4], shingles, percent):
-                        u.append(last[3])
-                        v.append(node)
-                last = (tree, region, part, node, shingles)
+                near = last and last[:3] == (tree, region, part)
+                if near and linked(last[3], shingles, percent):
+                    u.append(head)  # a chain of links becomes a star, which is found faster
+                    v.append(node)
+                else:
+                    head = node
+                last = (tree, region, part, shingles)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(u, pa.binary()), pa.array(v, pa.binary())], names=["u", "v"]
             )
@@ -226,8 +231,8 @@ def neighbour_links(near: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     return rows.mapInArrow(run, "u binary, v binary").distinct()
 
 
-def cross_pairs(near: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
-    """(u, v): candidates of different components; a region is as deep as its size asks for."""
+def with_components(near: DataFrame, groups: DataFrame) -> DataFrame:
+    """The rows of regions that hold nodes of different components."""
     rows = near.join(groups.select(F.col("id").alias("node"), "component_id"), "node", "left")
     rows = rows.withColumn("component", F.coalesce("component_id", "node")).drop("component_id")
     mixed = (
@@ -236,12 +241,77 @@ def cross_pairs(near: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
         .where("low != high")
         .select("tree", "region")
     )
-    rows = durable(rows.drop("size").join(mixed, ["tree", "region"]))
+    return durable(rows.join(apart(mixed, "region"), ["tree", "region"]))
+
+
+def _alike(sketch: np.ndarray, a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
+    return (sketch[a] == sketch[b]).mean(axis=1) >= least
+
+
+def _sketches(batch: pa.RecordBatch) -> np.ndarray:
+    column = batch.column(batch.schema.get_field_index("sketch"))
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+
+
+def _numbered(column: pa.Array) -> np.ndarray:
+    return column.dictionary_encode().indices.to_numpy()
+
+
+PAIR = "u binary, v binary"
+
+
+def _pairs(batch: pa.RecordBatch, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    node = batch.column(batch.schema.get_field_index("node"))
+    return pa.RecordBatch.from_arrays([node.take(pa.array(a)), node.take(pa.array(b))], ["u", "v"])
+
+
+def ordered_pairs(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+
+
+def neighbour_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """(u, v): neighbours of different components in the sorted orders of all trees."""
+    parts = F.ceil(F.col("size") / RUN_ROWS)
+    run_of = ["tree", "region", "part"]
+    ordered = (
+        rows.withColumn("part", F.pmod(F.xxhash64("node", "tree"), parts))
+        .repartition(*run_of)
+        .sortWithinPartitions(*run_of, "key", "node")
+        .select(*run_of, "node", "component", "n", "sketch")
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, bounds in segments(batches, run_of):
+            sketch, size = _sketches(batch), batch.column(5).to_numpy()
+            component = _numbered(batch.column(4))
+            a = np.setdiff1d(np.arange(batch.num_rows - 1), np.array(bounds[1:]) - 1)
+            b = a + 1
+            can = component[a] != component[b]
+            can &= 100 * np.minimum(size[a], size[b]) >= percent * np.maximum(size[a], size[b])
+            a, b = a[can], b[can]
+            near = _alike(sketch, a, b, SKETCH_AGREES)
+            yield _pairs(batch, a[near], b[near])
+
+    return ordered_pairs(ordered.mapInArrow(run, PAIR))
+
+
+def likeliest_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """(u, v): of all candidates of different components the LIKELIEST of each node and region."""
+    return cross_pairs(rows, percent, LIKELIEST)
+
+
+def cross_pairs(rows: DataFrame, percent: int, best: int | None = None) -> DataFrame:
+    """(u, v): all candidates of different components; a region is as deep as its size asks for.
+
+    With ``best`` only so many for each node and region, those that agree most in their sketches.
+    """
+    rows = rows.drop("size")
     depths = range(MIN_DEPTH, DEPTH + 1)
+    narrow = rows.select("tree", "key", "node")
     depth = F.lit(DEPTH)
     for d in reversed(depths):
-        sizes = rows.groupBy("tree", prefix(d).alias(f"p{d}")).agg(F.count("*").alias(f"n{d}"))
-        rows = rows.withColumn(f"p{d}", prefix(d)).join(sizes, ["tree", f"p{d}"])
+        sizes = narrow.groupBy("tree", prefix(d).alias(f"p{d}")).agg(F.count("*").alias(f"n{d}"))
+        rows = rows.withColumn(f"p{d}", prefix(d)).join(apart(sizes, f"p{d}"), ["tree", f"p{d}"])
         depth = F.when(F.col(f"n{d}") <= REGION_ROWS, F.lit(d)).otherwise(depth)
     rows = rows.withColumn("depth", depth)
     choice = lambda name: F.coalesce(
@@ -251,50 +321,71 @@ def cross_pairs(near: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
     rows = rows.withColumns({"at": choice("p"), "parts": parts})
     rows = rows.withColumn("part", F.pmod(F.xxhash64("node", "tree"), F.col("parts")).cast("int"))
     # Blocks i <= j of a region meet once.
+    met = ["tree", "depth", "at", "i", "j"]
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     rows = rows.withColumn("other", other).select(
         "tree", "depth", "at", F.least("part", "other").alias("i"),
-        F.greatest("part", "other").alias("j"), "part", "node", "n", "component", "sketch",
+        F.greatest("part", "other").alias("j"), "node", "component", "n", "sketch", "part",
     )
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        sketch = np.frombuffer(b"".join(frame["sketch"]), np.uint8).reshape(len(frame), -1)
-        size = frame["n"].to_numpy()
-        _, component = np.unique(frame["component"].to_numpy(), return_inverse=True)
-        part = frame["part"].to_numpy()
-        two_blocks = frame["i"].iloc[0] != frame["j"].iloc[0]
-        u, v = [], []
-        for a in range(len(frame) - 1):
-            b = slice(a + 1, len(frame))
-            can = component[b] != component[a]
-            can &= 100 * np.minimum(size[b], size[a]) >= percent * np.maximum(size[b], size[a])
-            if two_blocks:
-                can &= part[b] != part[a]
-            which = np.flatnonzero(can)
-            if len(which):
-                agree = (sketch[a + 1 + which] == sketch[a]).mean(axis=1)
-                which = which[agree >= SKETCH_AGREES]
-                u += [a] * len(which)
-                v += (a + 1 + which).tolist()
-        node = frame["node"].to_numpy()
-        return pd.DataFrame({"u": node[u], "v": node[v]})
-
-    pairs = rows.groupBy("tree", "depth", "at", "i", "j").applyInPandas(run, "u binary, v binary")
-    return pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-
-
-def checked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose full sets are similar enough."""
-    rows = pairs.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")), "u")
-    rows = rows.join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("b")), "v")
+    ordered = rows.repartition(*met).sortWithinPartitions(*met)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, bounds in segments(batches, met):
+            sketch, size = _sketches(batch), batch.column(7).to_numpy()
+            component, part = _numbered(batch.column(6)), batch.column(9).to_numpy()
+            two = batch.column(3).to_numpy() != batch.column(4).to_numpy()
+            left, right = [], []
+            for start, end in zip(bounds, bounds[1:]):
+                here = component[start:end]
+                names, count = np.unique(here, return_counts=True)
+                if len(names) == 1:
+                    continue
+                # Nodes of the largest component meet only those of the others.
+                largest = here == names[count.argmax()]
+                for a in np.flatnonzero(~largest) + start:
+                    b = np.arange(start, end)
+                    can = (here != component[a]) & (largest | (b > a))
+                    can &= 100 * np.minimum(size[b], size[a]) >= percent * np.maximum(size[b], size[a])
+                    if two[start]:
+                        can &= part[b] != part[a]
+                    b = b[can]
+                    agree = (sketch[b] == sketch[a]).mean(axis=1)
+                    b = b[agree >= SKETCH_AGREES]
+                    if best and len(b) > best:
+                        b = b[np.argsort(-agree[agree >= SKETCH_AGREES], kind="stable")[:best]]
+                    left.append(np.full(len(b), a))
+                    right.append(b)
+            if left:
+                yield _pairs(batch, np.concatenate(left), np.concatenate(right))
+
+    return ordered_pairs(ordered.mapInArrow(run, PAIR))
+
+
+def checked(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose full sets are similar enough; whole signatures are compared before."""
+    signature = nodes.select("node", "signature")
+
+    def both(rows: DataFrame, of: DataFrame, name: str) -> DataFrame:
+        for end, column in (("u", "a"), ("v", "b")):
+            rows = rows.join(of.select(F.col("node").alias(end), F.col(name).alias(column)), end)
+        return rows.select("u", "v", "a", "b")
+
+    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (
+                np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8) for i in (2, 3)
+            )
+            share = (a == b).reshape(batch.num_rows, -1).mean(axis=1)
+            yield batch.select(["u", "v"]).filter(pa.array(share >= SIGNATURE_AGREES))
+
+    def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())
             keep = pa.array([linked(a, b, percent) for a, b in sets], pa.bool_())
             yield batch.select(["u", "v"]).filter(keep)
 
-    return rows.select("u", "v", "a", "b").mapInArrow(run, "u binary, v binary")
+    near = durable(both(pairs, signature, "signature").mapInArrow(alike, PAIR))
+    return both(near, sets, "shingles").mapInArrow(similar, PAIR)
 
 
 def near_duplicates(
@@ -329,9 +420,11 @@ def near_duplicates(
         sets = sets.union(lost.join(holders.select("node"), "node", "left_semi"))
     sets = durable(sets.dropDuplicates(["node"]))
     links = durable(neighbour_links(near, sets, percent))
-    pairs = cross_pairs(near, components(links), percent)
-    links = durable(links.union(checked(pairs, sets, percent)))
     groups = components(links)
+    for candidates in (neighbour_pairs, likeliest_pairs, cross_pairs):
+        pairs = candidates(with_components(near, groups), percent)
+        known = groups.select(F.col("id").alias("u"), F.col("component_id").alias("v"))
+        groups = components(known.union(checked(pairs, nodes, sets, percent)))
     group = F.coalesce("component_id", "node").alias("group")
     joined = nodes.select("node", "low").join(
         groups.withColumnRenamed("id", "node"), "node", "left"
