@@ -56,6 +56,22 @@ def arrow_map(
     return df.mapInArrow(run, schema)
 
 
+def apart(sums: DataFrame, key: str) -> DataFrame:
+    """``sums`` with its key column computed anew, so that a join by it shuffles ``sums``.
+
+    A join with an aggregation by the same key would stay in the aggregation's partitions, and the
+    engine's skew join could not split the rows of a hot key, as it does between two shuffles.
+    """
+    kind = sums.schema[key].dataType.typeName()
+    if kind == "binary":
+        same = F.concat(F.col(key), F.lit(bytearray()))
+    elif kind == "string":
+        same = F.concat(F.col(key), F.lit(""))
+    else:
+        same = F.col(key).bitwiseXOR(F.lit(0).cast(sums.schema[key].dataType))
+    return sums.withColumn(key, same)
+
+
 def segments(
     batches: Iterator[pa.RecordBatch], names: list[str]
 ) -> Iterator[tuple[pa.RecordBatch, list[int]]]:

@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from riskloom.llm.common import apart
 from riskloom.session import durable
 
 
 def _lowest(edges: DataFrame) -> DataFrame:
-    """Each (u, v) with the lowest of u's neighbours; sums before the shuffle, so any degree."""
+    """Each (u, v) with the lowest of u's neighbours, of which there may be very many."""
     lowest = edges.groupBy("u").agg(F.min("v").alias("m"))
-    return edges.join(lowest, "u")
+    return edges.join(apart(lowest, "u"), "u")
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
