@@ -7,9 +7,8 @@ a node with the longest common prefixes are its candidates; at least MIN_DEPTH v
 Two documents with a similarity of 0.8 agree that far in some tree but for one case in 100,000.
 
 1. Nodes that share MIN_DEPTH values with no other node in a tree drop out of that tree.
-2. Each node is checked against its next neighbour in the sorted order, first in a few trees, then
-   in all where the two are not yet connected. The links join the nodes of dense regions into
-   components, however many there are.
+2. In the first trees, each node is checked against its next neighbour in the sorted order. The links
+   join the nodes of dense regions into components, however many there are.
 3. Only nodes of different components still have to be compared, each with all others in its
    regions, the likeliest partners first, as they mostly join what belongs together. Regions with many are cut by longer prefixes, each as deep as it needs; what shares
    all DEPTH values is compared block by block. No region is skipped or shortened.
@@ -244,10 +243,6 @@ def with_components(near: DataFrame, groups: DataFrame) -> DataFrame:
     return durable(rows.join(apart(mixed, "region"), ["tree", "region"]))
 
 
-def _alike(sketch: np.ndarray, a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
-    return (sketch[a] == sketch[b]).mean(axis=1) >= least
-
-
 def _sketches(batch: pa.RecordBatch) -> np.ndarray:
     column = batch.column(batch.schema.get_field_index("sketch"))
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(batch.num_rows, -1)
@@ -269,32 +264,6 @@ def ordered_pairs(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
-def neighbour_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """(u, v): neighbours of different components in the sorted orders of all trees."""
-    parts = F.ceil(F.col("size") / RUN_ROWS)
-    run_of = ["tree", "region", "part"]
-    ordered = (
-        rows.withColumn("part", F.pmod(F.xxhash64("node", "tree"), parts))
-        .repartition(*run_of)
-        .sortWithinPartitions(*run_of, "key", "node")
-        .select(*run_of, "node", "component", "n", "sketch")
-    )
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, bounds in segments(batches, run_of):
-            sketch, size = _sketches(batch), batch.column(5).to_numpy()
-            component = _numbered(batch.column(4))
-            a = np.setdiff1d(np.arange(batch.num_rows - 1), np.array(bounds[1:]) - 1)
-            b = a + 1
-            can = component[a] != component[b]
-            can &= 100 * np.minimum(size[a], size[b]) >= percent * np.maximum(size[a], size[b])
-            a, b = a[can], b[can]
-            near = _alike(sketch, a, b, SKETCH_AGREES)
-            yield _pairs(batch, a[near], b[near])
-
-    return ordered_pairs(ordered.mapInArrow(run, PAIR))
-
-
 def likeliest_pairs(rows: DataFrame, percent: int) -> DataFrame:
     """(u, v): of all candidates of different components the LIKELIEST of each node and region."""
     return cross_pairs(rows, percent, LIKELIEST)
@@ -421,10 +390,12 @@ def near_duplicates(
     sets = durable(sets.dropDuplicates(["node"]))
     links = durable(neighbour_links(near, sets, percent))
     groups = components(links)
-    for candidates in (neighbour_pairs, likeliest_pairs, cross_pairs):
+    for candidates in (likeliest_pairs, cross_pairs):
         pairs = candidates(with_components(near, groups), percent)
-        known = groups.select(F.col("id").alias("u"), F.col("component_id").alias("v"))
-        groups = components(known.union(checked(pairs, nodes, sets, percent)))
+        links = durable(checked(pairs, nodes, sets, percent))
+        if links.limit(1).count():
+            known = groups.select(F.col("id").alias("u"), F.col("component_id").alias("v"))
+            groups = components(known.union(links))
     group = F.coalesce("component_id", "node").alias("group")
     joined = nodes.select("node", "low").join(
         groups.withColumnRenamed("id", "node"), "node", "left"
