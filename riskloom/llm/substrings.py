@@ -160,67 +160,62 @@ def sorted_out(rows: DataFrame) -> DataFrame:
     Rows stream by in the order of anchor, content and place, so an anchor may have any number.
     """
     ordered = rows.repartition("anchor").sortWithinPartitions("anchor", "digest", "doc", "start")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None  # anchor and digest of the last row
-        met = 0  # different pieces of its anchor so far
-        alone = None  # the only one, as long as no other is known
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            anchor, digest, doc, start, strings, twice = (
-                batch.column(i).to_numpy(zero_copy_only=False) for i in range(6)
-            )
-            same = np.zeros(len(anchor), bool)
-            same[1:] = (anchor[1:] == anchor[:-1]) & (digest[1:] == digest[:-1])
-            same[0] = last == (anchor[0], digest[0])
-            whole = [doc[same], start[same], strings[same], anchor[same]]
-            part = [x[~same] for x in (doc, start, strings, anchor, twice)]
-            if last and last[0] != anchor[0]:
-                if alone is not None and alone[4]:
-                    part = [np.r_[x, y] for x, y in zip(alone, part)]
-                alone, met = None, 0
-            elif alone is not None and len(part[0]) and part[3][0] == last[0]:
-                part = [np.r_[x, y] for x, y in zip(alone, part)]
-                alone, met = None, 0
-            last = (anchor[-1], digest[-1])
-            out = [np.zeros(0, np.int32), np.zeros(0, bool)]
-            if len(part[0]):
-                keys = part[3]
-                new = np.r_[True, keys[1:] != keys[:-1]]
-                first = np.flatnonzero(new)
-                size = np.diff(np.r_[first, len(keys)])
-                index = np.arange(len(keys)) - np.repeat(first, size)
-                before = met if met and keys[0] == batch.column(0)[0].as_py() else 0
-                index[: size[0]] += before
-                size[0] += before
-                many = np.repeat(size, np.diff(np.r_[first, len(keys)])) > 1
-                if size[-1] == 1 and keys[-1] == last[0]:
-                    alone = [x[-1:] for x in part]
-                    keep = (many | part[4])[:-1]
-                    part = [x[:-1] for x in part]
-                    index, met = index[:-1], 1
-                else:
-                    met = int(size[-1])
-                    keep = many | part[4]
-                part = [x[keep] for x in part]
-                out = [(index[keep] // BLOCK_PIECES).astype(np.int32), np.zeros(int(keep.sum()), bool)]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    *(pa.array(np.r_[x, y]) for x, y in zip(whole, part)),
-                    pa.array(np.r_[np.zeros(len(whole[0]), np.int32), out[0]]),
-                    pa.array(np.r_[np.ones(len(whole[0]), bool), out[1]]),
-                ],
-                names=["doc", "start", "strings", "anchor", "block", "whole"],
-            )
-        if alone is not None and alone[4][0]:
-            yield pa.RecordBatch.from_arrays(
-                [*(pa.array(x) for x in alone[:4]), pa.array([0], pa.int32()), pa.array([False])],
-                names=["doc", "start", "strings", "anchor", "block", "whole"],
-            )
-
     columns = ["anchor", "digest", "doc", "start", "strings", "twice"]
-    return ordered.select(*columns).mapInArrow(run, SORTED)
+    return ordered.select(*columns).mapInArrow(dealt, SORTED)
+
+
+def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What :func:`sorted_out` makes of rows in order, wherever batches begin and end."""
+    last = None  # anchor and digest of the last row
+    current = None  # anchor of the last piece, which is the last row's
+    met = 0  # its different pieces that are passed on
+    alone = None  # its only piece, held back as long as no other is known; then none is passed on
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        anchor, digest, doc, start, strings, twice = (
+            batch.column(i).to_numpy(zero_copy_only=False) for i in range(6)
+        )
+        same = np.zeros(len(anchor), bool)
+        same[1:] = (anchor[1:] == anchor[:-1]) & (digest[1:] == digest[:-1])
+        same[0] = last == (anchor[0], digest[0])
+        last = (anchor[-1], digest[-1])
+        whole = [doc[same], start[same], strings[same], anchor[same]]
+        part = [x[~same] for x in (doc, start, strings, anchor, twice)]
+        out = [np.zeros(0, np.int32), np.zeros(0, bool)]
+        if len(part[0]):
+            # The piece held back comes before the new ones, be they of its anchor or not.
+            if alone is not None:
+                part = [np.r_[x, y] for x, y in zip(alone, part)]
+                alone = None
+            keys = part[3]
+            first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+            rows = np.diff(np.r_[first, len(keys)])
+            index = np.arange(len(keys)) - np.repeat(first, rows)
+            size = rows.copy()
+            if keys[0] == current:
+                index[: rows[0]] += met
+                size[0] += met
+            keep = (np.repeat(size, rows) > 1) | part[4]
+            current, met = keys[-1], int(size[-1])
+            if met == 1:
+                alone, met = [x[-1:] for x in part], 0
+                keep[-1] = False
+            part = [x[keep] for x in part]
+            out = [(index[keep] // BLOCK_PIECES).astype(np.int32), np.zeros(int(keep.sum()), bool)]
+        yield pa.RecordBatch.from_arrays(
+            [
+                *(pa.array(np.r_[x, y]) for x, y in zip(whole, part)),
+                pa.array(np.r_[np.zeros(len(whole[0]), np.int32), out[0]]),
+                pa.array(np.r_[np.ones(len(whole[0]), bool), out[1]]),
+            ],
+            names=["doc", "start", "strings", "anchor", "block", "whole"],
+        )
+    if alone is not None and alone[4][0]:
+        yield pa.RecordBatch.from_arrays(
+            [*(pa.array(x) for x in alone[:4]), pa.array([0], pa.int32()), pa.array([False])],
+            names=["doc", "start", "strings", "anchor", "block", "whole"],
+        )
 
 
 def cut_out(docs: DataFrame, wanted: DataFrame) -> DataFrame:

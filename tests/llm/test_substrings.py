@@ -6,6 +6,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from riskloom.llm import substrings
@@ -112,3 +113,53 @@ def test_edges(spark):
     assert substrings.digests(docs.limit(0)).count() == 0
     kept = {(r["doc_id"], r["n_bytes"]): r for r in substrings.without_repeats(docs).collect()}
     assert kept[(9, 306)]["kept"] == b"start " and kept[(9, 306)]["removed"][0]["start"] == 6
+
+
+def sorted_rows(rows, sizes):
+    """What comes of rows (anchor, digest, doc, twice) in batches of the given sizes."""
+    names = ["anchor", "digest", "doc", "start", "strings", "twice"]
+    batches, at = [], 0
+    for n in sizes:
+        part = [(a, d, doc, 0, 1, twice) for a, d, doc, twice in rows[at : at + n]]
+        kinds = [pa.int64()] * 3 + [pa.int32()] * 2 + [pa.bool_()]
+        columns = [pa.array([r[i] for r in part], kind) for i, kind in enumerate(kinds)]
+        batches.append(pa.RecordBatch.from_arrays(columns, names=names))
+        at += n
+    assert at == len(rows)
+    return sorted(
+        (r["doc"], r["anchor"], r["block"], r["whole"])
+        for batch in substrings.dealt(iter(batches)) for r in batch.to_pylist()
+    )
+
+
+def test_batch_borders():
+    # X | its copy, Y, Y | Y, Z: the repeat within X stays known, and Y's pieces stay together.
+    x, y, z = 1, 2, 3
+    rows = [(x, 1, 0, True), (x, 1, 1, True), (y, 1, 2, False), (y, 2, 3, False), (y, 3, 4, False)]
+    rows += [(z, 1, 5, False)]
+    want = [(0, x, 0, False), (1, x, 0, True), (2, y, 0, False), (3, y, 0, False), (4, y, 0, False)]
+    assert sorted_rows(rows, [1, 3, 2]) == want
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_any_batches(seed, monkeypatch):
+    monkeypatch.setattr(substrings, "BLOCK_PIECES", 2)
+    draw = random.Random(seed)
+    keys = sorted((draw.randint(1, 6), draw.randint(1, 4)) for _ in range(draw.randint(1, 30)))
+    twice = {key: draw.random() < 0.3 for key in keys}
+    rows = [(*key, doc, twice[key]) for doc, key in enumerate(keys)]
+    pieces = {}
+    for a, d in keys:
+        pieces.setdefault(a, {}).setdefault(d, len(pieces[a]))
+    want, seen = [], set()
+    for a, d, doc, again in rows:
+        if (a, d) in seen:
+            want.append((doc, a, 0, True))
+        elif len(pieces[a]) > 1 or again:
+            want.append((doc, a, pieces[a][d] // 2, False))
+        seen.add((a, d))
+    sizes, left = [], len(rows)
+    while left:
+        sizes.append(draw.randint(1, min(left, 4)))
+        left -= sizes[-1]
+    assert sorted_rows(rows, sizes) == want
