@@ -19,6 +19,7 @@ from collections import OrderedDict
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from riskloom.llm.common import arrow_map
 
@@ -145,19 +146,32 @@ def encoder(path: str) -> ChunkEncoder:
 
 
 def encode_documents(
-    docs: DataFrame, vocabulary: str, id_column: str = "doc_id", text_column: str = "text"
+    docs: DataFrame,
+    vocabulary: str,
+    id_column: str = "doc_id",
+    text_column: str = "text",
+    carried: list[str] | None = None,
 ) -> DataFrame:
-    """(id, ids array<int>): the tokens of every whole text. ``vocabulary`` is a file's path."""
+    """(id, ids array<int>): the tokens of every whole text. ``vocabulary`` is a file's path.
+
+    Rows stay in order; the columns named in ``carried`` come after the tokens, as they are."""
+    more = [f"_{i}" for i in range(len(carried or []))]
 
     def rows(batch):
         codec = encoder(vocabulary)
         ids = [codec.encode((text or "").encode()).astype(np.int32) for text in batch["text"]]
-        return {"id": batch["id"], "ids": ids}
-
-    kind = docs.schema[id_column].dataType.simpleString()
-    pairs = docs.selectExpr(f"`{id_column}` AS id", f"`{text_column}` AS text")
-    encoded = arrow_map(pairs, rows, f"id {kind}, ids array<int>")
-    return encoded.withColumnRenamed("id", id_column)
+        return {"id": batch["id"], "ids": ids} | {name: batch[name] for name in more}
+
+    kinds = [docs.schema[name].dataType.simpleString() for name in (id_column, *(carried or []))]
+    others = [f"`{name}` AS {alias}" for name, alias in zip(carried or [], more)]
+    pairs = docs.selectExpr(f"`{id_column}` AS id", f"`{text_column}` AS text", *others)
+    schema = ", ".join(f"{name} {kind}" for name, kind in zip(["id", *more], kinds))
+    encoded = arrow_map(pairs, rows, f"{schema}, ids array<int>")
+    return encoded.select(
+        F.col("id").alias(id_column),
+        "ids",
+        *[F.col(alias).alias(name) for name, alias in zip(carried or [], more)],
+    )
 
 
 def decode_documents(

@@ -106,3 +106,14 @@ def test_edges(spark, folder, tmp_path):
         docs.write.parquet(str(tmp_path / n / "documents.parquet"))
         out = corpus_pipeline.run(spark, str(tmp_path / n)).collect()
         assert sorted(r["doc_id"] or 0 for r in out) == ([0, 1, 7] if part else [])
+
+
+def test_mixed_order_reaches_the_result(spark, folder, steps):
+    before, after = steps["bpe"]
+    want = {r["doc_id"]: r["position"] for r in mixing.places(before).collect()}
+    assert {r["doc_id"]: r["position"] for r in after.collect()} == want
+    # Whatever order the documents are read in, the result is in the mixed order.
+    shuffled = before.repartition(7, "text").sortWithinPartitions("n_chars")
+    out = corpus_pipeline.STAGES[-1][1](spark, shuffled, folder).collect()
+    assert [r["doc_id"] for r in out] == sorted(want, key=want.get)
+    assert [r["position"] for r in out] == sorted(want.values())
