@@ -87,7 +87,8 @@ def minhash(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, width: int) -> DataFrame:
-    """(id, n, node, signature) of every document; node stands for the set's content."""
+    """(id, n, node, signature, hash) of every document; node stands for the set's content, and
+    hash is that of the text."""
     kind = docs.schema["id"].dataType
     from pyspark.sql.pandas.types import to_arrow_type
 
@@ -116,12 +117,13 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
                         pa.array(size.astype(np.int64)),
                         pa.array(nodes, pa.binary()),
                         pa.array(signed, pa.binary()),
+                        batch.column(2).slice(a, b - a),
                     ],
-                    names=["id", "n", "node", "signature"],
+                    names=["id", "n", "node", "signature", "hash"],
                 )
 
-    schema = f"id {kind.simpleString()}, n bigint, node binary, signature binary"
-    return docs.select("id", "text").mapInArrow(run, schema)
+    schema = f"id {kind.simpleString()}, n bigint, node binary, signature binary, hash bigint"
+    return docs.select("id", "text", F.xxhash64("text").alias("hash")).mapInArrow(run, schema)
 
 
 def full_sets(docs: DataFrame, width: int) -> DataFrame:
@@ -370,11 +372,25 @@ def near_duplicates(
     least ``percent``, which must be 80 or more for the stated recall.
     """
     plain = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
+    found = _grouped(plain, width, percent)
+    return found.select(
+        F.col("id").alias(id_column),
+        F.col("n").alias("n_shingles"),
+        "component_id",
+        F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"),
+    )
+
+
+def _grouped(plain: DataFrame, width: int, percent: int) -> DataFrame:
+    """(id, hash, n, component_id, first) of every row (id, text): the hash of its text, and that of
+    the group's first text, which differ by id or text where another row stands for it."""
     signed = durable(signatures(plain, width))
     nodes = durable(
         signed.where("n > 0").groupBy("node").agg(
-            F.min("id").alias("low"), F.first("n").alias("n"), F.first("signature").alias("signature")
-        )
+            F.min(F.when(F.col("id").isNotNull(), F.struct("id", "hash"))).alias("least"),
+            F.first("n").alias("n"),
+            F.first("signature").alias("signature"),
+        ).withColumn("low", F.col("least.id"))
     )
     near = with_company(tree_rows(nodes))
     sketch = F.substring("signature", 1, SKETCH).alias("sketch")
@@ -397,29 +413,35 @@ def near_duplicates(
             known = groups.select(F.col("id").alias("u"), F.col("component_id").alias("v"))
             groups = components(known.union(links))
     group = F.coalesce("component_id", "node").alias("group")
-    joined = nodes.select("node", "low").join(
+    joined = nodes.select("node", "least").join(
         groups.withColumnRenamed("id", "node"), "node", "left"
-    ).select("node", "low", group)
-    lowest = joined.groupBy("group").agg(F.min("low").alias("component_id"))
-    named = joined.select("node", "group").join(lowest, "group").select("node", "component_id")
-    found = signed.select("id", "n", "node").join(named, "node", "left")
-    component = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
+    ).select("node", "least", group)
+    lowest = joined.groupBy("group").agg(F.min("least").alias("least"))
+    named = joined.select("node", "group").join(lowest, "group").select("node", "least")
+    found = signed.select("id", "n", "node", "hash").join(named, "node", "left")
+    component = F.when(F.col("id").isNotNull(), F.coalesce("least.id", "id"))
     return found.select(
-        F.col("id").alias(id_column),
-        F.col("n").alias("n_shingles"),
+        "id",
+        "hash",
+        "n",
         component.alias("component_id"),
-        F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"),
+        F.when(F.col("id").isNotNull(), F.coalesce("least.hash", "hash")).alias("first"),
     )
 
 
 def first_of_each_group(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` without the rows that another document of their group stands for."""
-    judged = durable(near_duplicates(docs.select("doc_id", "text"), width, percent))
-    gone = judged.where("NOT kept").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """``docs`` without the rows that another document of their group stands for.
+
+    Rows are judged by id and text, as an id may occur with several texts: of each group the text
+    with the smallest id stays, and of several with that id the one with the least hash."""
+    plain = docs.select(F.col("doc_id").alias("id"), "text")
+    judged = durable(_grouped(plain, width, percent))
+    gone = judged.where("id != component_id OR hash != first").select("id", "hash").distinct()
+    this = F.expr("d.doc_id = g.id AND xxhash64(d.text) = g.hash")
+    kept = docs.alias("d").join(gone.alias("g"), this, "left_anti").select(*docs.columns)
     # Rows that repeat an id: one stays of those with the same text.
-    repeated = judged.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("k"))
-    repeated = durable(repeated.where("k > 1").select("doc_id"))
+    repeated = judged.where("id IS NOT NULL").groupBy("id").agg(F.count("*").alias("k"))
+    repeated = durable(repeated.where("k > 1").select(F.col("id").alias("doc_id")))
     if not repeated.limit(1).count():
         return kept
     once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])

@@ -112,3 +112,17 @@ def test_signatures_estimate_similarity():
     b = np.r_[a[:1600], draw.integers(0, 2**63, 400).astype(np.uint64)]
     rows = forest_dedup.minhash(np.r_[a, b], np.array([0, 2000]))
     assert abs((rows[0] == rows[1]).mean() - 1600 / 2400) < 0.08
+
+
+def test_repeated_id_with_other_texts(spark):
+    draw = random.Random(4)
+    one, two, three = (" ".join(draw.choices("abcdefghijklmnopqrstuvwxyz", k=200)) for _ in range(3))
+    data = [
+        (1, two), (3, one), (3, two + " z"), (4, one + " z"), (4, one),  # 3 stands for one, and is a copy of two
+        (5, three), (5, three + " z"), (6, three), (7, None), (7, ""), (None, three),
+    ]
+    docs = spark.createDataFrame(data, "doc_id bigint, text string")
+    kept = [tuple(r) for r in forest_dedup.first_of_each_group(docs, 2).collect()]
+    assert (1, two) in kept and (3, one) in kept
+    assert sum(i == 5 for i, _ in kept) == 1
+    assert sorted(i or 0 for i, _ in kept) == [0, 1, 3, 5, 7, 7]
