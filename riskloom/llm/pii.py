@@ -10,6 +10,8 @@ that the term discloses is PMI = log2(N n(e, t) / (n(e) n(t))), and the entity's
 IC = -log2(n(e) / N). A term that meets its entity in at least SUPPORT different surroundings is
 generalised from PMI / IC >= GENERALISE on and removed from REMOVE on, wherever it stands in the
 documents that hold the entity. Copies of a passage are one surrounding, so copying proves nothing.
+An entity that is in every document has no information of its own, and no term reveals it. Documents
+are counted as rows, with or without an id.
 
 Edge cases: a null text has no spans and stays null; texts of any length are scanned whole, with
 patterns that neither recurse nor rescan; documents without an id have base spans but no term spans;
@@ -127,7 +129,8 @@ def entity(kind: str, value: Column) -> Column:
 
 
 def surroundings(docs: DataFrame) -> DataFrame:
-    """(id, entity, around): the text on both sides of every protected entity."""
+    """(row, id, entity, around): the text on both sides of every protected entity. ``row`` numbers
+    the documents, and stays as it is only once the result is stored."""
     found = docs.where(" OR ".join(f"size({kind}) > 0" for kind in KINDS))
 
     def cut(kind: str):
@@ -142,7 +145,9 @@ def surroundings(docs: DataFrame) -> DataFrame:
         )
 
     every = F.concat(*[F.transform(kind, cut(kind)) for kind in KINDS])
-    return found.select("id", F.explode(every).alias("x")).select("id", "x.entity", "x.around")
+    numbered = found.withColumn("row", F.monotonically_increasing_id())
+    spread = numbered.select("row", "id", F.explode(every).alias("x"))
+    return spread.select("row", "id", "x.entity", "x.around")
 
 
 def revealing_terms(
@@ -156,7 +161,7 @@ def revealing_terms(
     ``docs`` has (id, text) and the arrays of :func:`base_spans`.
     """
     near = durable(surroundings(docs))
-    holders = near.groupBy("entity").agg(F.countDistinct("id").alias("n_entity"))
+    holders = near.groupBy("entity").agg(F.countDistinct("row").alias("n_entity"))
     terms = F.explode(
         F.array_distinct(F.regexp_extract_all(F.lower("around"), F.lit(WORD), F.lit(0)))
     )
@@ -170,14 +175,14 @@ def revealing_terms(
     )
     # A term is in at least as many documents as hold it near an entity. Where even that number
     # keeps the disclosure below the threshold, as for common words, all of them need no count.
-    seen = near.select(terms.alias("term"), "id").groupBy("term")
+    seen = near.select(terms.alias("term"), "row").groupBy("term")
     total = docs.agg(F.count("*").alias("n")).scalar()
     pmi = F.log2(F.col("together") * F.col("n") / (F.col("n_entity") * F.col("n_term")))
     content = F.log2(F.col("n") / F.col("n_entity"))
-    disclosed = F.least(pmi / content, F.lit(1.0))
+    disclosed = F.when(content > 0, F.least(F.try_divide(pmi, content), F.lit(1.0)))
     meetings = durable(
         meetings.join(holders, "entity")
-        .join(seen.agg(F.countDistinct("id").alias("n_term")), "term")
+        .join(seen.agg(F.countDistinct("row").alias("n_term")), "term")
         .withColumn("n", total)
         .where(disclosed >= generalise)
         .drop("n_term")

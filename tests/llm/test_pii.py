@@ -150,3 +150,21 @@ def test_empty(spark):
 def test_no_python_in_the_plan(spark, folder):
     plan = QUERIES["op10_pii"](spark, folder)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_entity_in_every_document(spark):
+    texts = [f"Zebulon wrote{c} footer@mail.example.com" for c in "abcd"]
+    for row in pii.find_personal_data(frame(spark, texts)).collect():
+        assert row["n_email"] == 1 and row["n_term"] == 0
+
+
+def test_documents_without_ids_are_counted(spark):
+    rows = [(None, f"word{c} Zebulon zeb@mail.example.com") for c in "abc"]
+    rows += [(i, f"plain text number {i}") for i in range(100)]
+    schema = "doc_id bigint, text string"
+    found = pii.find_personal_data(spark.createDataFrame(rows, schema)).collect()
+    assert len(found) == 103 and all(r["n_term"] == 0 for r in found)
+    # They count for the terms of a document with an id.
+    rows.append((200, "wordd Zebulon zeb@mail.example.com"))
+    found = {r["doc_id"]: r["n_term"] for r in pii.find_personal_data(spark.createDataFrame(rows, schema)).collect()}
+    assert found[200] == 1
