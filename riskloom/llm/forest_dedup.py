@@ -10,8 +10,9 @@ Two documents with a similarity of 0.8 agree that far in some tree but for one c
 2. In the first trees, each node is checked against its next neighbour in the sorted order. The links
    join the nodes of dense regions into components, however many there are.
 3. Only nodes of different components still have to be compared, each with all others in its
-   regions, the likeliest partners first, as they mostly join what belongs together. Regions with many are cut by longer prefixes, each as deep as it needs; what shares
-   all DEPTH values is compared block by block. No region is skipped or shortened.
+   regions, the likeliest partners first, as they mostly join what belongs together; for that, regions with
+   many are cut by longer prefixes. Then all pairs that still share MIN_DEPTH values across components are
+   compared, large regions block by block. No region is skipped or shortened.
 
 Each check is exact: the sizes of intersection and union of the two full sets. Comparing first 128
 values of the signatures and then all spares most checks of unlike sets; a pair at the threshold
@@ -272,14 +273,15 @@ def likeliest_pairs(rows: DataFrame, percent: int) -> DataFrame:
 
 
 def cross_pairs(rows: DataFrame, percent: int, best: int | None = None) -> DataFrame:
-    """(u, v): all candidates of different components; a region is as deep as its size asks for.
+    """(u, v): all candidates of different components, which share MIN_DEPTH values.
 
-    With ``best`` only so many for each node and region, those that agree most in their sketches.
+    With ``best`` only so many for each node and region, those that agree most in their sketches; a
+    region is then as deep as its size asks for.
     """
     rows = rows.drop("size")
-    depths = range(MIN_DEPTH, DEPTH + 1)
+    depths = range(MIN_DEPTH, DEPTH + 1) if best else range(MIN_DEPTH, MIN_DEPTH + 1)
     narrow = rows.select("tree", "key", "node")
-    depth = F.lit(DEPTH)
+    depth = F.lit(depths[-1])
     for d in reversed(depths):
         sizes = narrow.groupBy("tree", prefix(d).alias(f"p{d}")).agg(F.count("*").alias(f"n{d}"))
         rows = rows.withColumn(f"p{d}", prefix(d)).join(apart(sizes, f"p{d}"), ["tree", f"p{d}"])

@@ -126,3 +126,14 @@ def test_repeated_id_with_other_texts(spark):
     assert (1, two) in kept and (3, one) in kept
     assert sum(i == 5 for i, _ in kept) == 1
     assert sorted(i or 0 for i, _ in kept) == [0, 1, 3, 5, 7, 7]
+
+
+def test_large_regions_are_compared_whole(spark, monkeypatch):
+    monkeypatch.setattr(forest_dedup, "REGION_ROWS", 4)
+    names = [bytes([i]) for i in range(12)]
+    # Six values agree, the seventh differs.
+    data = [(0, i << 8, name, 12, name, 100, bytes(forest_dedup.SKETCH)) for i, name in enumerate(names)]
+    schema = "tree int, key bigint, node binary, size bigint, component binary, n bigint, sketch binary"
+    pairs = forest_dedup.cross_pairs(spark.createDataFrame(data, schema), 80).collect()
+    got = sorted((bytes(r["u"]), bytes(r["v"])) for r in pairs)
+    assert got == [(a, b) for a in names for b in names if a < b]
