@@ -98,9 +98,22 @@ SELECT doc_id, CAST(n_bytes AS BIGINT) AS n_bytes,
 FROM docs LEFT JOIN cut USING (doc_id)
 """
 
+EQUAL_TEXTS = """
+WITH texts AS (
+    SELECT doc_id, translate(coalesce(text, ''),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+met AS (
+    SELECT *, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size FROM texts
+    WINDOW same AS (PARTITION BY t))
+SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept,
+       sha256(t) AS text_sha256
+FROM met
+"""
+
 ORACLE_SQL = {
     "op1_exact_topk": TOP_K,
     "op2_embedding_dedup": EMBEDDINGS,
     "op5_near_dedup": NEAR_DUPLICATES,
     "op6_suffix_dedup": REPEATS,
+    "op13_exact_dedup": EQUAL_TEXTS,
 }

@@ -7,7 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import balltree, bpe, brown, forest_dedup, langid, mixing, pii, secrets, substrings, vectors
+from riskloom.llm import (
+    balltree,
+    bpe,
+    brown,
+    forest_dedup,
+    langid,
+    mixing,
+    pii,
+    refinement,
+    secrets,
+    substrings,
+    vectors,
+)
 from riskloom.llm.common import table
 from riskloom.llm.oracle import ORACLE_SQL  # noqa: F401  (part of the registration)
 
@@ -65,6 +77,11 @@ def op10_pii(spark: SparkSession, folder: str) -> DataFrame:
     return pii.find_personal_data(table(spark, folder, "documents"))
 
 
+def op13_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return refinement.exact_duplicates(docs, digest="text_sha256")
+
+
 QUERIES: dict[str, Query] = {
     "op1_exact_topk": op1_exact_topk,
     "op2_embedding_dedup": op2_embedding_dedup,
@@ -76,4 +93,5 @@ QUERIES: dict[str, Query] = {
     "op8_bpe": op8_bpe,
     "op9_secrets": op9_secrets,
     "op10_pii": op10_pii,
+    "op13_exact_dedup": op13_exact_dedup,
 }
