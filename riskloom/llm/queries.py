@@ -18,6 +18,7 @@ from riskloom.llm import (
     refinement,
     secrets,
     substrings,
+    turns,
     vectors,
 )
 from riskloom.llm.common import table
@@ -77,6 +78,11 @@ def op10_pii(spark: SparkSession, folder: str) -> DataFrame:
     return pii.find_personal_data(table(spark, folder, "documents"))
 
 
+def op11_turn_repair(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "conversations")
+    return turns.digests(turns.repair(turns.damaged(rows)), rows)
+
+
 def op13_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     return refinement.exact_duplicates(docs, digest="text_sha256")
@@ -93,5 +99,6 @@ QUERIES: dict[str, Query] = {
     "op8_bpe": op8_bpe,
     "op9_secrets": op9_secrets,
     "op10_pii": op10_pii,
+    "op11_turn_repair": op11_turn_repair,
     "op13_exact_dedup": op13_exact_dedup,
 }
