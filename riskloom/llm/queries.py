@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.llm import (
+    alignment,
     balltree,
     bpe,
     brown,
@@ -37,6 +38,13 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def pieces() -> str:
+    """The SentencePiece model that the queries use; the operators take any path."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
 def op1_exact_topk(spark: SparkSession, folder: str) -> DataFrame:
     return balltree.top_k(table(spark, folder, "embeddings"), F.col("id") % QUERY_EVERY == 0)
 
@@ -83,6 +91,11 @@ def op11_turn_repair(spark: SparkSession, folder: str) -> DataFrame:
     return turns.digests(turns.repair(turns.damaged(rows)), rows)
 
 
+def op12_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return alignment.align_documents(docs, vocabulary(), pieces())
+
+
 def op13_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     return refinement.exact_duplicates(docs, digest="text_sha256")
@@ -100,5 +113,6 @@ QUERIES: dict[str, Query] = {
     "op9_secrets": op9_secrets,
     "op10_pii": op10_pii,
     "op11_turn_repair": op11_turn_repair,
+    "op12_token_alignment": op12_token_alignment,
     "op13_exact_dedup": op13_exact_dedup,
 }

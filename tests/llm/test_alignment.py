@@ -1,0 +1,189 @@
+"""Alignment of tokens against the libraries and a comparison of all ranges."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+from collections import Counter, defaultdict
+from functools import lru_cache
+
+import numpy as np
+import pytest
+
+from riskloom.llm import alignment
+from riskloom.llm.queries import QUERIES, pieces, vocabulary
+
+SCHEMA = "doc_id bigint, text string"
+
+
+@lru_cache
+def libraries():
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    one = Tokenizer.from_file(vocabulary())
+    one.encode_special_tokens = True
+    return one, sentencepiece.SentencePieceProcessor(model_file=pieces())
+
+
+def byte_of():
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    table = {chr(b): b for b in plain}
+    for i, b in enumerate(b for b in range(256) if b not in plain):
+        table[chr(256 + i)] = b
+    return table
+
+
+def ranges(ids, contents):
+    at, out = 0, []
+    for i, content in zip(ids, contents):
+        out.append((i, at, at + len(content)))
+        at += len(content)
+    return out
+
+
+def tokens(text):
+    one, two = libraries()
+    whole = b" " + text.encode()
+    letters = byte_of()
+    a = one.encode(" " + text, add_special_tokens=False).ids
+    a_bytes = [bytes(letters[c] for c in one.id_to_token(i)) for i in a]
+    b = two.encode(text)
+    b_bytes = []
+    for i in b:
+        piece = two.id_to_piece(i)
+        byte = len(piece) == 6 and piece.startswith("<0x")
+        b_bytes.append(bytes.fromhex(piece[3:5]) if byte else piece.replace("▁", " ").encode())
+    if b"".join(a_bytes) != whole or b"".join(b_bytes) != whole:
+        return None
+    return ranges(a, a_bytes), ranges(b, b_bytes)
+
+
+def brute_force(rows):
+    holding, links, groups = defaultdict(set), {}, {}
+    for n, (_, text) in enumerate(rows):
+        links[n], groups[n] = [], ([], [], [])
+        met = tokens(text) if text else None
+        if not met:
+            continue
+        a, b = met
+        j = 0
+        for i, start, end in a:
+            while b[j][2] <= start:
+                j += 1
+            k = j
+            while k < len(b) and b[k][1] < end:
+                links[n].append((i, b[k][0]))
+                holding[i, b[k][0]].add(n)
+                k += 1
+        ends = sorted({x[2] for x in a} & {x[2] for x in b})
+        cells, begin = [], 0
+        for end in ends:
+            cells.append("|".join(",".join(str(i) for i, s, e in side if s >= begin and e <= end) for side in met))
+            begin = end
+        groups[n] = (a, b, cells)
+    highest = Counter()
+    for (i, _), docs in holding.items():
+        highest[i] = max(highest[i], len(docs))
+    out = []
+    for n, (doc, _) in enumerate(rows):
+        a, b, cells = groups[n]
+        counts = [(i, len(holding[i, j])) for i, j in links[n]]
+        out.append((
+            doc, len(a), len(b), len(cells), len(counts), sum(c == highest[i] for i, c in counts),
+            sum(c for _, c in counts), hashlib.sha256(";".join(cells).encode()).hexdigest() if cells else "",
+        ))
+    return sorted(out, key=str)
+
+
+def found(spark, rows, schema=SCHEMA):
+    result = alignment.align_documents(spark.createDataFrame(rows, schema), vocabulary(), pieces())
+    assert result.columns == "doc_id n_a n_b n_groups n_links n_best count_sum groups_sha256".split()
+    return sorted((tuple(r) for r in result.collect()), key=str)
+
+
+def texts(seed, n):
+    rnd = random.Random(seed)
+    words = ["the", "tokenizer", " ", "  ", "naïve", "漢字", "\n", "don't", "1234567", "x" * 30, "🙂", "<s>", "ing"]
+    return [(i, rnd.choice(["", " "]).join(rnd.choices(words, k=rnd.randint(0, 40)))) for i in range(n)]
+
+
+CASES = [
+    (1, None), (2, ""), (3, " "), (4, "\n\n"), (5, "▁ odd"), (6, "<|endoftext|> </s>"), (7, "a"), (7, "a"),
+    (None, "no id"), (8, "\x00nul"), (9, "tab\tand   spaces "), (10, "é é ﬁ ½"), (11, "a" * 5000),
+    (12, " " * 4000), (13, "word " * 30_000), (14, "漢" * 3000), (15, "\r\n\x0b  x"),
+]
+
+
+def test_cases(spark):
+    assert found(spark, CASES) == brute_force(CASES)
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_random_texts(spark, seed):
+    rows = texts(seed, 150)
+    assert found(spark, rows) == brute_force(rows)
+
+
+def test_chunks_make_no_difference(spark, monkeypatch):
+    rows = texts(5, 80) + [(i, "same text of many") for i in range(100, 160)]
+    monkeypatch.setattr(alignment, "BLOCK_BYTES", 200)
+    monkeypatch.setattr(alignment, "CHUNK_BYTES", 1000)
+    assert found(spark, rows) == brute_force(rows)
+
+
+def test_dense_containers(spark, monkeypatch):
+    monkeypatch.setattr(alignment, "LIST_DOCS", 8)
+    rows = texts(6, 40) + [(i, "same text of many, the same") for i in range(100, 140)]
+    assert found(spark, rows) == brute_force(rows)
+
+
+@pytest.mark.parametrize("n", [0, 1, 4095, 4096, 4097, 65536])
+def test_containers_give_back_their_documents(n):
+    docs = np.sort(np.random.default_rng(n).permutation(65536)[:n])
+    content = alignment.container(docs)
+    assert np.array_equal(alignment.documents(content), docs)
+    assert len(content) == min(2 * n, 8192)
+
+
+def test_planes_hold_the_numbers_of_links():
+    keys, links = np.arange(20, dtype=np.uint64), np.arange(1, 21)
+    total = Counter()
+    for plane, held in alignment.planes(keys, links):
+        for key in held.tolist():
+            total[key] += 1 << max(plane - 1, 0)
+    assert [total[k] for k in range(20)] == links.tolist()
+
+
+def test_merge_is_a_union():
+    parts = [(np.array([5, 9], np.uint64), np.array([1, 2])), (np.array([1, 9], np.uint64), np.array([1, 3]))]
+    keys, links = alignment.merged(parts)
+    assert (keys.tolist(), links.tolist()) == ([1, 5, 9], [1, 1, 5])
+
+
+def test_pair_table(spark):
+    rows = texts(8, 60)
+    expected_docs, expected_links = defaultdict(set), Counter()
+    for n, (_, text) in enumerate(rows):
+        met = tokens(text) if text else None
+        for i, s, e in met[0] if met else []:
+            for j, x, y in met[1]:
+                if s < y and x < e:
+                    expected_docs[i, j].add(n)
+                    expected_links[i, j] += 1
+    got = alignment.pair_table(spark.createDataFrame(rows, SCHEMA), vocabulary(), pieces()).collect()
+    assert {(r["a"], r["b"]): (r["n_docs"], r["n_links"]) for r in got} == {
+        k: (len(v), expected_links[k]) for k, v in expected_docs.items()
+    }
+
+
+def test_empty_table_and_clashing_names(spark):
+    assert found(spark, []) == []
+    rows = [(1, "some text", 3, "x"), (2, "text", 4, "y")]
+    assert found(spark, rows, SCHEMA + ", chunk int, pair string") == brute_force([r[:2] for r in rows])
+
+
+def test_query(spark, folder):
+    rows = [tuple(r) for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()]
+    got = sorted((tuple(r) for r in QUERIES["op12_token_alignment"](spark, folder).collect()), key=str)
+    assert got == brute_force(rows)
