@@ -30,6 +30,7 @@ import hashlib
 import json
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -57,10 +58,12 @@ class Codec(NamedTuple):
     encode: object  # list[str] -> list of lists of ids
     pieces: list[bytes]  # bytes of each id
     lengths: np.ndarray
+    names: list[str]  # ids in decimal
 
 
 def _codec(encode, pieces: list[bytes]) -> Codec:
-    return Codec(encode, pieces, np.array([len(piece) for piece in pieces], np.int64))
+    lengths = np.array([len(piece) for piece in pieces], np.int64)
+    return Codec(encode, pieces, lengths, list(map(str, range(len(pieces)))))
 
 
 @lru_cache(maxsize=None)
@@ -127,17 +130,19 @@ def align(texts: list[str | None], first: Codec, second: Codec) -> Aligned:
     )
     if not kept:
         return out
-    ids = [np.fromiter((x for row in kept for x in row[k]), np.int64) for k in (1, 2)]
+    ids = [np.fromiter(chain.from_iterable(row[k] for row in kept), np.int64) for k in (1, 2)]
     ends = [np.cumsum(codec.lengths[x]) for codec, x in zip((first, second), ids)]
-    cuts = np.union1d(*ends)  # each piece between two cuts is one link
+    ending = np.zeros((2, ends[0][-1] + 1), bool)  # by byte: whether a token ends there
+    ending[0, ends[0]] = ending[1, ends[1]] = True
+    cuts = np.flatnonzero(ending[0] | ending[1])  # each piece between two cuts is one link
     at = [np.searchsorted(e, cuts) for e in ends]
-    common = np.intersect1d(*ends)
+    common = np.flatnonzero(ending[0] & ending[1])
     stops = [np.searchsorted(e, common, side="right").tolist() for e in ends]
     counts = [np.array([len(row[k]) for row in kept]) for k in (1, 2)]
     last = ends[0][np.cumsum(counts[0]) - 1]
     links = np.diff(np.searchsorted(cuts, last, side="right"), prepend=0)
     groups = np.diff(np.searchsorted(common, last, side="right"), prepend=0)
-    names = [list(map(str, x.tolist())) for x in ids]
+    names = [list(map(c.names.__getitem__, x.tolist())) for c, x in zip((first, second), ids)]
     cells = []
     i = j = 0
     for p, q in zip(*stops):
