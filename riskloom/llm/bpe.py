@@ -16,12 +16,16 @@ from __future__ import annotations
 import hashlib
 import json
 from collections import OrderedDict
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import _parse_datatype_string
 
-from riskloom.llm.common import arrow_map
+from riskloom.llm.common import arrow_map, ranges
 
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 # A chunk ends at a blank with probability 1 / CHUNK_BLANKS: about a kilobyte of prose.
@@ -154,24 +158,36 @@ def encode_documents(
 ) -> DataFrame:
     """(id, ids array<int>): the tokens of every whole text. ``vocabulary`` is a file's path.
 
-    Rows stay in order; the columns named in ``carried`` come after the tokens, as they are."""
-    more = [f"_{i}" for i in range(len(carried or []))]
+    Rows stay in order; the columns named in ``carried`` come after the tokens, as they are. A worker
+    holds the texts and tokens of about BLOCK_BYTES of text at a time, or of one longer text."""
+    from pyspark.sql.pandas.types import to_arrow_schema
 
-    def rows(batch):
-        codec = encoder(vocabulary)
-        ids = [codec.encode((text or "").encode()).astype(np.int32) for text in batch["text"]]
-        return {"id": batch["id"], "ids": ids} | {name: batch[name] for name in more}
-
-    kinds = [docs.schema[name].dataType.simpleString() for name in (id_column, *(carried or []))]
-    others = [f"`{name}` AS {alias}" for name, alias in zip(carried or [], more)]
-    pairs = docs.selectExpr(f"`{id_column}` AS id", f"`{text_column}` AS text", *others)
-    schema = ", ".join(f"{name} {kind}" for name, kind in zip(["id", *more], kinds))
-    encoded = arrow_map(pairs, rows, f"{schema}, ids array<int>")
-    return encoded.select(
-        F.col("id").alias(id_column),
-        "ids",
-        *[F.col(alias).alias(name) for name, alias in zip(carried or [], more)],
+    names = [id_column, *(carried or [])]
+    kinds = [docs.schema[name].dataType.simpleString() for name in names]
+    aliases = ["id", *[f"_{i}" for i in range(len(names) - 1)]]
+    pairs = docs.selectExpr(
+        *[f"`{name}` AS {alias}" for name, alias in zip(names, aliases)],
+        f"CAST(`{text_column}` AS BINARY) AS text",
     )
+    schema = ", ".join(f"{alias} {kind}" for alias, kind in zip(aliases, kinds)) + ", ids array<int>"
+    target = to_arrow_schema(_parse_datatype_string(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = encoder(vocabulary)
+        for batch in batches:
+            sizes = pc.fill_null(pc.binary_length(batch.column(len(names))), 0).to_pylist()
+            for a, b in ranges(sizes):
+                part = batch.slice(a, b - a)
+                ids = [codec.encode(text or b"") for text in part.column(len(names)).to_pylist()]
+                offsets = np.cumsum([0, *map(len, ids)], dtype=np.int32)
+                values = np.concatenate(ids).view(np.int32)
+                tokens = pa.ListArray.from_arrays(offsets, values, type=target.field("ids").type)
+                kept = [part.column(i).cast(target.field(i).type) for i in range(len(names))]
+                yield pa.RecordBatch.from_arrays([*kept, tokens], schema=target)
+
+    encoded = pairs.mapInArrow(run, schema)
+    renamed = [F.col(alias).alias(name) for name, alias in zip(names, aliases)]
+    return encoded.select(renamed[0], "ids", *renamed[1:])
 
 
 def decode_documents(

@@ -99,14 +99,19 @@ def segments(
 
 def blocks(texts: list[bytes], limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges of ``texts`` of about ``limit`` bytes; one longer text is a block of its own."""
-    start = size = 0
-    for i, text in enumerate(texts):
-        if i > start and size + len(text) > limit:
+    yield from ranges(list(map(len, texts)), limit)
+
+
+def ranges(sizes: list[int], limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int]]:
+    """The same for texts of the given sizes."""
+    start = total = 0
+    for i, size in enumerate(sizes):
+        if i > start and total + size > limit:
             yield start, i
-            start, size = i, 0
-        size += len(text)
-    if start < len(texts):
-        yield start, len(texts)
+            start, total = i, 0
+        total += size
+    if start < len(sizes):
+        yield start, len(sizes)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
