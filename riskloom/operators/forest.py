@@ -10,8 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.functions import labels as L
+from riskloom.operators import trees
 from riskloom.operators.split import stratified_split, with_class_weights
 from riskloom.session import durable
+from riskloom.sources import publication
 
 
 def check_features(frame: DataFrame) -> None:
@@ -69,23 +71,41 @@ def train_and_score(frame: DataFrame, **forest: int) -> tuple[PipelineModel, Dat
     return model, score(model, split.where("is_test = 1"))
 
 
-def save(model: PipelineModel, threshold: DataFrame, path: str) -> None:
-    """Store the model and its threshold side by side."""
+def save(
+    model: PipelineModel, threshold: DataFrame, path: str, more: dict[str, DataFrame] | None = None
+) -> str:
+    """Publish the model and its threshold, and ``more`` tables about them, as one version.
+
+    Returns the version. What was published before stays readable until it is retired.
+    """
+    spark = threshold.sparkSession
     best = threshold.select("threshold").first()
     if best is None or best["threshold"] is None:
         raise ValueError("no threshold: the held-out customers have no bad payer among them")
-    model.write().overwrite().save(f"{path}/model")
-    threshold.select("threshold").write.mode("overwrite").parquet(f"{path}/threshold")
-
-
-def load(spark: SparkSession, path: str) -> tuple[PipelineModel, float]:
-    model = PipelineModel.load(f"{path}/model")
-    row = spark.read.schema("threshold double").parquet(f"{path}/threshold").first()
+    version = publication.new_version(spark, path)
+    model.write().save(f"{path}/model/{version}")
+    for name, df in {"threshold": threshold.select("threshold"), **(more or {})}.items():
+        df.write.parquet(f"{path}/{name}/{version}")
+    publication.publish(spark, path, version)
+    return version
+
+
+def load(spark: SparkSession, path: str, version: str | None = None) -> tuple[PipelineModel, float]:
+    """The model and threshold of the given version, or of the one published last."""
+    version = version or publication.current(spark, path)
+    model = PipelineModel.load(f"{path}/model/{version}")
+    row = spark.read.schema("threshold double").parquet(f"{path}/threshold/{version}").first()
     if row is None or row["threshold"] is None:
         raise ValueError(f"the model under {path} was stored without a threshold")
     return model, row["threshold"]
 
 
+def load_nodes(spark: SparkSession, path: str, version: str | None = None) -> DataFrame:
+    """The trees of a version as a table, see :mod:`riskloom.operators.trees`."""
+    version = version or publication.current(spark, path)
+    return trees.node_table(spark, f"{path}/model/{version}")
+
+
 def flag_customers(model: PipelineModel, threshold: float, frame: DataFrame) -> DataFrame:
     """Score a training or feature frame and flag the customers at or above the threshold."""
     scored = score(model, frame).drop("y")

@@ -93,7 +93,7 @@ def risk_report(
 
 
 def train_model(clients: DataFrame, path: str, **forest_params: int) -> dict[str, DataFrame]:
-    """Train on the feature table, store model, threshold and evaluation under ``path``.
+    """Train on the feature table, publish model, threshold and evaluation as one version under ``path``.
 
     Returns the one-row summary and the per-class report at the default and tuned thresholds.
     """
@@ -103,15 +103,13 @@ def train_model(clients: DataFrame, path: str, **forest_params: int) -> dict[str
         scored = durable(held_out)
         curve = curves.pr_curve(scored)
         best = curves.best_f1_threshold(curve)
-        forest.save(model, best, path)
         predictions = report.threshold_predictions(scored, best.select("threshold").scalar())
         evaluation = {
             "summary": curves.summary(curve),
             "classification_report": report.classification_report(predictions),
         }
-        for name, df in evaluation.items():
-            files.write_parquet(df, f"{path}/{name}")
+        version = forest.save(model, best, path, more=evaluation)
     return {
-        name: files.read_parquet(spark, f"{path}/{name}", df.schema)
+        name: files.read_parquet(spark, f"{path}/{name}/{version}", df.schema)
         for name, df in evaluation.items()
     }

@@ -265,6 +265,18 @@ SELECTS = {
         SELECT is_bad_payer, n - n_train AS n_scored, CAST(0 AS BIGINT) AS out_of_range,
                CAST(0 AS BIGINT) AS wrong_flags, CAST(0 AS BIGINT) AS changed_after_reload
         FROM quotas""",
+    "forest_walk": """
+        SELECT is_bad_payer, n, n - n_train AS n_held_out, CAST(0 AS BIGINT) AS wrong_scores,
+               CAST(0 AS BIGINT) AS wrong_held_out, CAST(0 AS BIGINT) AS wrong_flags
+        FROM quotas""",
+    "forest_fit": "SELECT "
+    + ", ".join(
+        f"CAST(0 AS BIGINT) AS {name}"
+        for name in (
+            "wrong_trees", "orphans", "small_nodes", "lost_rows", "lost_weight", "wrong_impurity",
+            "wrong_gain", "useless_splits", "unknown_features",
+        )
+    ),
     "utc_times": "SELECT order_id, created_at AS from_text, created_at AS from_zone FROM raw_orders",
     "split_counts": "SELECT is_bad_payer, n_train, n - n_train AS n_test FROM quotas",
     "class_weights": """

@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from riskloom import schemas
 from riskloom.functions import labels as L
-from riskloom.operators import curves, features, forest, hourly, refine, report, segments, split
-from riskloom.session import durable, new_path
+from riskloom.operators import curves, features, forest, hourly, refine, report, segments, split, trees
+from riskloom.session import durable, new_path, remembered
 from riskloom.sources import files, testdata
 from riskloom.streaming import flags
 
@@ -25,10 +25,6 @@ from riskloom.streaming import flags
 STATE_SAMPLE = 60
 
 
-# Paths of the model and the scores by session and folder of the test tables.
-TRAINED: dict[tuple[str, str], tuple[str, str]] = {}
-
-
 class Tables:
     """The frames the queries start from.
 
@@ -125,18 +121,20 @@ class Tables:
     def trained(self) -> tuple[str, DataFrame]:
         """Where the fitted model is stored, and the scored held-out customers.
 
-        The forest is fitted once per session and folder, for all queries that need it.
+        The forest is fitted once for all queries that need it, as long as its files and the tables
+        of the folder stay what they are.
         """
-        key = (self.spark.sparkContext.applicationId, self.folder)
-        if key not in TRAINED:
-            paths = self.new_path("risk-model"), self.new_path("risk-scores")
-            model, held_out = forest.train_and_score(self.stored_training)
-            files.write_parquet(held_out, paths[1])
-            scored = files.read_parquet(self.spark, paths[1], schemas.SCORED)
-            forest.save(model, curves.best_f1_threshold(curves.pr_curve(scored)), paths[0])
-            TRAINED[key] = paths
-        model_path, scores_path = TRAINED[key]
-        return model_path, files.read_parquet(self.spark, scores_path, schemas.SCORED)
+        state = files.state(self.spark, *testdata.paths(self.folder))
+        paths = remembered(self.spark, ("forest", self.folder, state), self._train)
+        return paths[0], files.read_parquet(self.spark, paths[1], schemas.SCORED)
+
+    def _train(self) -> tuple[str, str]:
+        paths = self.new_path("risk-model"), self.new_path("risk-scores")
+        model, held_out = forest.train_and_score(self.stored_training)
+        files.write_parquet(held_out, paths[1])
+        scored = files.read_parquet(self.spark, paths[1], schemas.SCORED)
+        forest.save(model, curves.best_f1_threshold(curves.pr_curve(scored)), paths[0])
+        return paths
 
     def new_path(self, name: str) -> str:
         return new_path(self.spark, name)
@@ -217,6 +215,39 @@ def forest_checks(t: Tables) -> DataFrame:
     )
 
 
+def forest_walk(t: Tables) -> DataFrame:
+    """Per class all customers, and how many of their scores the stored trees, walked by joins, do not give.
+
+    Flags are held against the published threshold too, and the scores of the held-out customers.
+    """
+    path = t.trained[0]
+    model, threshold = forest.load(t.spark, path)
+    walked = trees.walk(forest.load_nodes(t.spark, path), t.stored_training)
+    flagged = forest.flag_customers(model, threshold, t.stored_training)
+    held_out = t.trained[1].select("user_id", F.col("score").alias("before"))
+    met = (
+        t.stored_training.select("user_id", L.TARGET)
+        .join(walked.withColumnRenamed("score", "walked"), "user_id", "left")
+        .join(flagged, "user_id", "left")
+        .join(held_out, "user_id", "left")
+    )
+    differs = lambda name: ~F.coalesce(F.abs(F.col(name) - F.col("walked")) < 1e-9, F.lit(False))
+    high = (F.col("walked") >= F.lit(threshold) - 1e-9).cast("int")
+    low = (F.col("walked") >= F.lit(threshold) + 1e-9).cast("int")
+    return met.groupBy(L.TARGET).agg(
+        F.count("*").alias("n"),
+        F.count("before").alias("n_held_out"),
+        F.count_if(differs("score")).alias("wrong_scores"),
+        F.count_if(F.col("before").isNotNull() & differs("before")).alias("wrong_held_out"),
+        F.count_if(~F.col("is_high_risk").between(low, high)).alias("wrong_flags"),
+    )
+
+
+def forest_fit(t: Tables) -> DataFrame:
+    nodes = durable(forest.load_nodes(t.spark, t.trained[0]))
+    return trees.fit_checks(nodes, L.FOREST_TREES, L.FOREST_MIN_LEAF)
+
+
 def streaming_flags(t: Tables) -> DataFrame:
     scored = durable(t.scored)
     best = curves.best_f1_threshold(curves.pr_curve(scored)).first()
@@ -275,6 +306,8 @@ QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "rf_report": rf_report,
     "batch_scoring": batch_scoring,
     "forest_checks": forest_checks,
+    "forest_walk": forest_walk,
+    "forest_fit": forest_fit,
     # ranking metrics
     "pr_curve": lambda t: t.curve.select("score", "tp", "fp", "precision", "recall", "f1"),
     "average_precision": lambda t: rounded(curves.average_precision(t.curve), "average_precision"),

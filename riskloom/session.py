@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import atexit
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Hashable, Iterator
 from contextlib import contextmanager
+from dataclasses import dataclass, field
+from typing import TypeVar
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
+T = TypeVar("T")
+
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -44,32 +50,81 @@ def shared_dir(spark: SparkSession) -> str:
     return named or f"{spark.conf.get('spark.sql.warehouse.dir')}/riskloom-intermediate"
 
 
-# Paths handed out within the open ``temporary`` blocks, innermost last.
-_OPEN: list[list[str]] = []
+@dataclass
+class Scope:
+    """Intermediate tables, and results remembered with them, that live and go together."""
+
+    paths: list[str] = field(default_factory=list)
+    kept: dict[Hashable, object] = field(default_factory=dict)
+
+
+# The open ``temporary`` blocks, innermost last, and by application what was written outside of any.
+_OPEN: list[Scope] = []
+_SESSIONS: dict[str, Scope] = {}
+
+
+def _scope(spark: SparkSession) -> Scope:
+    return _OPEN[-1] if _OPEN else _SESSIONS.setdefault(spark.sparkContext.applicationId, Scope())
 
 
 def new_path(spark: SparkSession, name: str) -> str:
     """A fresh path for an intermediate table in the shared folder."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    if _OPEN:
-        _OPEN[-1].append(path)
+    _scope(spark).paths.append(path)
     return path
 
 
+def remembered(spark: SparkSession, key: Hashable, make: Callable[[], T]) -> T:
+    """What ``make`` returned for ``key``: it is called once in the scope that owns its tables.
+
+    An enclosing scope's result serves the blocks within it. A result is forgotten with the tables it is made
+    of, when its block ends or :func:`release` is called.
+    """
+    session = _SESSIONS.get(spark.sparkContext.applicationId)
+    for scope in (*reversed(_OPEN), *([session] if session else [])):
+        if key in scope.kept:
+            return scope.kept[key]
+    made = make()
+    _scope(spark).kept[key] = made
+    return made
+
+
+def _remove(spark: SparkSession, scope: Scope) -> None:
+    scope.kept.clear()
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    while scope.paths:
+        folder = hadoop(scope.paths.pop())
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 @contextmanager
 def temporary(spark: SparkSession) -> Iterator[None]:
     """Remove the intermediate tables that the block wrote when it ends.
 
     Frames that read them must be computed within the block.
     """
-    _OPEN.append([])
+    _OPEN.append(Scope())
     try:
         yield
     finally:
-        hadoop = spark._jvm.org.apache.hadoop.fs.Path
-        for path in _OPEN.pop():
-            folder = hadoop(path)
-            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        _remove(spark, _OPEN.pop())
+
+
+def release(spark: SparkSession) -> None:
+    """Remove what was written outside of any ``temporary`` block in this application.
+
+    Frames that read it, such as results of registered queries, cannot be computed any more. It also happens
+    when Python ends with the application still running.
+    """
+    _remove(spark, _SESSIONS.pop(spark.sparkContext.applicationId, Scope()))
+
+
+@atexit.register
+def _release_at_exit() -> None:
+    context = SparkContext._active_spark_context
+    spark = SparkSession.getActiveSession() if context and context._jsc else None
+    if spark and spark.sparkContext.applicationId in _SESSIONS:
+        release(spark)
 
 
 def durable(df: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType, TimestampNTZType
 
 from riskloom.functions.columns import naive_utc
+from riskloom.sources.publication import file_system
 
 # Microseconds are spelled out: the CSV writer's own format stops at milliseconds. Blanks at the
 # ends of a string are part of it.
@@ -73,6 +74,18 @@ def write_parquet_by_month(df: DataFrame, path: str, timestamp: str, month: str
     dated.hint("rebalance", month).write.mode("overwrite").partitionBy(month).parquet(path)
 
 
+def state(spark: SparkSession, *paths: str) -> tuple[tuple[str, int, int], ...]:
+    """Name, length and time of the last change of every file under the paths, to tell whether any changed."""
+    found = []
+    for path in paths:
+        system, folder = file_system(spark, path)
+        listed = system.listFiles(folder, True)
+        while listed.hasNext():
+            file = listed.next()
+            found.append((file.getPath().toString(), file.getLen(), file.getModificationTime()))
+    return tuple(sorted(found))
+
+
 def register(df: DataFrame, name: str) -> DataFrame:
     """Make ``df`` available to SQL under ``name``."""
     df.createOrReplaceTempView(name)

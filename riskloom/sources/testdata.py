@@ -9,6 +9,11 @@ from riskloom import schemas
 from riskloom.sources.files import read_parquet
 
 
+def paths(folder: str) -> list[str]:
+    """Where the tables lie that raw users and orders are made of."""
+    return [f"{folder}/{name}.parquet" for name in schemas.TEST_TABLES]
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return read_parquet(spark, f"{folder}/{name}.parquet", schemas.TEST_TABLES[name])
 

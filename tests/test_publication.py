@@ -1,0 +1,107 @@
+"""Models and their thresholds are read as they were published together, whatever happens to a writer."""
+
+from __future__ import annotations
+
+import pytest
+from pyspark.sql import functions as F
+
+from riskloom.operators import curves, forest
+from riskloom.operators.split import training_frame
+from riskloom.plans.queries import Tables
+from riskloom.sources import publication
+
+
+@pytest.fixture(scope="module")
+def pairs(spark):
+    """Two models, each with a threshold of its own."""
+    frame = training_frame(Tables(spark, "/root/testdata/sf0.01").features)
+    out = []
+    for n, threshold in ((2, 0.25), (3, 0.75)):
+        model, _ = forest.train_and_score(frame, trees=n)
+        out.append((model, spark.createDataFrame([(threshold,)], "threshold double")))
+    return out
+
+
+def met(spark, path):
+    model, threshold = forest.load(spark, path)
+    return model.stages[-1].getNumTrees, threshold
+
+
+def test_the_last_version_is_read(spark, pairs, tmp_path):
+    path = str(tmp_path)
+    with pytest.raises(publication.NothingPublished):
+        forest.load(spark, path)
+    first = forest.save(*pairs[0], path)
+    assert met(spark, path) == (2, 0.25)
+    second = forest.save(*pairs[1], path)
+    assert first < second == publication.current(spark, path)
+    assert met(spark, path) == (3, 0.75)
+    assert forest.load(spark, path, first)[1] == 0.25
+
+
+@pytest.mark.parametrize("step", ["model", "threshold", "pointer"])
+def test_a_writer_that_dies_changes_nothing(spark, pairs, tmp_path, monkeypatch, step):
+    path = str(tmp_path)
+    forest.save(*pairs[0], path)
+    model, threshold = pairs[1]
+
+    def dies(*_):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as patch:
+        if step == "pointer":
+            patch.setattr(publication, "publish", dies)
+        elif step == "threshold":
+            threshold = threshold.withColumn("threshold", F.expr("if(threshold > 0, raise_error('lost'), 0D)"))
+            patch.setattr(type(threshold), "first", lambda self: {"threshold": 1.0})
+        else:
+            patch.setattr(publication, "new_version", dies)
+        with pytest.raises(Exception, match="lost"):
+            forest.save(model, threshold, path)
+    assert met(spark, path) == (2, 0.25)
+    # The next writer is not held up by what was left.
+    forest.save(*pairs[1], path)
+    assert met(spark, path) == (3, 0.75)
+
+
+def test_a_reader_keeps_its_version_while_another_is_published(spark, pairs, tmp_path):
+    path = str(tmp_path)
+    held = forest.save(*pairs[0], path)
+    for _ in range(3):
+        forest.save(*pairs[1], path)
+        model, threshold = forest.load(spark, path, held)
+        assert (model.stages[-1].getNumTrees, threshold) == (2, 0.25)
+
+
+def test_writers_at_the_same_time_get_versions_of_their_own(spark, pairs, tmp_path):
+    path = str(tmp_path)
+    one, two = (publication.new_version(spark, path) for _ in range(2))
+    assert one != two
+    publication.publish(spark, path, one)
+    with pytest.raises(Exception, match="exist"):
+        publication.publish(spark, path, one)
+    publication.publish(spark, path, two)
+    assert publication.current(spark, path) == max(one, two)
+
+
+def test_old_versions_are_retired(spark, pairs, tmp_path):
+    path = str(tmp_path)
+    made = [forest.save(*pairs[i % 2], path) for i in range(4)]
+    left = "0000000001-dead"
+    spark.range(1).write.parquet(f"{path}/threshold/{left}")
+    assert publication.retire(spark, path, keep=2) == made[:2]
+    assert publication.versions(spark, path) == made[2:]
+    for name in ("model", "threshold"):
+        assert publication.names(spark, f"{path}/{name}") == made[2:]
+    assert met(spark, path) == (3, 0.75)
+    assert publication.retire(spark, path, keep=2) == []
+    with pytest.raises(ValueError):
+        publication.retire(spark, path, keep=0)
+
+
+def test_evaluation_belongs_to_the_version(spark, pairs, tmp_path):
+    path = str(tmp_path)
+    frame = spark.createDataFrame([(0.5,)], "roc_auc double")
+    version = forest.save(*pairs[0], path, more={"summary": frame})
+    assert spark.read.parquet(f"{path}/summary/{version}").first()["roc_auc"] == 0.5
+    assert curves.summary  # the summary is made of the curve

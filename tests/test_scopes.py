@@ -1,0 +1,72 @@
+"""Intermediate tables and what is remembered of them have the same lifetime."""
+
+from __future__ import annotations
+
+from pathlib import Path
+
+import pytest
+
+from riskloom import session
+from riskloom.plans.queries import QUERIES, Tables, registered
+
+FOLDER = "/root/testdata/sf0.01"
+
+
+@pytest.fixture(autouse=True)
+def own_scope(spark, monkeypatch):
+    monkeypatch.setattr(session, "_SESSIONS", {})
+
+
+def stored(spark) -> set[str]:
+    return {p.name for p in Path(session.shared_dir(spark).removeprefix("file:")).iterdir()}
+
+
+def test_a_fit_made_in_a_block_is_forgotten_with_it(spark):
+    before = stored(spark)
+    with session.temporary(spark):
+        n = registered()["rf_scores"](spark, FOLDER).count()
+    assert stored(spark) == before
+    # Its files are gone, so the next query makes its own.
+    assert registered()["rf_scores"](spark, FOLDER).count() == n > 100
+
+
+def test_a_fit_is_shared_by_queries_and_inner_blocks(spark):
+    queries = registered()
+    queries["rf_scores"](spark, FOLDER).count()
+    path = Tables(spark, FOLDER).trained[0]
+    with session.temporary(spark):
+        assert queries["rf_metrics"](spark, FOLDER).count() == 1
+        assert Tables(spark, FOLDER).trained[0] == path
+    assert Tables(spark, FOLDER).trained[0] == path
+
+
+def test_changed_tables_are_fitted_anew(spark, tmp_path):
+    for name in ("nation", "customer", "orders", "lineitem"):
+        spark.read.parquet(f"{FOLDER}/{name}.parquet").write.parquet(str(tmp_path / f"{name}.parquet"))
+    first = Tables(spark, str(tmp_path)).trained
+    assert Tables(spark, str(tmp_path)).trained[0] == first[0]
+    half = spark.read.parquet(f"{FOLDER}/customer.parquet").where("c_custkey % 2 = 0")
+    half.write.mode("overwrite").parquet(str(tmp_path / "customer.parquet"))
+    second = Tables(spark, str(tmp_path)).trained
+    assert second[0] != first[0]
+    assert second[1].count() < first[1].count()
+
+
+def test_release_removes_what_queries_left(spark):
+    before = stored(spark)
+    for name in ("csv_roundtrip", "pr_curve", "parquet_roundtrip"):
+        QUERIES[name](Tables(spark, "/root/testdata/sf0.001")).count()
+    assert stored(spark) > before
+    session.release(spark)
+    assert stored(spark) == before
+    session.release(spark)
+
+
+def test_what_is_remembered_is_made_once_per_scope(spark):
+    made = []
+    make = lambda: made.append(1) or len(made)
+    assert session.remembered(spark, "k", make) == session.remembered(spark, "k", make) == 1
+    with session.temporary(spark):
+        assert session.remembered(spark, "k", make) == 1
+        assert session.remembered(spark, "other", make) == 2
+    assert session.remembered(spark, "other", make) == 3

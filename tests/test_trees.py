@@ -1,0 +1,150 @@
+"""Scores from the table of trees: against the model class, and in another engine."""
+
+from __future__ import annotations
+
+import duckdb
+import pytest
+from pyspark.sql import functions as F
+
+from riskloom.functions import labels as L
+from riskloom.operators import curves, forest, report, trees
+from riskloom.operators.split import training_frame
+from riskloom.plans.queries import QUERIES, Tables
+from riskloom.sources import publication
+from tests.frames import values
+
+FOLDER = "/root/testdata/sf0.01"
+
+
+@pytest.fixture(scope="module")
+def t(spark):
+    return Tables(spark, FOLDER)
+
+
+@pytest.fixture(scope="module")
+def exported(spark, t, tmp_path_factory):
+    """Nodes, customers and scores of the registered queries as files for another engine."""
+    path = t.trained[0]
+    out = tmp_path_factory.mktemp("exported")
+    frames = {
+        "nodes": forest.load_nodes(spark, path),
+        "customers": t.stored_training,
+        "rf_scores": QUERIES["rf_scores"](t),
+        "batch_scoring": QUERIES["batch_scoring"](t),
+        "rf_metrics": QUERIES["rf_metrics"](t),
+        "rf_report": QUERIES["rf_report"](t),
+        "threshold": spark.read.parquet(f"{path}/threshold/{publication.current(spark, path)}"),
+    }
+    connection = duckdb.connect()
+    for name, df in frames.items():
+        df.write.parquet(str(out / name))
+        connection.execute(f"CREATE VIEW {name} AS SELECT * FROM '{out / name}/*.parquet'")
+    # Down all levels with one recursive step per level, independent of this library.
+    connection.execute("""
+        CREATE TABLE walked AS WITH RECURSIVE place(user_id, tree, node) AS (
+            SELECT user_id, tree, 0 FROM customers, (SELECT DISTINCT tree FROM nodes)
+            UNION ALL
+            SELECT a.user_id, a.tree, CASE WHEN CASE n.feature
+                    WHEN 0 THEN c.age WHEN 1 THEN c.customer_lifetime_value
+                    WHEN 2 THEN c.customer_ticket_medio ELSE c.total_orders_calculated END
+                <= n.threshold THEN n.left_child ELSE n.right_child END
+            FROM place a JOIN nodes n USING (tree, node) JOIN customers c USING (user_id)
+            WHERE n.feature IS NOT NULL)
+        SELECT user_id, avg(weight_1 / (weight_0 + weight_1)) AS score
+        FROM place JOIN nodes USING (tree, node) WHERE feature IS NULL GROUP BY user_id""")
+    return connection
+
+
+def test_another_engine_gives_the_same_scores(exported):
+    for name, rows in (("rf_scores", "rf_scores"), ("batch_scoring", "customers")):
+        n, wrong = exported.execute(
+            f"SELECT count(*), count(*) FILTER (abs(s.score - w.score) > 1e-9) FROM {name} s JOIN walked w USING (user_id)"
+        ).fetchone()
+        assert n == exported.execute(f"SELECT count(*) FROM {rows}").fetchone()[0] > 100
+        assert wrong == 0
+    assert exported.execute("SELECT count(DISTINCT score) FROM walked").fetchone()[0] > 50
+
+
+def test_another_engine_gives_the_same_flags_and_metrics(exported):
+    wrong = exported.execute("""
+        SELECT count(*) FROM batch_scoring b JOIN walked w USING (user_id), threshold t
+        WHERE is_high_risk <> CAST(w.score >= t.threshold - 1e-9 AS INTEGER)""").fetchone()[0]
+    assert wrong == 0
+    exported.execute("""CREATE OR REPLACE VIEW held AS
+        SELECT r.user_id, r.y, round(w.score, 12) AS score FROM rf_scores r JOIN walked w USING (user_id)""")
+    auc, best = exported.execute("""
+        SELECT (SELECT avg(CASE WHEN a.score > b.score THEN 1.0 WHEN a.score = b.score THEN 0.5 ELSE 0 END)
+                FROM held a, held b WHERE a.y = 1 AND b.y = 0),
+               (SELECT max(2.0 * tp / (p + pos)) FROM (
+                    SELECT s.score, count(*) AS p, sum(h.y) AS tp, (SELECT sum(y) FROM held) AS pos
+                    FROM (SELECT DISTINCT score FROM held) s JOIN held h ON h.score >= s.score GROUP BY s.score))
+        """).fetchone()
+    row = exported.execute("SELECT roc_auc, f1 FROM rf_metrics").fetchone()
+    assert row == pytest.approx((auc, best), abs=1e-6)
+    recalls = exported.execute("""
+        SELECT avg(CAST(score >= 0.5 AS INTEGER)), avg(CAST(score >= t.threshold - 1e-9 AS INTEGER))
+        FROM held, threshold t WHERE y = 1""").fetchone()
+    reported = exported.execute(
+        "SELECT recall FROM rf_report WHERE class_name LIKE 'Mau%' ORDER BY prediction"
+    ).fetchall()
+    assert [r[0] for r in reported] == pytest.approx(list(recalls))
+
+
+def test_walk_equals_the_model(spark, t):
+    model, _ = forest.load(spark, t.trained[0])
+    walked = trees.walk(forest.load_nodes(spark, t.trained[0]), t.stored_training)
+    both = forest.score(model, t.stored_training).join(walked.withColumnRenamed("score", "w"), "user_id")
+    assert both.count() == t.stored_training.count()
+    assert both.where("abs(score - w) > 1e-12").count() == 0
+
+
+def test_walk_by_hand(spark):
+    nodes = spark.createDataFrame(
+        [
+            (0, 0, 0, 30.0, 1, 2, 5.0, 5.0, 10, 0.5, 0.1), (0, 1, None, None, None, None, 4.0, 1.0, 5, 0.3, None),
+            (0, 2, 3, 1.0, 3, 4, 1.0, 4.0, 5, 0.3, 0.1), (0, 3, None, None, None, None, 1.0, 0.0, 1, 0.0, None),
+            (0, 4, None, None, None, None, 0.0, 4.0, 4, 0.0, None),
+            (1, 0, None, None, None, None, 1.0, 1.0, 2, 0.5, None),
+        ],
+        trees.NODES,
+    )
+    assert trees.depth(nodes) == 2
+    frame = spark.createDataFrame(
+        [(1, 30, 0.0, 0.0, 9), (2, 31, 0.0, 0.0, 1), (3, 31, 0.0, 0.0, 2)],
+        "user_id bigint, age int, customer_lifetime_value double, customer_ticket_medio double, "
+        "total_orders_calculated bigint",
+    )
+    got = values(trees.walk(nodes, frame).orderBy("user_id"), "score")
+    assert [s for (s,) in got] == pytest.approx([(0.2 + 0.5) / 2, 0.25, 0.75])
+
+
+def test_customers_do_not_move_before_their_mean(spark, t):
+    walked = trees.walk(forest.load_nodes(spark, t.trained[0]), t.stored_training)
+    plan = walked._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "SortMergeJoin" not in plan
+    assert plan.index("HashAggregate") < plan.index("Exchange hashpartitioning")
+
+
+def test_checks_find_what_is_wrong(spark, t):
+    nodes = forest.load_nodes(spark, t.trained[0]).cache()
+    clean = trees.fit_checks(nodes, L.FOREST_TREES, L.FOREST_MIN_LEAF).first().asDict()
+    assert set(clean.values()) == {0}
+    first = (F.col("tree") == 0) & (F.col("node") == 0)
+    for change, found in (
+        ({"threshold": F.col("threshold")}, set()),
+        ({"weight_0": F.when(first, F.col("weight_0") * 2).otherwise(F.col("weight_0"))},
+         {"lost_weight", "wrong_impurity"}),
+        ({"gain": F.when(first, -F.col("gain")).otherwise(F.col("gain"))}, {"wrong_gain", "useless_splits"}),
+        ({"feature": F.when(first, 9).otherwise(F.col("feature"))}, {"unknown_features"}),
+    ):
+        row = trees.fit_checks(nodes.withColumns(change), L.FOREST_TREES, L.FOREST_MIN_LEAF).first().asDict()
+        assert {k for k, v in row.items() if v} >= found and bool(found) == any(row.values())
+    assert trees.fit_checks(nodes.where("tree > 0"), 100, 5).first()["wrong_trees"] == 1
+    assert trees.fit_checks(nodes.where("tree > 0 OR node != 2"), 100, 5).first()["orphans"] > 0
+    assert trees.fit_checks(nodes, 100, 50).first()["small_nodes"] > 0
+
+
+def test_threshold_is_the_curves_best(spark, t):
+    _, threshold = forest.load(spark, t.trained[0])
+    assert threshold == curves.best_f1_threshold(curves.pr_curve(t.trained[1])).first()["threshold"]
+    assert report.threshold_predictions(t.trained[1], threshold).count() == t.trained[1].count()
