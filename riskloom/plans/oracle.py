@@ -175,6 +175,26 @@ CTES = {
                CAST(count(*) FILTER (WHERE y = c) AS DOUBLE) AS actual
         FROM long_predictions, (VALUES (0), (1)) AS classes(c)
         GROUP BY prediction, c""",
+    "span": """
+        SELECT min(epoch(created_at)) AS low,
+               CAST(max(epoch(created_at)) - min(epoch(created_at)) + 1 AS BIGINT) AS length
+        FROM raw_orders""",
+    "delivered": """
+        SELECT order_id, user_id, created_at,
+               CAST(floor((epoch(created_at) - low) * 3 / length) AS INTEGER)
+                   + CASE WHEN order_id % 17 = 0 THEN 2 ELSE 0 END + again AS delivery
+        FROM raw_orders, span, (VALUES (0), (1)) AS times(again)
+        WHERE again = 0 OR order_id % 13 = 0""",
+    "newest": """
+        SELECT d.delivery, max(e.created_at) - INTERVAL 1 SECOND * (SELECT length // 6 FROM span) AS mark
+        FROM (SELECT DISTINCT delivery FROM delivered) d LEFT JOIN delivered e ON e.delivery < d.delivery
+        GROUP BY d.delivery""",
+    "judged": """
+        SELECT *, CAST(coalesce(created_at <= mark, FALSE) AS INTEGER) AS late
+        FROM delivered JOIN newest USING (delivery)""",
+    "received": """
+        SELECT *, late = 0 AND row_number() OVER (PARTITION BY order_id, late ORDER BY delivery) = 1 AS is_new
+        FROM judged""",
     "per_class": """
         SELECT prediction, class_name, hits, actual,
                CASE WHEN predicted = 0 THEN 0 ELSE hits / predicted END AS precision,
@@ -314,6 +334,13 @@ SELECTS = {
     "csv_roundtrip": "SELECT * FROM features",
     "csv_roundtrip_orders": ORDERS,
     "parquet_roundtrip": ORDERS,
+    "streaming_intake": """
+        SELECT delivery, count(*) AS received, CAST(sum(late) AS BIGINT) AS late,
+               count(*) FILTER (is_new) AS flagged,
+               count(*) FILTER (late = 0 AND NOT is_new) AS repeated,
+               count(*) FILTER (is_new AND CASE WHEN delivery < 3 THEN score ELSE 1 - score END >= 0.5)
+                   AS high_risk
+        FROM received LEFT JOIN scored USING (user_id) GROUP BY delivery""",
     "streaming_flags": """
         SELECT order_id, user_id, created_at AS order_timestamp, score,
                CAST(coalesce(score >= (SELECT threshold FROM best), FALSE) AS INTEGER)

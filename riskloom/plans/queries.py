@@ -19,7 +19,7 @@ from riskloom.functions import labels as L
 from riskloom.operators import curves, features, forest, hourly, refine, report, segments, split, trees
 from riskloom.session import durable, new_path, remembered
 from riskloom.sources import files, testdata
-from riskloom.streaming import flags
+from riskloom.streaming import flags, intake
 
 # Sample floor for the state report: the default would leave no state at the test scale.
 STATE_SAMPLE = 60
@@ -263,6 +263,48 @@ def streaming_flags(t: Tables) -> DataFrame:
     return t.spark.read.schema(schemas.ORDER_FLAGS).parquet(out)
 
 
+# The orders of the test tables as deliveries: their time span in so many periods.
+PERIODS = 3
+DELIVERED = "order_id bigint, user_id bigint, created_at timestamp_ntz, delivery int"
+
+
+def deliveries(t: Tables) -> tuple[DataFrame, int]:
+    """(order_id, user_id, created_at, delivery) of every delivered row, and half a period in seconds.
+
+    Orders are delivered after their period. One in 13 is delivered again with the next one, and one
+    in 17 two deliveries late.
+    """
+    orders = t.raw_orders.select("order_id", "user_id", "created_at")
+    seconds = F.unix_timestamp(F.col("created_at").cast("timestamp"))
+    span = orders.agg(F.min(seconds).alias("low"), F.max(seconds).alias("high")).first()
+    length = span["high"] - span["low"] + 1
+    period = F.floor((seconds - span["low"]) * PERIODS / length).cast("int")
+    late = F.when(F.col("order_id") % 17 == 0, 2).otherwise(0)
+    again = F.when(F.col("order_id") % 13 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    dealt = orders.select("*", (period + late).alias("_first"), F.explode(again).alias("_again"))
+    rows = dealt.select("order_id", "user_id", "created_at", (F.col("_first") + F.col("_again")).alias("delivery"))
+    return rows, length // (2 * PERIODS)
+
+
+def streaming_intake(t: Tables) -> DataFrame:
+    """By delivery what became of its orders; from the fourth delivery on by scores that were published meanwhile."""
+    rows, delay = deliveries(t)
+    dealt = durable(rows)
+    base, scores_path, out = t.new_path("deliveries"), t.new_path("scores"), t.new_path("intake")
+    scored = durable(t.scored)
+    turned = scored.withColumn("score", 1 - F.col("score"))
+    published = [intake.publish_scores(scored, 0.5, scores_path)]
+    for number in range(PERIODS + 3):
+        if number == PERIODS:
+            published.append(intake.publish_scores(turned, 0.5, scores_path))
+        dealt.where(F.col("delivery") == number).write.mode("append").parquet(base)
+        stream = t.spark.readStream.schema(DELIVERED).parquet(base)
+        intake.take_in(stream, DELIVERED, out, scores_path, f"{delay} seconds")
+    for version in published:
+        t.spark.sql(f"DROP TABLE IF EXISTS {intake.table_name(version)}")
+    return intake.accounts(t.spark, out, DELIVERED, ["delivery"])
+
+
 QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     # refinement
     "user_order_aggregates": lambda t: refine.user_order_aggregates(t.raw_orders),
@@ -322,6 +364,7 @@ QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "csv_roundtrip_orders": csv_orders,
     "parquet_roundtrip": parquet_orders,
     "streaming_flags": streaming_flags,
+    "streaming_intake": streaming_intake,
 }
 
 
