@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import argparse
 from collections.abc import Sequence
+from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 
 from riskloom.functions import labels as L
 from riskloom.operators import forest
-from riskloom.plans import jobs
+from riskloom.plans import jobs, monthly
 from riskloom.session import SETTINGS, temporary
 from riskloom.sources import files
 
@@ -23,6 +24,12 @@ def parser() -> argparse.ArgumentParser:
     build.add_argument("orders")
     build.add_argument("tables")
 
+    load = commands.add_parser("load", help="load or correct months of the stored tables")
+    load.add_argument("users")
+    load.add_argument("orders")
+    load.add_argument("tables")
+    load.add_argument("--months", nargs="*", metavar="YYYY-MM", help="all months by default")
+
     report = commands.add_parser("report", help="write every figure as a table")
     report.add_argument("tables")
     report.add_argument("out")
@@ -60,6 +67,12 @@ def main(argv: Sequence[str] | None = None) -> None:
         users, orders = (spark.read.parquet(path) for path in (args.users, args.orders))
         jobs.build_tables(users, orders, args.tables, args.csv)
         return
+    if args.command == "load":
+        users, orders = (spark.read.parquet(path) for path in (args.users, args.orders))
+        months = args.months and [date.fromisoformat(f"{month}-01") for month in args.months]
+        for name, written in monthly.load_months(users, orders, args.tables, months).items():
+            print(name, "all months" if written is None else " ".join(map(str, written)))
+        return
     tables = jobs.load_tables(spark, args.tables, args.csv)
     clients = tables["features_modeling"]
     if args.command == "report":

@@ -334,6 +334,28 @@ SELECTS = {
     "csv_roundtrip": "SELECT * FROM features",
     "csv_roundtrip_orders": ORDERS,
     "parquet_roundtrip": ORDERS,
+    "csv_records": """
+        SELECT CASE WHEN order_id % 40 = 0 THEN 'column order_id: no bigint'
+                    WHEN order_id % 41 = 0 THEN 'column created_at: no timestamp_ntz'
+                    ELSE 'none' END AS reason,
+               count(*) AS n,
+               CAST(sum(CASE WHEN order_id % 40 <> 0 AND order_id % 41 <> 0 THEN CAST('0x' || substr(md5(
+                    order_id || ':' || status || ',' || chr(10) || '"' || user_id || '":'
+                    || strftime(created_at, '%Y-%m-%d %H:%M:%S')), 1, 8) AS BIGINT) END) AS BIGINT) AS digests
+        FROM raw_orders GROUP BY 1""",
+    "monthly_user_months": """
+        SELECT user_id, CAST(date_trunc('month', created_at) AS DATE) AS mes,
+               count(order_id) AS total_orders,
+               count(*) FILTER (WHERE status = 'Cancelled') AS total_cancelled_orders,
+               count(*) FILTER (WHERE status = 'Returned') AS total_returned_orders,
+               CAST(sum(num_of_item) AS DOUBLE) AS total_items_purchased,
+               max(created_at) AS last_order_date,
+               sum(num_of_item * CAST(45.5 AS DOUBLE)) AS value, count(num_of_item) AS valued_orders
+        FROM raw_orders GROUP BY ALL""",
+    "monthly_refined_users": "SELECT * FROM refined_users",
+    "monthly_refined_orders": "SELECT * FROM refined_orders",
+    "monthly_features": "SELECT * FROM features",
+    "monthly_orders": ORDERS,
     "streaming_intake": """
         SELECT delivery, count(*) AS received, CAST(sum(late) AS BIGINT) AS late,
                count(*) FILTER (is_new) AS flagged,

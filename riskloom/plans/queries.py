@@ -16,9 +16,21 @@ from pyspark.sql import functions as F
 
 from riskloom import schemas
 from riskloom.functions import labels as L
-from riskloom.operators import curves, features, forest, hourly, refine, report, segments, split, trees
+from riskloom.operators import (
+    curves,
+    features,
+    forest,
+    histories,
+    hourly,
+    refine,
+    report,
+    segments,
+    split,
+    trees,
+)
+from riskloom.plans import monthly
 from riskloom.session import durable, new_path, remembered
-from riskloom.sources import files, testdata
+from riskloom.sources import files, records, testdata
 from riskloom.streaming import flags, intake
 
 # Sample floor for the state report: the default would leave no state at the test scale.
@@ -188,6 +200,29 @@ def parquet_orders(t: Tables) -> DataFrame:
     return files.read_parquet(t.spark, path, schemas.ORDERS_MODELING).drop("mes")
 
 
+CSV_NOTES = "order_id bigint, note string, created_at timestamp_ntz"
+
+
+def csv_records(t: Tables) -> DataFrame:
+    """Orders with notes of two lines, some with an id or a time that does not fit: rows and rejects by reason."""
+    note = F.concat("status", F.lit(',\n"'), F.col("user_id").cast("string"), F.lit('"'))
+    text_id, text_time = (F.col(name).cast("string") for name in ("order_id", "created_at"))
+    written = t.raw_orders.select(
+        F.when(F.col("order_id") % 40 == 0, F.concat(F.lit("no "), text_id)).otherwise(text_id).alias("order_id"),
+        note.alias("note"),
+        F.when(F.col("order_id") % 41 == 0, "unknown").otherwise(text_time).alias("created_at"),
+    )
+    path = t.new_path("notes-csv")
+    files.write_csv(written, path)
+    found = records.read_records(t.spark, path, CSV_NOTES, line_breaks=True)
+    fits = found.rows.select(
+        F.lit("none").alias("reason"), F.md5(F.concat("order_id", F.lit(":"), "note", F.lit(":"), "created_at")).alias("digest")
+    )
+    rejects = found.rejects.select("reason", F.lit(None).cast("string").alias("digest"))
+    first = F.conv(F.substring("digest", 1, 8), 16, 10).cast("bigint")
+    return fits.union(rejects).groupBy("reason").agg(F.count("*").alias("n"), F.sum(first).alias("digests"))
+
+
 def rf_report(t: Tables) -> DataFrame:
     scored = t.trained[1]
     best = curves.best_f1_threshold(curves.pr_curve(scored))
@@ -263,6 +298,46 @@ def streaming_flags(t: Tables) -> DataFrame:
     return t.spark.read.schema(schemas.ORDER_FLAGS).parquet(out)
 
 
+def loaded_by_month(t: Tables) -> str:
+    """Where the tables lie that three loads of a third of the months each and a correction made.
+
+    The second load has one month wrong: all orders complete, with twice the items. The last one corrects it.
+    """
+    orders = t.raw_orders.withColumn(histories.MONTH, histories.month_of("created_at"))
+    found = orders.select(histories.MONTH).distinct().orderBy(histories.MONTH)
+    months = [row[0] for row in found.collect()]  # one row per month
+    third = -(-len(months) // 3)
+    loads = [months[i : i + third] for i in range(0, len(months), third)]
+    mistaken = loads[1][0] if len(loads) > 1 else months[0]
+    wrong = F.col(histories.MONTH).eqNullSafe(F.lit(mistaken))
+    bad = orders.withColumns(
+        {
+            "status": F.when(wrong, "Complete").otherwise(F.col("status")),
+            "num_of_item": F.when(wrong, 2 * F.col("num_of_item")).otherwise(F.col("num_of_item")),
+        }
+    )
+    path = t.new_path("by-month")
+    for number, load in enumerate(loads):
+        source = bad if number == 1 or len(loads) == 1 else orders
+        monthly.load_months(t.raw_users, source.drop(histories.MONTH), path, load)
+    monthly.load_months(t.raw_users, t.raw_orders, path, [mistaken])
+    return path
+
+
+def monthly_table(name: str, schema: str) -> Callable[[Tables], DataFrame]:
+    def read(t: Tables) -> DataFrame:
+        state = files.state(t.spark, *testdata.paths(t.folder))
+        key = ("by month", t.folder, state)
+        path = remembered(t.spark, key, lambda: loaded_by_month(t))
+        return files.read_parquet(t.spark, f"{path}/{name}", schema).select(*names(schema))
+
+    return read
+
+
+def names(schema: str) -> list[str]:
+    return [column.split()[0] for column in schema.split(", ")]
+
+
 # The orders of the test tables as deliveries: their time span in so many periods.
 PERIODS = 3
 DELIVERED = "order_id bigint, user_id bigint, created_at timestamp_ntz, delivery int"
@@ -362,7 +437,14 @@ QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     # files and streams
     "csv_roundtrip": csv_features,
     "csv_roundtrip_orders": csv_orders,
+    "csv_records": csv_records,
     "parquet_roundtrip": parquet_orders,
+    # month by month
+    "monthly_user_months": monthly_table("user_months", schemas.USER_MONTHS),
+    "monthly_refined_users": monthly_table("refined_users", schemas.REFINED_USERS),
+    "monthly_refined_orders": monthly_table("refined_orders", schemas.REFINED_ORDERS),
+    "monthly_features": monthly_table("features_modeling", schemas.FEATURES_MODELING),
+    "monthly_orders": monthly_table("orders_modeling", schemas.ORDERS_MODELING),
     "streaming_flags": streaming_flags,
     "streaming_intake": streaming_intake,
 }

@@ -20,6 +20,12 @@ REFINED_ORDERS = (
     "is_returned int, total_items_purchased bigint, total_order_value double"
 )
 
+USER_MONTHS = (
+    "user_id bigint, mes date, total_orders bigint, total_cancelled_orders bigint, "
+    "total_returned_orders bigint, total_items_purchased double, last_order_date timestamp_ntz, "
+    "value double, valued_orders bigint"
+)
+
 FEATURES_MODELING = (
     "user_id bigint, age int, gender string, state string, account_created_at timestamp_ntz, "
     "is_bad_payer int, customer_lifetime_value double, customer_ticket_medio double, "

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType, TimestampNTZType
 
 from riskloom.functions.columns import naive_utc
+from riskloom.session import durable
 from riskloom.sources.publication import file_system
 
 # Microseconds are spelled out: the CSV writer's own format stops at milliseconds. Blanks at the
@@ -74,6 +75,31 @@ def write_parquet_by_month(df: DataFrame, path: str, timestamp: str, month: str
     dated.hint("rebalance", month).write.mode("overwrite").partitionBy(month).parquet(path)
 
 
+def replace_months(df: DataFrame, path: str, month: str, months: list | None) -> None:
+    """Write the months of ``df`` and leave the others' folders as they are.
+
+    ``df`` holds all rows of ``months``, or of all months where that is None. A month of them that has no rows
+    loses its folder.
+    """
+    spark = df.sparkSession
+    writer = df.hint("rebalance", month).write.mode("overwrite").partitionBy(month)
+    if months is None:
+        writer.parquet(path)
+        return
+    written = durable(df.select(month).distinct())
+    writer.option("partitionOverwriteMode", "dynamic").parquet(path)
+    have = {row[0] for row in written.collect()}  # one row per month
+    for gone in set(months) - have:
+        value = "__HIVE_DEFAULT_PARTITION__" if gone is None else gone.isoformat()
+        system, folder = file_system(spark, f"{path}/{month}={value}")
+        system.delete(folder, True)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    system, folder = file_system(spark, path)
+    return system.exists(folder)
+
+
 def state(spark: SparkSession, *paths: str) -> tuple[tuple[str, int, int], ...]:
     """Name, length and time of the last change of every file under the paths, to tell whether any changed."""
     found = []

@@ -18,6 +18,7 @@ TYPES = {
     "DOUBLE": "double",
     "VARCHAR": "string",
     "TIMESTAMP": "timestamp_ntz",
+    "DATE": "date",
 }
 MAY_BE_EMPTY = {"rate_by_state_min_sample"}
 

@@ -1,0 +1,116 @@
+"""CSV with line breaks in strings, read by many tasks, and rows that do not fit."""
+
+from __future__ import annotations
+
+import csv
+import random
+
+import pytest
+
+from riskloom import schemas
+from riskloom.sources.records import read_records
+from tests.frames import values
+
+SCHEMA = "id bigint, name string, at timestamp_ntz, amount double"
+
+
+@pytest.fixture
+def small_splits(spark):
+    keys = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    before = {key: spark.conf.get(key) for key in keys}
+    for key in keys:
+        spark.conf.set(key, "150")
+    yield
+    for key, value in before.items():
+        spark.conf.set(key, value)
+
+
+def write(path, rows, header=("id", "name", "at", "amount"), **how):
+    with open(path, "w", newline="", encoding="utf-8") as file:
+        csv.writer(file, **how).writerows([header, *rows])
+
+
+def table(n, seed=1):
+    rnd = random.Random(seed)
+    pieces = ["plain", 'say "so"', "two\nlines", "a, b", "\n\n", "é\r\nx", "end\n", '"', "x" * 200, " pad "]
+    return [
+        (i, "".join(rnd.choices(pieces, k=rnd.randint(1, 4))), f"2024-01-{i % 28 + 1:02d} 10:00:00.5", i / 4)
+        for i in range(n)
+    ]
+
+
+def expected(rows):
+    # A line's own carriage return goes with the line break.
+    return [(i, name.replace("\r\n", "\n"), amount) for i, name, _, amount in rows]
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_records_across_splits(spark, tmp_path, small_splits, end):
+    rows = table(300)
+    for part in range(3):
+        write(tmp_path / f"part-{part}.csv", rows[part::3], lineterminator=end)
+    found = read_records(spark, str(tmp_path), SCHEMA, line_breaks=True)
+    assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 100
+    assert sorted(values(found.rows, "id", "name", "amount")) == expected(rows)
+    assert found.rejects.count() == 0
+    assert dict(found.rows.dtypes) == {"id": "bigint", "name": "string", "at": "timestamp_ntz", "amount": "double"}
+
+
+@pytest.mark.parametrize("line_breaks", [False, True])
+def test_rows_that_do_not_fit(spark, tmp_path, line_breaks):
+    good = [(1, "a", "2024-01-01 10:00:00", 1.5), (2, "", "", ""), (3, "c", "2024-01-01T10:00:00+02:00", -2)]
+    bad = [("x", "a", "2024-01-01", 1), (4, "a", "yesterday", 1), (5, "a", "2024-13-01", 1), (6, "a", "", "1,5"),
+           (7, "too", "few"), (8, "one", "", 1, "more"), (10**30, "big", "", 1)]
+    write(tmp_path / "t.csv", [*good[:2], *bad, good[2]])
+    found = read_records(spark, str(tmp_path / "t.csv"), SCHEMA, line_breaks=line_breaks)
+    rows = values(found.rows.orderBy("id"), "id", "name", "at", "amount")
+    assert [(i, n, a) for i, n, _, a in rows] == [(1, "a", 1.5), (2, None, None), (3, "c", -2.0)]
+    assert rows[2][2].hour == 8  # in UTC
+    reasons = sorted(values(found.rejects, "reason"))
+    assert reasons == sorted(
+        (r,) for r in ["column id: no bigint", "column at: no timestamp_ntz", "column at: no timestamp_ntz",
+                       "column amount: no double", "wrong number of columns", "wrong number of columns",
+                       "column id: no bigint"]
+    )
+    records = {r["record"]: r["reason"] for r in found.rejects.collect()}
+    assert records["7,too,few"] == "wrong number of columns"
+    assert all(r["file"].endswith("t.csv") for r in found.rejects.collect())
+
+
+def test_a_quote_that_is_not_closed_costs_one_record(spark, tmp_path, small_splits):
+    write(tmp_path / "a.csv", table(40))
+    with open(tmp_path / "b.csv", "w", encoding="utf-8") as file:
+        file.write('id,name,at,amount\n1,fine,,1\n2,"open,,1\n' + "".join(f"{i},x,,1\n" for i in range(3, 90)))
+    found = read_records(spark, str(tmp_path), SCHEMA, line_breaks=True, most_lines=50)
+    assert values(found.rejects, "record", "reason") == [('2,"open,,1', "a quote is not closed")]
+    assert found.rows.count() == 41
+
+
+def test_header_only_and_empty_lines(spark, tmp_path):
+    write(tmp_path / "none.csv", [])
+    with open(tmp_path / "gaps.csv", "w", encoding="utf-8") as file:
+        file.write("id,name,at,amount\n\n1,a,,1\n\n\n2,b,,2\n")
+    found = read_records(spark, str(tmp_path), SCHEMA, line_breaks=True)
+    assert sorted(values(found.rows, "id", "name")) == [(1, "a"), (2, "b")]
+    assert found.rejects.count() == 0
+
+
+def test_same_rows_as_the_engines_reader(spark, folder, tmp_path):
+    from riskloom.plans.queries import Tables
+    from riskloom.sources import files
+    from tests.frames import assert_equal
+
+    features = Tables(spark, folder).features
+    files.write_csv(features, str(tmp_path / "t"))
+    for line_breaks in (False, True):
+        found = read_records(spark, str(tmp_path / "t"), schemas.FEATURES_MODELING, line_breaks)
+        assert_equal(found.rows, features)
+        assert found.rejects.count() == 0
+
+
+def test_no_group_holds_more_than_its_split(spark, tmp_path):
+    """Lines are ordered by split; only lines of longer records meet by record."""
+    write(tmp_path / "t.csv", table(50))
+    found = read_records(spark, str(tmp_path / "t.csv"), SCHEMA, line_breaks=True)
+    plan = found.rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "single" in plan and "SinglePartition" not in plan
