@@ -87,7 +87,11 @@ def orders_modeling(
     ``users`` is a stored table and not an aggregation by user itself.
     """
     customer = users.select("user_id", "is_bad_payer", "account_created_at", *customer_columns)
-    joined = orders.join(customer, "user_id", how)
+    return finish_orders(orders.join(customer, "user_id", how), customer_columns)
+
+
+def finish_orders(joined: DataFrame, customer_columns: Sequence[str] = ()) -> DataFrame:
+    """The columns of the analysis table, from orders beside their customer's columns."""
     days = C.elapsed_days(F.col("order_timestamp"), F.col("account_created_at"))
     return joined.withColumn("dias_conta_ate_compra", days).select(
         "order_id",

@@ -334,6 +334,14 @@ SELECTS = {
     "csv_roundtrip": "SELECT * FROM features",
     "csv_roundtrip_orders": ORDERS,
     "parquet_roundtrip": ORDERS,
+    "bucketed_orders": ORDERS,
+    "bucketed_refined_orders": "SELECT * FROM refined_orders",
+    "client_estimates": """
+        SELECT period, turno_pedido, faixa_tempo_conta, count(*) AS n,
+               count(DISTINCT user_id) AS clients, TRUE AS holds
+        FROM orders_modeling, (VALUES ('all'), ('odd')) AS periods(period)
+        WHERE period = 'all' OR month(order_timestamp) % 2 = 1
+        GROUP BY period, turno_pedido, faixa_tempo_conta""",
     "csv_records": """
         SELECT CASE WHEN order_id % 40 = 0 THEN 'column order_id: no bigint'
                     WHEN order_id % 41 = 0 THEN 'column created_at: no timestamp_ntz'

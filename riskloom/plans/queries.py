@@ -25,12 +25,13 @@ from riskloom.operators import (
     refine,
     report,
     segments,
+    sketches,
     split,
     trees,
 )
 from riskloom.plans import monthly
 from riskloom.session import durable, new_path, remembered
-from riskloom.sources import files, records, testdata
+from riskloom.sources import buckets, files, records, testdata
 from riskloom.streaming import flags, intake
 
 # Sample floor for the state report: the default would leave no state at the test scale.
@@ -223,6 +224,44 @@ def csv_records(t: Tables) -> DataFrame:
     return fits.union(rejects).groupBy("reason").agg(F.count("*").alias("n"), F.sum(first).alias("digests"))
 
 
+def bucketed(t: Tables, make: Callable[[buckets.Orders, DataFrame], DataFrame]) -> DataFrame:
+    """What ``make`` returns for orders and customers stored in the same buckets.
+
+    With few hot customers allowed, so that some of the test tables' are stored apart."""
+    orders_name, users_name = (f"riskloom_{name}_{uuid.uuid4().hex}" for name in ("orders", "users"))
+    count = int(t.spark.conf.get("spark.sql.shuffle.partitions"))
+    users = buckets.store_customers(t.users, users_name, t.new_path("bucketed-users"), count)
+    facts = refine.order_facts(t.raw_orders)
+    orders = buckets.store_orders(facts, orders_name, t.new_path("bucketed-orders"), count, most_hot=300)
+    result = durable(make(orders, users))
+    buckets.drop(t.spark, orders_name, users_name)
+    return result
+
+
+def bucketed_orders(t: Tables) -> DataFrame:
+    def make(orders: buckets.Orders, users: DataFrame) -> DataFrame:
+        customer = users.select("user_id", "is_bad_payer", "account_created_at")
+        return features.finish_orders(buckets.with_customers(orders, customer))
+
+    return bucketed(t, make)
+
+
+def client_estimates(t: Tables) -> DataFrame:
+    """By shift and account age the orders of odd and of all months, and whether estimates of customers hold."""
+    orders = durable(t.orders())
+    by = ["turno_pedido", "faixa_tempo_conta"]
+    sketched = durable(sketches.monthly_sketches(orders, by))
+    parts = []
+    for period, months in (("all", None), ("odd", F.month("mes") % 2 == 1)):
+        met = sketches.exact_clients(orders, by, months).join(
+            sketches.clients_in(sketched, by, months).withColumnRenamed("clients", "estimate").drop("n"), by
+        )
+        # Four standard errors, and one customer where there are few.
+        near = F.abs(F.col("estimate") - F.col("clients")) <= 1 + 0.035 * F.col("clients")
+        parts.append(met.select(F.lit(period).alias("period"), *by, "n", "clients", near.alias("holds")))
+    return parts[0].union(parts[1])
+
+
 def rf_report(t: Tables) -> DataFrame:
     scored = t.trained[1]
     best = curves.best_f1_threshold(curves.pr_curve(scored))
@@ -439,6 +478,9 @@ QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "csv_roundtrip_orders": csv_orders,
     "csv_records": csv_records,
     "parquet_roundtrip": parquet_orders,
+    "bucketed_orders": bucketed_orders,
+    "bucketed_refined_orders": lambda t: bucketed(t, buckets.known_customers_only),
+    "client_estimates": client_estimates,
     # month by month
     "monthly_user_months": monthly_table("user_months", schemas.USER_MONTHS),
     "monthly_refined_users": monthly_table("refined_users", schemas.REFINED_USERS),

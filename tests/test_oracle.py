@@ -19,6 +19,7 @@ TYPES = {
     "VARCHAR": "string",
     "TIMESTAMP": "timestamp_ntz",
     "DATE": "date",
+    "BOOLEAN": "boolean",
 }
 MAY_BE_EMPTY = {"rate_by_state_min_sample"}
 
