@@ -12,11 +12,13 @@ Two documents with a similarity of 0.8 agree that far in some tree but for one c
 3. Only nodes of different components still have to be compared, each with all others in its
    regions, the likeliest partners first, as they mostly join what belongs together; for that, regions with
    many are cut by longer prefixes. Then all pairs that still share MIN_DEPTH values across components are
-   compared, large regions block by block. No region is skipped or shortened.
+   compared, large regions block by block. No region is skipped or shortened. The pairs are compared where
+   their region lies, by the lowest hashes of their sets, which are whole sets up to BOTTOM shingles; only
+   those that pass, and of sets known whole only those that join something new, leave the task.
 
-Each check is exact: the sizes of intersection and union of the two full sets. Comparing first 128
-values of the signatures and then all spares most checks of unlike sets; a pair at the threshold
-fails these tests with a probability below 1e-6.
+Each link is confirmed on the sizes of intersection and union of the two full sets. Comparing first
+values of the signatures and lowest hashes spares most checks of unlike sets; a pair at the threshold
+fails these tests with a probability below 1e-5.
 
 Edge cases: null and empty texts, or those without a word, have an empty set and link with
 nothing; fewer words than a shingle has make one shingle. A missing id gives a missing
@@ -48,6 +50,10 @@ SKETCH = 128
 SKETCH_AGREES = 0.62
 # The same for whole signatures.
 SIGNATURE_AGREES = 0.68
+# Lowest hashes of a set that are compared before the whole sets are, and by how many standard
+# deviations their share may fall below the threshold.
+BOTTOM = 512
+DEVIATIONS = 4.5
 # Partners of a node in a region that are checked before all others are.
 LIKELIEST = 2
 # Rows of a region in one task: in a sorted run, and when all of them are compared.
@@ -128,26 +134,25 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, width: int) -> DataFrame:
-    """(node, shingles): the sorted shingle hashes of each document as bytes."""
+    """(node, shingles, bottom): the sorted shingle hashes of each document, and of the lowest the high halves."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = as_utf8(batch.column(0).to_pylist())
             for a, b in blocks(texts):
                 values, bounds = shingle_sets(texts[a:b], width)
-                nodes, sets = [], []
+                nodes, sets, bottoms = [], [], []
                 for start, end in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
                     part = values[start:end]
                     one = mix64(part).sum(dtype=np.uint64)
                     two = mix64(part ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)
                     nodes.append(np.array([one, two]).tobytes())
                     sets.append(part.tobytes())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(nodes, pa.binary()), pa.array(sets, pa.binary())],
-                    names=["node", "shingles"],
-                )
+                    bottoms.append((part[:BOTTOM] >> np.uint64(32)).astype(np.uint32).tobytes())
+                columns = [pa.array(column, pa.binary()) for column in (nodes, sets, bottoms)]
+                yield pa.RecordBatch.from_arrays(columns, names=["node", "shingles", "bottom"])
 
-    return docs.select("text").mapInArrow(run, "node binary, shingles binary")
+    return docs.select("text").mapInArrow(run, "node binary, shingles binary, bottom binary")
 
 
 def linked(left: bytes, right: bytes, percent: int) -> bool:
@@ -206,7 +211,7 @@ def neighbour_links(near: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     rows = (
         near.where(F.col("tree") < FIRST_TREES)
         .withColumn("part", F.pmod(F.xxhash64("node", "tree"), parts))
-        .join(sets, "node")
+        .join(sets.select("node", "shingles"), "node")
         .repartition("tree", "region", "part")
         .sortWithinPartitions("tree", "region", "part", "key", "node")
         .select("tree", "region", "part", "node", "shingles")
@@ -267,19 +272,12 @@ def ordered_pairs(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
-def likeliest_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """(u, v): of all candidates of different components the LIKELIEST of each node and region."""
-    return cross_pairs(rows, percent, LIKELIEST)
-
-
-def cross_pairs(rows: DataFrame, percent: int, best: int | None = None) -> DataFrame:
-    """(u, v): all candidates of different components, which share MIN_DEPTH values.
+def in_blocks(rows: DataFrame, depths: range) -> DataFrame:
+    """The rows by blocks of their regions, of which blocks i <= j of a region meet once.
 
-    With ``best`` only so many for each node and region, those that agree most in their sketches; a
-    region is then as deep as its size asks for.
+    With several depths a region is as deep as its size asks for.
     """
     rows = rows.drop("size")
-    depths = range(MIN_DEPTH, DEPTH + 1) if best else range(MIN_DEPTH, MIN_DEPTH + 1)
     narrow = rows.select("tree", "key", "node")
     depth = F.lit(depths[-1])
     for d in reversed(depths):
@@ -293,44 +291,130 @@ def cross_pairs(rows: DataFrame, percent: int, best: int | None = None) -> DataF
     parts = F.greatest(F.ceil(choice("n") / REGION_ROWS), F.lit(1)).cast("int")
     rows = rows.withColumns({"at": choice("p"), "parts": parts})
     rows = rows.withColumn("part", F.pmod(F.xxhash64("node", "tree"), F.col("parts")).cast("int"))
-    # Blocks i <= j of a region meet once.
-    met = ["tree", "depth", "at", "i", "j"]
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     rows = rows.withColumn("other", other).select(
         "tree", "depth", "at", F.least("part", "other").alias("i"),
         F.greatest("part", "other").alias("j"), "node", "component", "n", "sketch", "part",
     )
-    ordered = rows.repartition(*met).sortWithinPartitions(*met)
+    return rows.repartition(*MET).sortWithinPartitions(*MET)
+
+
+# What rows of a block have in common.
+MET = ["tree", "depth", "at", "i", "j"]
+
+
+class Block:
+    """The candidates among the rows of one block: of different components, sizes and sketches alike."""
+
+    def __init__(self, batch: pa.RecordBatch, percent: int):
+        column = lambda name: batch.column(batch.schema.get_field_index(name))
+        self.sketch, self.size = _sketches(batch), column("n").to_numpy()
+        self.component, self.part = _numbered(column("component")), column("part").to_numpy()
+        self.two = column("i").to_numpy() != column("j").to_numpy()
+        self.percent = percent
+
+    def candidates(self, start: int, end: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Each row with its partners and the share of the sketch that agrees; every pair once."""
+        here = self.component[start:end]
+        names, count = np.unique(here, return_counts=True)
+        if len(names) == 1:
+            return
+        # Nodes of the largest component meet only those of the others.
+        largest = here == names[count.argmax()]
+        size, sketch = self.size, self.sketch
+        for a in np.flatnonzero(~largest) + start:
+            b = np.arange(start, end)
+            can = (here != self.component[a]) & (largest | (b > a))
+            can &= 100 * np.minimum(size[b], size[a]) >= self.percent * np.maximum(size[b], size[a])
+            if self.two[start]:
+                can &= self.part[b] != self.part[a]
+            b = b[can]
+            agree = (sketch[b] == sketch[a]).mean(axis=1)
+            enough = agree >= SKETCH_AGREES
+            yield a, b[enough], agree[enough]
+
+
+def likeliest_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """(u, v): of all candidates of different components the LIKELIEST of each node and region."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, bounds in segments(batches, met):
-            sketch, size = _sketches(batch), batch.column(7).to_numpy()
-            component, part = _numbered(batch.column(6)), batch.column(9).to_numpy()
-            two = batch.column(3).to_numpy() != batch.column(4).to_numpy()
-            left, right = [], []
+        for batch, bounds in segments(batches, MET):
+            block, left, right = Block(batch, percent), [], []
             for start, end in zip(bounds, bounds[1:]):
-                here = component[start:end]
-                names, count = np.unique(here, return_counts=True)
-                if len(names) == 1:
-                    continue
-                # Nodes of the largest component meet only those of the others.
-                largest = here == names[count.argmax()]
-                for a in np.flatnonzero(~largest) + start:
-                    b = np.arange(start, end)
-                    can = (here != component[a]) & (largest | (b > a))
-                    can &= 100 * np.minimum(size[b], size[a]) >= percent * np.maximum(size[b], size[a])
-                    if two[start]:
-                        can &= part[b] != part[a]
-                    b = b[can]
-                    agree = (sketch[b] == sketch[a]).mean(axis=1)
-                    b = b[agree >= SKETCH_AGREES]
-                    if best and len(b) > best:
-                        b = b[np.argsort(-agree[agree >= SKETCH_AGREES], kind="stable")[:best]]
+                for a, b, agree in block.candidates(start, end):
+                    if len(b) > LIKELIEST:
+                        b = b[np.argsort(-agree, kind="stable")[:LIKELIEST]]
                     left.append(np.full(len(b), a))
                     right.append(b)
             if left:
                 yield _pairs(batch, np.concatenate(left), np.concatenate(right))
 
+    return ordered_pairs(in_blocks(rows, range(MIN_DEPTH, DEPTH + 1)).mapInArrow(run, PAIR))
+
+
+def may_link(a: np.ndarray, b: np.ndarray, n: int, m: int, percent: int) -> tuple[bool, bool]:
+    """Whether sets of ``n`` and ``m`` shingles with these lowest hashes may link, and whether that is certain."""
+    known = n <= BOTTOM and m <= BOTTOM
+    if not known:  # all hashes up to the last one that both lists would hold
+        last = min(x[-1] for x, size in ((a, n), (b, m)) if size > BOTTOM)
+        a, b = a[: np.searchsorted(a, last, side="right")], b[: np.searchsorted(b, last, side="right")]
+    both = len(np.intersect1d(a, b))
+    union = len(a) + len(b) - both
+    if known:
+        return 100 * both >= percent * union, True
+    share = percent / 100
+    return both / union >= share - DEVIATIONS * (share * (1 - share) / union) ** 0.5, False
+
+
+def cross_links(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(u, v): what of all candidates of different components, which share MIN_DEPTH values, may link.
+
+    First only the rows that have a partner are told, then these meet again with the lowest hashes of their
+    sets. Pairs of sets known whole are only returned where they join components within the block.
+    """
+    blocks_ = in_blocks(rows, range(MIN_DEPTH, MIN_DEPTH + 1))
+
+    def with_partner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, bounds in segments(batches, MET):
+            block, some = Block(batch, percent), np.zeros(batch.num_rows, bool)
+            for start, end in zip(bounds, bounds[1:]):
+                for a, b, _ in block.candidates(start, end):
+                    some[b] = True
+                    some[a] |= len(b) > 0
+            yield batch.filter(pa.array(some))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, bounds in segments(batches, MET):
+            block, left, right = Block(batch, percent), [], []
+            column = batch.column(batch.schema.get_field_index("bottom")).to_pylist()
+            bottom = [np.frombuffer(x, np.uint32) for x in column]
+            for start, end in zip(bounds, bounds[1:]):
+                joined: dict[int, int] = {}
+
+                def root(x: int) -> int:
+                    while x in joined:
+                        x = joined[x]
+                    return x
+
+                for a, partners, agree in block.candidates(start, end):
+                    for b in partners[np.argsort(-agree, kind="stable")].tolist():
+                        one, two = root(int(block.component[a])), root(int(block.component[b]))
+                        if one == two:
+                            continue
+                        links, certain = may_link(
+                            bottom[a], bottom[b], block.size[a], block.size[b], percent
+                        )
+                        if links:
+                            left.append(a)
+                            right.append(b)
+                            if certain:
+                                joined[max(one, two)] = min(one, two)
+            if left:
+                yield _pairs(batch, np.array(left), np.array(right))
+
+    few = blocks_.mapInArrow(with_partner, blocks_.schema)
+    met = few.join(sets.select("node", "bottom"), "node")
+    ordered = met.repartition(*MET).sortWithinPartitions(*MET)
     return ordered_pairs(ordered.mapInArrow(run, PAIR))
 
 
@@ -408,7 +492,7 @@ def _grouped(plain: DataFrame, width: int, percent: int) -> DataFrame:
     sets = durable(sets.dropDuplicates(["node"]))
     links = durable(neighbour_links(near, sets, percent))
     groups = components(links)
-    for candidates in (likeliest_pairs, cross_pairs):
+    for candidates in (likeliest_pairs, lambda rows, percent: cross_links(rows, sets, percent)):
         pairs = candidates(with_components(near, groups), percent)
         links = durable(checked(pairs, nodes, sets, percent))
         if links.limit(1).count():

@@ -131,9 +131,48 @@ def test_repeated_id_with_other_texts(spark):
 def test_large_regions_are_compared_whole(spark, monkeypatch):
     monkeypatch.setattr(forest_dedup, "REGION_ROWS", 4)
     names = [bytes([i]) for i in range(12)]
-    # Six values agree, the seventh differs.
-    data = [(0, i << 8, name, 12, name, 100, bytes(forest_dedup.SKETCH)) for i, name in enumerate(names)]
+    # Six values agree, the seventh differs; the sets are larger than what is compared of them.
+    data = [(0, i << 8, name, 12, name, 600, bytes(forest_dedup.SKETCH)) for i, name in enumerate(names)]
     schema = "tree int, key bigint, node binary, size bigint, component binary, n bigint, sketch binary"
-    pairs = forest_dedup.cross_pairs(spark.createDataFrame(data, schema), 80).collect()
+    rows = spark.createDataFrame(data, schema)
+    lowest = np.arange(forest_dedup.BOTTOM, dtype=np.uint32).tobytes()
+    sets = spark.createDataFrame([(name, lowest) for name in names], "node binary, bottom binary")
+    pairs = forest_dedup.cross_links(rows, sets, 80).collect()
     got = sorted((bytes(r["u"]), bytes(r["v"])) for r in pairs)
     assert got == [(a, b) for a in names for b in names if a < b]
+
+
+def test_sets_known_whole_give_spanning_links(spark, monkeypatch):
+    names = [bytes([i]) for i in range(40)]
+    data = [(0, i << 8, name, 40, name, 100, bytes(forest_dedup.SKETCH)) for i, name in enumerate(names)]
+    schema = "tree int, key bigint, node binary, size bigint, component binary, n bigint, sketch binary"
+    # The second half shares 70 of 100 with the first.
+    low = [np.arange(k, k + 100, dtype=np.uint32).tobytes() for k in (0, 30)]
+    sets = spark.createDataFrame([(x, low[i >= 20]) for i, x in enumerate(names)], "node binary, bottom binary")
+    pairs = forest_dedup.cross_links(spark.createDataFrame(data, schema), sets, 80).collect()
+    assert len(pairs) == 38
+    group = {name: {name} for name in names}
+    for r in pairs:
+        one, two = group[bytes(r["u"])], group[bytes(r["v"])]
+        one |= two
+        for x in two:
+            group[x] = one
+    assert {frozenset(x) for x in group.values()} == {frozenset(names[:20]), frozenset(names[20:])}
+
+
+@pytest.mark.parametrize("n", [10, 300, 512, 513, 900, 4000])
+def test_lowest_hashes_decide_as_whole_sets_do(n):
+    draw = np.random.default_rng(n)
+    for share in (0.5, 0.78, 0.8, 0.82, 0.95):
+        base = np.unique(draw.integers(0, 2**64, 3 * n, dtype=np.uint64))
+        draw.shuffle(base)
+        both = int(n * 2 * share / (1 + share))
+        one, two = np.sort(base[:n]), np.sort(np.r_[base[:both], base[n : 2 * n - both]])
+        common = len(np.intersect1d(one, two))
+        linked = 100 * common >= 80 * (len(one) + len(two) - common)
+        low = [(x[: forest_dedup.BOTTOM] >> np.uint64(32)).astype(np.uint32) for x in (one, two)]
+        found, certain = forest_dedup.may_link(*low, len(one), len(two), 80)
+        assert certain == (n <= forest_dedup.BOTTOM)
+        assert found == linked if certain else found >= linked
+        if share == 0.5:
+            assert not found
