@@ -12,9 +12,9 @@ margin for rounding, so results are exact; ties go to the smaller id.
 
 Edge cases: vectors that are null or hold null or non-finite components neither ask nor answer; a query
 meets the vectors of its own length, an empty vector none. Rows without an id take no part. Repeated rows of an
-id count once. Fewer candidates than k give fewer rows. Components are held within +-2**47 after
-scaling and scores are 64-bit integers, which wrap beyond that range as Spark's own products do;
-where they could, nothing is pruned. Only the named columns are read.
+id count once. Fewer candidates than k give fewer rows. Components that do not fit 64 bits after scaling become
+the largest that do. Scores are 64-bit integers: one that fits is exact whatever its summands are, one that does
+not wraps; where scores could wrap, nothing is pruned. Only the named columns are read.
 """
 
 from __future__ import annotations
@@ -34,7 +34,8 @@ SHARD_ROWS = 16_384
 LANE_SHARDS = 8
 BLOCK_QUERIES = 512
 LEAF_ROWS = 64
-LARGEST = 2.0**47
+# The largest whole number below 2**63 that a double holds.
+LARGEST = 2.0**63 - 1024
 # Bounds are inexact in the last digits; this share of |q| * (|centre| + radius) covers it.
 MARGIN = 1e-9
 EXACT = 2.0**52
@@ -93,8 +94,8 @@ def search(
     scores: np.ndarray, ids: np.ndarray, floor: int | None,
 ) -> tuple[np.ndarray, np.ndarray]:
     """Best-first branch and bound from the k best so far; ``floor``: a k-th score found elsewhere."""
-    small = np.abs(query).sum() * max(1.0, np.abs(tree.rows).max(initial=0)) < EXACT
     as_float = query.astype(np.float64)
+    small = np.abs(as_float).sum() * max(1.0, np.abs(tree.points).max(initial=0)) < EXACT
     heap = [(-bounds[0], 0)]
     while heap:
         bound, node = heapq.heappop(heap)

@@ -103,3 +103,24 @@ def test_search_prunes():
     bounds = tree.bounds(rows[:1].astype(float))[0]
     balltree.search(tree, rows[0], 0, bounds, 5, none, none, None)
     assert len(seen) < 40 < len(tree.children) / 4
+
+
+def test_large_components(spark):
+    """Scores that fit 64 bits are exact, however large the components are; some sums only fit in the end."""
+    cases = (
+        {0: [1.0, 0.0], 1: [1e12, 0.0], 2: [2e12, 0.0], 3: [3e13, -5.0], 4: [-1e12, 7.0], 5: [2e12, 1.0]},
+        {0: [3e6, 3e6], 6: [4e6, -3.9999999e6], 7: [0.5, 0.25], 9: [4e6, 4e6]},
+        {0: [2.0**-8, 2.0**-8], 8: [2.0**54, -(2.0**54) + 64], 7: [0.5, 0.25], 9: [2.0**54 - 64, -(2.0**54)]},
+    )
+    for rows in cases:
+        df = spark.createDataFrame(list(rows.items()), "vec_id bigint, embedding array<double>")
+        got = found(balltree.top_k(df, F.col("id") == 0, k=8))
+        assert got == brute_force(rows, [0], k=8)
+    assert brute_force(cases[0], [0])[1:3] == [(0, 2, 2, 131072000000000000), (0, 3, 5, 131072000000000000)]
+
+
+def test_components_beyond_64_bits(spark):
+    rows = [(0, [1e-2, 0.0]), (1, [1e300, 0.0]), (2, [-1e300, 0.0]), (3, [1.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = [(r["vec_id"], r["score"]) for r in balltree.top_k(df, F.col("id") == 0).orderBy("rank").collect()]
+    assert len(got) == 3 and dict(got)[3] == 2 * 256
