@@ -42,12 +42,18 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder for intermediate tables, which all machines can reach.
 
     It is the session's checkpoint folder, or the one named in ``spark.checkpoint.dir``. Without
-    either it lies below the warehouse, where tables are shared as well. The session's own
-    checkpoint folder is left as it is.
+    either it lies below the warehouse, where tables are shared as well; on a cluster whose warehouse is
+    a folder of the driver's machine, that is an error. The session's own checkpoint folder is left as it is.
     """
     current = spark.sparkContext.getCheckpointDir()
     named = current or spark.conf.get("spark.checkpoint.dir", None)
-    return named or f"{spark.conf.get('spark.sql.warehouse.dir')}/riskloom-intermediate"
+    if named:
+        return named
+    warehouse = spark.conf.get("spark.sql.warehouse.dir")
+    own = warehouse.startswith(("file:", "/"))
+    if own and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines of the cluster can reach")
+    return f"{warehouse}/riskloom-intermediate"
 
 
 @dataclass

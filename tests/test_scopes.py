@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pathlib import Path
+from types import SimpleNamespace
 
 import pytest
 
@@ -70,3 +71,25 @@ def test_what_is_remembered_is_made_once_per_scope(spark):
         assert session.remembered(spark, "k", make) == 1
         assert session.remembered(spark, "other", make) == 2
     assert session.remembered(spark, "other", make) == 3
+
+
+@pytest.mark.parametrize(
+    "master, named, warehouse, expected",
+    [
+        ("yarn", "hdfs:/shared", "file:/here", "hdfs:/shared"),
+        ("yarn", None, "hdfs:/tables", "hdfs:/tables/riskloom-intermediate"),
+        ("yarn", None, "file:/here", None),
+        ("spark://host:7077", None, "/here", None),
+        ("local[4]", None, "file:/here", "file:/here/riskloom-intermediate"),
+    ],
+)
+def test_a_cluster_needs_a_shared_folder(master, named, warehouse, expected):
+    settings = {"spark.checkpoint.dir": named, "spark.sql.warehouse.dir": warehouse}
+    conf = SimpleNamespace(get=lambda key, default=None: settings.get(key) or default)
+    context = SimpleNamespace(getCheckpointDir=lambda: None, master=master)
+    like = SimpleNamespace(sparkContext=context, conf=conf)
+    if expected is None:
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            session.shared_dir(like)
+    else:
+        assert session.shared_dir(like) == expected
