@@ -1,38 +1,51 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-Documents of a source are shuffled by a hash of id and text and cut into blocks of BLOCK_DOCS.
-Block i (from 1) of a source with share u of the stream is released at slot floor((i - 1) / u) and due at
-ceil(i / u); in each slot the released block with the earliest deadline is put next. At any slot
-the number of blocks a source has had differs from its share by less than one block.
-
-With whole-number weights the schedule repeats after their sum, so only one period is
-scheduled, on the driver, from the weights and the number of blocks of each source (at most
-MOST_SOURCES rows); the place of each block follows by arithmetic, in a join that Spark runs. When a source
-has no blocks left, a new phase begins with the remaining sources in their proportions, so every document
-is placed and none twice.
-
-Edge cases: a missing source and an empty name are one source; a source without a weight gets
-weight one, a weight without documents is ignored; the last block of a source may be short; repeated
-rows are documents of their own; null ids and texts are placed like others; an empty table gives
-an empty result. Other columns are carried as they are.
+Documents of a source are shuffled by a hash of id and text and cut into pieces of half a block. A
+source of weight w has had min(n, w v) pieces at time v, and all sources together are P(v) pieces into the stream:
+piece i (from 1) is released at slot floor(P((i - 1) / w)) and due at ceil(P(i / w)). This holds the
+weights as they are given, and sources that run out as well: the others share their part from then on.
+
+Earliest deadline first is applied twice. On the driver, to periods as wide slots: from the sources' sizes
+alone it finds how many pieces of each source a period takes; what a source has had at a period's end is its share,
+rounded up or down. In Spark, each period by itself: its pieces have release times and deadlines from those
+numbers, and in each slot the released piece with the earliest deadline is put next. Either step keeps a
+source within one piece of its share, so at any slot it has had less than one block, two pieces, more or
+less than its target. The driver holds up to PERIODS + 2 S counts for each of S sources, and its time grows with S
+squared; no document or piece passes through it.
+
+Edge cases: a missing source and an empty name are one source; a source without a weight gets a
+thousandth of the sum of the given ones, a weight without documents is ignored; weights that are not
+positive and finite are an error; the last piece of a source may be short; repeated rows are documents of
+their own; null ids and texts are placed like others; an empty table gives an empty result. Other
+columns are carried as they are.
 """
 
 from __future__ import annotations
 
 import heapq
-from math import sqrt
+from collections.abc import Iterator
+from math import isfinite, sqrt
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from riskloom.llm.common import share_package
+from riskloom.session import durable
+
 BLOCK_DOCS = 64
-# Weights given as shares or counts are rounded to whole numbers of about this sum.
-WEIGHT_SUM = 1000
-# The schedule is made on the driver: time and size grow with sources * WEIGHT_SUM.
-MOST_SOURCES = 1000
+# The stream is scheduled in about this many periods, each of them at least so many slots.
+PERIODS = 1024
+PERIOD_SLOTS = 1 << 12
+# A source without a weight gets this part of the sum of the given weights.
+UNNAMED = 1 / 1000
+# Shares this close to a whole number of pieces are that number: they are sums of rounded terms.
+NEAR_WHOLE = 1e-6
 # A source's documents are ranked in this many parts, so one source is no task's burden.
-PARTS = 1024
+PARTS = 1 << 14
 
 
 def pfair_period(weights: dict[str, int]) -> list[str]:
@@ -55,42 +68,80 @@ def pfair_period(weights: dict[str, int]) -> list[str]:
     return slots
 
 
-def schedule(blocks: dict[str, int], weights: dict[str, int]) -> list[tuple]:
-    """(source, first block, blocks, first slot, weight, period, slots in a period) by phase."""
-    left = {name: n for name, n in blocks.items() if n > 0}
-    done = dict.fromkeys(left, 0)
-    rows, start = [], 0
-    while left:
-        shares = {name: weights[name] for name in left}
-        period = sum(shares.values())
-        slots = pfair_period(shares)
-        pattern: dict[str, list[int]] = {name: [] for name in left}
-        for slot, name in enumerate(slots):
-            pattern[name].append(slot)
-        # Whole periods in which no source runs out, then slots up to the first that does.
-        whole = min((n - 1) // shares[name] for name, n in left.items())
-        placed = {name: whole * shares[name] for name in left}
-        length = whole * period
-        for name in slots:
-            placed[name] += 1
-            length += 1
-            if placed[name] == left[name]:
-                break
-        for name, n in placed.items():
-            if n:
-                rows.append(
-                    (name, done[name], n, start, shares[name], period, pattern[name])
-                )
-            done[name] += n
-            left[name] -= n
-        left = {name: n for name, n in left.items() if n}
-        start += length
-    return rows
-
-
-def whole_weights(weights: dict[str, float]) -> dict[str, int]:
-    total = sum(weights.values())
-    return {name: max(1, round(WEIGHT_SUM * w / total)) for name, w in weights.items()}
+def turning_points(pieces: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(times, slots): when sources run out, and how far the stream is then; both begin with 0."""
+    ends = pieces / weights
+    order = np.argsort(ends, kind="stable")
+    times = np.r_[0.0, ends[order]]
+    active = np.cumsum(weights[order][::-1])[::-1]
+    return times, np.r_[0.0, np.cumsum(np.diff(times) * active)]
+
+
+def allotments(
+    pieces: np.ndarray, weights: np.ndarray, length: int
+) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first slot, pieces had before, pieces had after) of each period, by source.
+
+    Periods of ``length`` slots are cut where a source runs out, so that shares grow evenly within one.
+    """
+    total = int(pieces.sum())
+    times, slots = turning_points(pieces, weights)
+    cuts = np.r_[np.arange(0, total, length), np.floor(slots), np.ceil(slots), total]
+    bounds = np.unique(np.clip(cuts, 0, total).astype(np.int64))
+    had = np.zeros(len(pieces), np.int64)
+    for start, end in zip(bounds.tolist(), bounds[1:].tolist()):
+        if end == total:
+            after = pieces.astype(np.int64)
+        else:
+            share = np.minimum(pieces, weights * np.interp(end, slots, times))
+            # What is due by the end, and what else is released, by deadline.
+            after = np.maximum(np.floor(share + NEAR_WHOLE).astype(np.int64), had)
+            released = np.flatnonzero(np.ceil(share - NEAR_WHOLE) > after)
+            due = (after[released] + 1) / weights[released]
+            after[released[np.argsort(due, kind="stable")[: end - int(after.sum())]]] += 1
+        yield start, had, after
+        had = after
+
+
+def schedule(spark: SparkSession, pieces: dict[str, int], weights: dict[str, float]) -> DataFrame:
+    """(source, piece, slot) of every piece; pieces of a source are numbered from 0."""
+    names = sorted(pieces)
+    counts = np.array([pieces[name] for name in names], np.int64)
+    length = max(PERIOD_SLOTS, -(-int(counts.sum()) // PERIODS))
+    columns: list[list[np.ndarray]] = [[], [], [], []]
+    for start, had, after in allotments(counts, np.array([weights[n] for n in names], float), length):
+        taking = np.flatnonzero(after > had)
+        found = (np.full(len(taking), start), taking, had[taking], (after - had)[taking])
+        for column, values in zip(columns, found):
+            column.append(values)
+    fields = ("start", "number", "first", "n")
+    taken = {name: np.concatenate([np.zeros(0, np.int64), *c]) for name, c in zip(fields, columns)}
+    taken["source"] = pa.array(names, pa.string()).take(pa.array(taken.pop("number")))
+    schema = "start bigint, first bigint, n bigint, source string"
+    table = pa.table(taken).select(["start", "first", "n", "source"])
+
+    def run(period: pd.DataFrame) -> pd.DataFrame:
+        slots = pfair_period(dict(zip(period["source"], period["n"].tolist())))
+        placed = pd.DataFrame({"source": slots})
+        first = placed["source"].map(dict(zip(period["source"], period["first"])))
+        placed["piece"] = first + placed.groupby("source").cumcount()
+        placed["slot"] = period["start"].iloc[0] + np.arange(len(slots))
+        return placed
+
+    share_package(spark)
+    periods = spark.createDataFrame(table, schema) if table.num_rows else spark.createDataFrame([], schema)
+    return periods.groupBy("start").applyInPandas(run, "source string, piece bigint, slot bigint")
+
+
+def target_weights(counts: dict[str, int], weights: dict[str, float] | None) -> dict[str, float]:
+    """The weight of each source that has documents."""
+    if weights is None:
+        return {name: sqrt(n) for name, n in counts.items()}
+    for name, weight in weights.items():
+        if not (isfinite(weight) and weight > 0):
+            raise ValueError(f"the weight of {name!r} is not positive and finite: {weight}")
+    rest = sum(weights.values()) * UNNAMED or 1.0
+    return {name: float(weights.get(name, rest)) for name in counts}
 
 
 def mix(
@@ -101,16 +152,20 @@ def mix(
     text_column: str = "text",
     block_docs: int = BLOCK_DOCS,
     carried: list[str] | None = None,
+    mixed_column: str | None = None,
 ) -> DataFrame:
-    """(row, source, block, slot, position): each input row as a struct, and its place.
+    """(row, source, piece, slot, position): each input row as a struct, and its place.
 
-    The struct has the columns named in ``carried``, or all.
+    The struct has the columns named in ``carried``, or all. ``mixed_column`` names a column that
+    already has the value of :func:`mixed_by`; the text is not read then.
     ``weights``: the target share of each source in any unit; without it, the square roots of the
     sources' sizes, a usual choice to lift small sources. Ascending ``position`` is the mixed order.
     """
-    spark = docs.sparkSession
+    if block_docs < 2:
+        raise ValueError("a block has at least two documents")
+    spark, half = docs.sparkSession, block_docs // 2
     content = [F.col(f"`{name}`") for name in carried or docs.columns]
-    mixed = F.xxhash64(id_column, text_column)
+    mixed = F.col(mixed_column) if mixed_column else mixed_by(id_column, text_column)
     rows = docs.select(
         F.struct(*content).alias("row"),
         F.coalesce(F.col(source_column).cast("string"), F.lit("")).alias("source"),
@@ -120,46 +175,33 @@ def mix(
     sizes = rows.groupBy("source", "part").agg(F.count("*").alias("size"))
     before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.withColumn("offset", F.coalesce(F.sum("size").over(before), F.lit(0)))
-    totals = sizes.groupBy("source").agg(F.sum("size").alias("n")).limit(MOST_SOURCES + 1).collect()
-    if len(totals) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources; group the small ones")
+    # One row for each source, as the driver's part of the schedule needs.
+    totals = rows.groupBy("source").agg(F.count("*").alias("n")).collect()
     counts = {row["source"]: row["n"] for row in totals}
-    if weights is None:
-        target = whole_weights({name: sqrt(n) for name, n in counts.items()})
-    else:
-        target = {name: 1 for name in counts} | whole_weights(weights)
-    plan = spark.createDataFrame(
-        schedule({name: -(-n // block_docs) for name, n in counts.items()}, target),
-        "source string, first bigint, blocks bigint, start bigint, weight bigint, period bigint, "
-        "slots array<bigint>",
-    )
+    pieces = {name: -(-n // half) for name, n in counts.items()}
+    # Stored, so that the planner knows its size: it has a row for every piece of the stream.
+    slots = durable(schedule(spark, pieces, target_weights(counts, weights)))
     within = Window.partitionBy("source", "part").orderBy("mixed")
     ranked = (
         rows.withColumn("place", F.row_number().over(within) - 1)
         .join(offsets.drop("size"), ["source", "part"])
         .withColumn("index", F.col("offset") + F.col("place"))
-        .withColumn("block", F.floor(F.col("index") / block_docs))
-    )
-    # Safe to broadcast: at most MOST_SOURCES sources in as many phases, WEIGHT_SUM slots each.
-    met = ranked.alias("r").join(
-        F.broadcast(plan).alias("p"),
-        F.expr("r.source = p.source AND r.block >= p.first AND r.block < p.first + p.blocks"),
+        .withColumn("piece", F.floor(F.col("index") / half))
     )
-    k = F.col("block") - F.col("first")
-    slot = (
-        F.col("start")
-        + F.floor(k / F.col("weight")) * F.col("period")
-        + F.get("slots", (k % F.col("weight")).cast("int"))
-    )
-    return met.select(
+    return ranked.join(slots, ["source", "piece"]).select(
         "row",
-        F.col("r.source").alias("source"),
-        "block",
-        slot.alias("slot"),
-        (slot * block_docs + F.col("index") % block_docs).alias("position"),
+        "source",
+        "piece",
+        "slot",
+        (F.col("slot") * half + F.col("index") % half).alias("position"),
     )
 
 
+def mixed_by(id_column: str = "doc_id", text_column: str = "text"):
+    """What the documents of a source are ordered by."""
+    return F.xxhash64(id_column, text_column)
+
+
 def in_mixed_order(docs: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
     """``docs`` in the mixed order, which writing keeps: partitions are ranges of positions."""
     placed = mix(docs, weights)
@@ -167,6 +209,6 @@ def in_mixed_order(docs: DataFrame, weights: dict[str, float] | None = None) ->
 
 
 def places(docs: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
-    """(doc_id, source, block, slot, position) of every document."""
+    """(doc_id, source, piece, slot, position) of every document."""
     placed = mix(docs, weights, carried=["doc_id"])
-    return placed.select("row.doc_id", "source", "block", "slot", "position")
+    return placed.select("row.doc_id", "source", "piece", "slot", "position")
