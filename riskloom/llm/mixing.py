@@ -46,6 +46,8 @@ UNNAMED = 1 / 1000
 NEAR_WHOLE = 1e-6
 # A source's documents are ranked in this many parts, so one source is no task's burden.
 PARTS = 1 << 14
+# Running sums of the parts' sizes are made by groups of so many parts.
+GROUP = 1 << 7
 
 
 def pfair_period(weights: dict[str, int]) -> list[str]:
@@ -144,6 +146,19 @@ def target_weights(counts: dict[str, int], weights: dict[str, float] | None) ->
     return {name: float(weights.get(name, rest)) for name in counts}
 
 
+def starts(sizes: DataFrame) -> DataFrame:
+    """(source, part, offset): how many documents of the source are in the parts before."""
+    ahead = Window.rowsBetween(Window.unboundedPreceding, -1)
+    in_group = ahead.partitionBy("source", "group").orderBy("part")
+    of_groups = ahead.partitionBy("source").orderBy("group")
+    groups = sizes.groupBy("source", "group").agg(F.sum("size").alias("size"))
+    before = groups.select("source", "group", F.sum("size").over(of_groups).alias("before"))
+    within = sizes.withColumn("within", F.sum("size").over(in_group)).join(before, ["source", "group"])
+    zero = F.lit(0)
+    offset = F.coalesce("within", zero) + F.coalesce("before", zero)
+    return within.select("source", "part", offset.alias("offset"))
+
+
 def mix(
     docs: DataFrame,
     weights: dict[str, float] | None = None,
@@ -173,8 +188,7 @@ def mix(
         F.pmod(mixed, F.lit(PARTS)).cast("int").alias("part"),
     )
     sizes = rows.groupBy("source", "part").agg(F.count("*").alias("size"))
-    before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.withColumn("offset", F.coalesce(F.sum("size").over(before), F.lit(0)))
+    offsets = starts(sizes.withColumn("group", F.floor(F.col("part") / GROUP)))
     # One row for each source, as the driver's part of the schedule needs.
     totals = rows.groupBy("source").agg(F.count("*").alias("n")).collect()
     counts = {row["source"]: row["n"] for row in totals}
@@ -184,7 +198,7 @@ def mix(
     within = Window.partitionBy("source", "part").orderBy("mixed")
     ranked = (
         rows.withColumn("place", F.row_number().over(within) - 1)
-        .join(offsets.drop("size"), ["source", "part"])
+        .join(offsets, ["source", "part"])
         .withColumn("index", F.col("offset") + F.col("place"))
         .withColumn("piece", F.floor(F.col("index") / half))
     )
