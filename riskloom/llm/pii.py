@@ -3,15 +3,18 @@
 All of it is DataFrame expressions. Positions of matches follow from splitting a text at them:
 the lengths of the pieces and of the matches add up to the starts.
 
-Beside the patterns' own spans, words near a protected entity (an address or number found by a
-pattern) may give it away. The corpus tells how strongly: with n(e) and n(t) the documents that
-hold entity and term and n(e, t) the distinct surroundings in which both meet, the information
-that the term discloses is PMI = log2(N n(e, t) / (n(e) n(t))), and the entity's own information is
-IC = -log2(n(e) / N). A term that meets its entity in at least SUPPORT different surroundings is
-generalised from PMI / IC >= GENERALISE on and removed from REMOVE on, wherever it stands in the
-documents that hold the entity. Copies of a passage are one surrounding, so copying proves nothing.
-An entity that is in every document has no information of its own, and no term reveals it. Documents
-are counted as rows, with or without an id.
+Beside the patterns' own spans, words in the documents of a protected entity (an address or number found
+by a pattern) may give it away. The corpus tells how strongly. Equal texts are one document; with N
+documents, n(e) and n(t) that hold entity and term, and n(e, t) that hold both, the information that
+the term discloses is PMI = log2(N n(e, t) / (n(e) n(t))), and the entity's own information, which PMI cannot
+exceed, is IC = -log2(n(e) / N). A term that meets its entity in at least SUPPORT documents is generalised
+from PMI / IC >= GENERALISE on and removed from REMOVE on, wherever it stands in the documents that hold
+the entity, however far from it. Terms are runs of three or more letters and digits outside the patterns' spans.
+An entity that is in every document has no information of its own, and no term reveals it.
+
+Pairs of entity and term are counted only where they can reach SUPPORT and GENERALISE: n(e, t) is at
+most n(e) and n(t), so the entity needs SUPPORT documents, and n(t) lies between SUPPORT and
+N^(1 - GENERALISE) n(e)^GENERALISE. That loses no term.
 
 Edge cases: a null text has no spans and stays null; texts of any length are scanned whole, with
 patterns that neither recurse nor rescan; documents without an id have base spans but no term spans;
@@ -36,10 +39,10 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?+[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
+# As many digits as a card has, or more.
+LONG_NUMBER = r"[0-9](?:[\x20-]?+[0-9]){12,}+"
 BYTE = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{0,2})"
-WORD = r"\p{L}{3,}+"
-# Code points on either side of an entity that are searched for terms.
-NEAR = 80
+WORD = r"[\p{L}\p{N}]{3,}+"
 SUPPORT = 3
 GENERALISE = 0.7
 REMOVE = 0.95
@@ -128,26 +131,25 @@ def entity(kind: str, value: Column) -> Column:
     return F.concat(F.lit(f"{kind}:"), plain)
 
 
-def surroundings(docs: DataFrame) -> DataFrame:
-    """(row, id, entity, around): the text on both sides of every protected entity. ``row`` numbers
-    the documents, and stays as it is only once the result is stored."""
-    found = docs.where(" OR ".join(f"size({kind}) > 0" for kind in KINDS))
+def entities() -> Column:
+    """The distinct entities among the arrays of :func:`base_spans`."""
 
-    def cut(kind: str):
-        return lambda span: F.struct(
-            entity(kind, span["value"]).alias("entity"),
-            F.concat(
-                F.substring("text", F.greatest(span["start"] - NEAR + 1, F.lit(1)),
-                            F.least(span["start"], F.lit(NEAR))),
-                F.lit(" "),
-                F.substring("text", span["end"] + 1, F.lit(NEAR)),
-            ).alias("around"),
-        )
+    def named(kind: str):
+        return lambda span: entity(kind, span["value"])
 
-    every = F.concat(*[F.transform(kind, cut(kind)) for kind in KINDS])
-    numbered = found.withColumn("row", F.monotonically_increasing_id())
-    spread = numbered.select("row", "id", F.explode(every).alias("x"))
-    return spread.select("row", "id", "x.entity", "x.around")
+    return F.array_distinct(F.concat(*[F.transform(kind, named(kind)) for kind in KINDS]))
+
+
+def terms_of(text: Column) -> Column:
+    """The distinct terms of a text, its matches of the patterns left out."""
+    for kind, pattern in (PATTERNS | {"card": LONG_NUMBER}).items():
+        text = F.when(may_hold(kind, text), F.regexp_replace(text, pattern, " ")).otherwise(text)
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0)))
+
+
+def text_key(text: Column) -> Column:
+    """One value for equal texts; null for a missing one."""
+    return F.unhex(F.sha2(text, 256))
 
 
 def revealing_terms(
@@ -156,62 +158,54 @@ def revealing_terms(
     generalise: float = GENERALISE,
     remove: float = REMOVE,
 ) -> DataFrame:
-    """(id, terms, removed): for each document the terms that reveal an entity it holds.
+    """(key, terms, removed): by text, the terms that reveal an entity it holds.
 
-    ``docs`` has (id, text) and the arrays of :func:`base_spans`.
+    ``docs`` has (key, text) and the arrays of :func:`base_spans`.
     """
-    near = durable(surroundings(docs))
-    holders = near.groupBy("entity").agg(F.countDistinct("row").alias("n_entity"))
-    terms = F.explode(
-        F.array_distinct(F.regexp_extract_all(F.lower("around"), F.lit(WORD), F.lit(0)))
+    held = docs.where("key IS NOT NULL")
+    of_texts = held.select("key", F.explode(entities()).alias("entity")).distinct()
+    holders = (
+        of_texts.groupBy("entity").agg(F.count("*").alias("n_entity")).where(F.col("n_entity") >= support)
+    )
+    # (key, entity, n_entity): every text's entities that are in enough texts.
+    known = durable(of_texts.join(holders, "entity"))
+    words = durable(
+        held.groupBy("key").agg(F.first("text").alias("text")).select("key", terms_of(F.col("text")).alias("terms"))
     )
-    # One row per entity, term and surrounding at most, summed before and after the shuffle.
-    meetings = (
-        near.select("entity", F.xxhash64("around").alias("place"), terms.alias("term"))
-        .distinct()
-        .groupBy("entity", "term")
+    total = words.agg(F.count("*").alias("n")).scalar()
+    counts = words.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
+    # The most common entity sets how common a term can be at all.
+    most = known.agg(F.max("n_entity").alias("n")).scalar()
+    bound = F.pow(total, F.lit(1 - generalise)) * F.pow(most, F.lit(generalise))
+    rare = counts.where((F.col("n_term") >= support) & (F.col("n_term") <= bound + 1))
+    holding = words.join(known.select("key").distinct(), "key", "left_semi")
+    candidates = holding.select("key", F.explode("terms").alias("term")).join(rare, "term")
+    pmi = F.log2(F.col("together") * total / (F.col("n_entity") * F.col("n_term")))
+    content = F.log2(total / F.col("n_entity"))
+    judged = durable(
+        candidates.join(known, "key")
+        .where(
+            F.col("n_term")
+            <= F.pow(total, F.lit(1 - generalise)) * F.pow(F.col("n_entity"), F.lit(generalise)) + 1
+        )
+        .groupBy("entity", "term", "n_entity", "n_term")
         .agg(F.count("*").alias("together"))
         .where(F.col("together") >= support)
-    )
-    # A term is in at least as many documents as hold it near an entity. Where even that number
-    # keeps the disclosure below the threshold, as for common words, all of them need no count.
-    seen = near.select(terms.alias("term"), "row").groupBy("term")
-    total = docs.agg(F.count("*").alias("n")).scalar()
-    pmi = F.log2(F.col("together") * F.col("n") / (F.col("n_entity") * F.col("n_term")))
-    content = F.log2(F.col("n") / F.col("n_entity"))
-    disclosed = F.when(content > 0, F.least(F.try_divide(pmi, content), F.lit(1.0)))
-    meetings = durable(
-        meetings.join(holders, "entity")
-        .join(seen.agg(F.countDistinct("row").alias("n_term")), "term")
-        .withColumn("n", total)
-        .where(disclosed >= generalise)
-        .drop("n_term")
-    )
-    words = docs.select(
-        F.explode(
-            F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)))
-        ).alias("term")
-    )
-    spread = (
-        words.groupBy("term")
-        .agg(F.count("*").alias("n_term"))
-        .join(meetings.select("term").distinct(), "term", "left_semi")
-    )
-    judged = (
-        meetings.join(spread, "term")
-        .withColumn("disclosed", disclosed)
+        .select("entity", "term", F.when(content > 0, F.try_divide(pmi, content)).alias("disclosed"))
         .where(F.col("disclosed") >= generalise)
     )
+    # Terms that reveal any entity of a text, if they stand in it.
     return (
-        near.where("id IS NOT NULL")
-        .select("id", "entity")
-        .distinct()
+        known.select("key", "entity")
         .join(judged, "entity")
-        .groupBy("id")
+        .groupBy("key")
         .agg(
             F.array_sort(F.collect_set("term")).alias("terms"),
             F.collect_set(F.when(F.col("disclosed") >= remove, F.col("term"))).alias("removed"),
         )
+        .join(words.withColumnRenamed("terms", "own"), "key")
+        .select("key", F.array_intersect("terms", "own").alias("terms"), "removed")
+        .where("size(terms) > 0")
     )
 
 
@@ -221,15 +215,16 @@ def with_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
         F.struct(*[F.col(f"`{name}`") for name in docs.columns]).alias("row"),
         F.col(id_column).alias("id"),
         F.col(text_column).alias("text"),
+        text_key(F.col(text_column)).alias("key"),
     )
     spans = plain.withColumns(base_spans(F.col("text")))
-    revealing = durable(revealing_terms(spans.drop("row")))
+    revealing = durable(revealing_terms(spans.drop("row", "id")))
     pattern = F.concat(
-        F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join("terms", "|"), F.lit(r")(?!\p{L})")
+        F.lit(r"(?iu)(?<![\p{L}\p{N}])(?:"), F.array_join("terms", "|"), F.lit(r")(?![\p{L}\p{N}])")
     )
     term = F.when(F.size("terms") > 0, matches(F.col("text"), pattern))
-    joined = spans.join(revealing, "id", "left")
-    return joined.withColumn("term", F.coalesce(term, F.expr(NO_SPANS))).drop("terms")
+    joined = spans.join(revealing, "key", "left")
+    return joined.withColumn("term", F.coalesce(term, F.expr(NO_SPANS))).drop("terms", "key")
 
 
 def written(kind: str) -> Column:

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
+from collections import defaultdict
+from math import log2
 
 import pytest
 
@@ -81,8 +84,6 @@ def test_edges(spark):
 
 
 def test_random_texts(spark):
-    import random
-
     random.seed(5)
     parts = ["@", ".", "+", "-", " ", "  ", "1", "25", "256", "4111", "a", "b.c", "é", "(", ")", "%", "0"]
     texts = ["".join(random.choices(parts, k=random.randint(1, 60))) for _ in range(1500)]
@@ -163,8 +164,73 @@ def test_documents_without_ids_are_counted(spark):
     rows += [(i, f"plain text number {i}") for i in range(100)]
     schema = "doc_id bigint, text string"
     found = pii.find_personal_data(spark.createDataFrame(rows, schema)).collect()
-    assert len(found) == 103 and all(r["n_term"] == 0 for r in found)
+    assert len(found) == 103
+    assert [r["n_term"] for r in found if r["doc_id"] is None] == [1, 1, 1]
+    assert all(r["n_term"] == 0 for r in found if r["doc_id"] is not None)
     # They count for the terms of a document with an id.
     rows.append((200, "wordd Zebulon zeb@mail.example.com"))
     found = {r["doc_id"]: r["n_term"] for r in pii.find_personal_data(spark.createDataFrame(rows, schema)).collect()}
     assert found[200] == 1
+
+
+def revealing(texts: list[str | None]) -> dict[str, set[str]]:
+    """Brute force: by text, the terms from whose documents one of its entities follows."""
+    entities, terms = {}, {}
+    for text in filter(None, set(texts)):
+        spans = expected(text)
+        entities[text] = {
+            k + ":" + (re.sub("[^0-9]", "", text[a:b]) if k in ("card", "phone") else text[a:b].lower())
+            for k, a, b in spans
+        }
+        rest = text
+        for pattern in (EMAIL, IP, re.compile(r"[0-9]([\x20-]?[0-9]){12,}"), PHONE):
+            rest = pattern.sub(" ", rest)
+        terms[text] = set(re.findall(r"[^\W_]{3,}", rest.lower()))
+    n = len(terms)
+    with_entity, with_term, with_both = defaultdict(int), defaultdict(int), defaultdict(int)
+    for text, words in terms.items():
+        for e in entities[text]:
+            with_entity[e] += 1
+        for t in words:
+            with_term[t] += 1
+            for e in entities[text]:
+                with_both[e, t] += 1
+    found = defaultdict(set)
+    for (e, t), both in with_both.items():
+        content = log2(n / with_entity[e])
+        pmi = log2(n * both / (with_entity[e] * with_term[t]))
+        if both >= pii.SUPPORT and content > 0 and pmi / content >= pii.GENERALISE:
+            for text in terms:
+                if e in entities[text] and t in terms[text]:
+                    found[text].add(t)
+    return found
+
+
+def test_a_term_far_from_its_entity(spark):
+    filler = "the report of the day goes on and on as it did the day before; "
+    texts = [f"Zebulon K4711 {filler * 10} note {c * 3} zeb@mail.example.com" for c in "abcdef"]
+    texts += [f"{filler * 10} note number {i}" for i in range(100)]
+    for row in pii.find_personal_data(frame(spark, texts)).collect():
+        terms = [x for x in row["spans"].split(",") if x.startswith("term:")]
+        assert terms == (["term:0:7", "term:8:13"] if row["doc_id"] < 6 else [])
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_terms_against_brute_force(spark, seed):
+    random.seed(seed)
+    words = [f"word{chr(97 + i)}{chr(97 + j)}" for i in range(20) for j in range(8)] + ["no7", "É\u0301t", "ab"]
+    people = [f"p{i}@mail.example.com" for i in range(12)] + ["+1 555 123 4567", "10.0.0.1"]
+    own = {p: random.sample(words, 2) for p in people}
+    texts: list[str | None] = [None, "", " "]
+    for _ in range(150):
+        content = random.choices(words, k=random.randint(1, 25))
+        for p in random.sample(people, random.choice([0, 0, 1, 1, 2])):
+            content += [f"x {p} x"] + [w for w in own[p] if random.random() < 0.8]
+        random.shuffle(content)
+        texts += [" ".join(content)] * random.choice([1, 1, 1, 5])
+    want = revealing(texts)
+    assert sum(map(len, want.values())) > 20
+    for row in pii.find_personal_data(frame(spark, texts)).collect():
+        text = texts[row["doc_id"]] or ""
+        got = [x.split(":") for x in row["spans"].split(",") if x.startswith("term:")]
+        assert {text[int(a) : int(b)].lower() for _, a, b in got} == want.get(text, set())
