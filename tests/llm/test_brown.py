@@ -47,18 +47,31 @@ def compare(found, rows):
         assert r["score"] <= 1e-9
 
 
-@pytest.mark.parametrize("frequent", [brown.FREQUENT, 300])
-def test_query(spark, folder, monkeypatch, frequent):
-    monkeypatch.setattr(brown, "FREQUENT", frequent)
+@pytest.fixture(scope="module")
+def scored(spark, folder):
     folder = folder.replace("sf0.001", "sf0.01")
     rows = [tuple(r) for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()]
-    found = QUERIES["op7_lm_score"](spark, folder).collect()
+    return folder, rows, QUERIES["op7_lm_score"](spark, folder).collect()
+
+
+def test_query(scored):
+    _, rows, found = scored
     compare(found, rows)
     held = [r for r in found if r["held_out"]]
     # The model is the better one on texts it has not seen.
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
+@pytest.mark.parametrize("held", [0, 300])
+def test_words_that_are_joined_score_alike(spark, scored, monkeypatch, held):
+    folder, rows, found = scored
+    monkeypatch.setattr(brown, "HELD", held)
+    joined = QUERIES["op7_lm_score"](spark, folder).collect()
+    compare(joined, rows)
+    score = {r["doc_id"]: r["score"] for r in found}
+    assert all(isclose(r["score"], score[r["doc_id"]], rel_tol=1e-9) for r in joined)
+
+
 @pytest.fixture(scope="module")
 def trained(spark):
     draw = random.Random(1)
@@ -70,16 +83,16 @@ def trained(spark):
     texts += [f"odd{i} noun1" for i in range(20)]
     docs = spark.createDataFrame([(t,) for t in texts], "text string")
     counts = brown.word_counts(docs)
-    lexicon, least = brown.lexicon(counts)
-    return texts, brown.fitted(lexicon, least, brown.symbol_pairs(docs, lexicon))
+    words, classes = brown.trained(docs, counts)
+    return texts, docs, counts, {r["word"]: (r["c"], r["cls"]) for r in words.collect()}, classes
 
 
-def test_exchange_finds_word_classes(trained):
-    _, model = trained
+def hashed(word):
+    return int(word_hashes([word.encode()])[0].view(np.int64)[0])
 
-    def cls(word):
-        hashed = word_hashes([word.encode()])[0]
-        return int(model.classes[model.lexicon.look_up(hashed)[1]][0])
+
+def test_exchange_finds_word_classes(trained):
+    _, _, _, words, _ = trained
 
     pairs = np.zeros((6, 6))
     for a, b in ((0, 2), (0, 3), (1, 2), (1, 3), (2, 4), (3, 4), (4, 0), (4, 1)):
@@ -89,38 +102,97 @@ def test_exchange_finds_word_classes(trained):
     before = brown.likelihood(pairs)
     member = np.eye(len(set(of)))[np.unique(of, return_inverse=True)[1]]
     assert brown.likelihood(member.T @ pairs @ member) <= before + 1e-9
-    assert cls("noun1") != cls("the")
-
-
-def test_probabilities_sum_to_one(trained):
-    texts, model = trained
-    vocabulary = sorted({w for t in texts for w in words_of(t)[:-1]})
-    hashes = word_hashes([" ".join([*vocabulary, "neverseen"]).encode()])[0]
-    symbols = model.lexicon.look_up(hashes)[1]
-    seen = Counter(w for t in texts for w in words_of(t))  # the join supplies the rare ones
-    counts = np.array([*(seen[w] for w in vocabulary), 0])
-    cls = np.r_[model.classes[symbols], model.classes[model.lexicon.end]]
-    emission = np.r_[np.log10(counts + 1.0), 0.0] - model.weight[cls]
+    assert words[hashed("noun1")][1] != words[hashed("the")][1]
+    assert words[hashed("odd1")] == (1, None)
+
+
+def definition(joint, right, left, place):
+    """The likelihood with the word's neighbours counted in one class."""
+    out = joint.copy()
+    out[place] += right
+    out[:, place] += left
+    return brown.likelihood(out)
+
+
+def test_other_words_join_the_class_of_most_gain(trained):
+    texts, docs, counts, _, _ = trained
+    words = {r["word"]: r["cls"] for r in brown.trained(docs, counts, 12, 4)[0].collect()}
+    top = brown.clustered_words(counts, 12)
+    assert len(top.words) == 12
+    pairs = brown.symbol_pairs(docs, top)
+    of = brown.exchange(pairs, 12, 4)
+    member = np.eye(6)[of]
+    joint = member.T @ pairs @ member
+    seed = dict(zip(top.words.view(np.int64).tolist(), of[top.symbols].tolist()))
+    seen = Counter(w for t in texts for w in words_of(t)[:-1])
+    others = [w for w, c in seen.items() if c > 1 and hashed(w) not in seed]
+    assert others and all(words[w] == c for w, c in seed.items())
+    for word in others:
+        right, left = np.zeros(6), np.zeros(6)
+        for text in texts:
+            row = [END, *words_of(text)]
+            place = [4 if w is END else seed.get(hashed(w), 5) for w in row]
+            for i, w in enumerate(row):
+                if w == word:
+                    left[place[i - 1]] += 1
+                    right[place[i + 1]] += 1
+        gain = [definition(joint, right, left, c) for c in range(4)]
+        assert gain[words[hashed(word)]] >= max(gain) - 1e-6
+
+
+def test_class_does_not_depend_on_other_words(spark, trained):
+    texts, docs, counts, words, _ = trained
+    # Words that occur rarely, in texts of their own.
+    more = docs.union(spark.createDataFrame([(f"new{i} new{i}",) for i in range(3000)], "text string"))
+    again = {r["word"]: r["cls"] for r in brown.trained(more, brown.word_counts(more))[0].collect()}
+    assert {again[hashed(f"noun{i}")] for i in range(12)}.isdisjoint({again[hashed(f"verb{i}")] for i in range(9)})
+
+
+@pytest.fixture(scope="module")
+def model(spark, trained):
+    texts, docs, _, words, classes = trained
+    k = classes + 2
+    size, mass = np.zeros(k), np.zeros(k)
+    for c, cls in words.values():
+        size[k - 1 if cls is None else cls] += 1
+        mass[k - 1 if cls is None else cls] += c
+    joint = np.zeros((k, k))
+
+    def classes_of(text):
+        found = [words.get(hashed(w), (0, None))[1] for w in words_of(text)[:-1]]
+        return [k - 2, *(k - 1 if cls is None else cls for cls in found), k - 2]
+
+    for text in texts:
+        row = classes_of(text)
+        np.add.at(joint, (row[:-1], row[1:]), 1)
+    return brown.fitted(joint, size, mass, None), classes_of, joint
+
+
+def test_probabilities_sum_to_one(trained, model):
+    _, _, _, words, classes = trained
+    fit, k = model[0], classes + 2
+    # All words, one for those never seen, and the end.
+    cls = np.array([*(k - 1 if c is None else c for _, c in words.values()), k - 1, k - 2])
+    counts = np.array([*(c for c, _ in words.values()), 0])
+    emission = np.r_[np.log10(counts + 1.0), 0.0] - fit.weight[cls]
     for before in set(cls.tolist()):
-        assert isclose((10 ** (model.transitions[before, cls] + emission)).sum(), 1, rel_tol=1e-9)
-
-
-def test_score_is_the_models(spark, trained):
-    texts, model = trained
-    docs = spark.createDataFrame([(1, False, texts[0]), (2, False, None)], "id int, held_out boolean, text string")
-    rows = {r["id"]: r for r in brown.text_sums(docs, model).collect()}
-    for i, text in ((1, texts[0]), (2, "")):
-        total, before = 0.0, model.classes[model.lexicon.end]
-        for w in words_of(text):
-            if w is END:
-                c, emitted = model.classes[model.lexicon.end], 0.0
-            else:
-                count, symbol = model.lexicon.look_up(word_hashes([w.encode()])[0])
-                c = model.classes[symbol[0]]
-                emitted = log10(count[0] + 1) - model.weight[c]
-            total += model.transitions[before, c] + emitted
-            before = c
-        assert isclose(rows[i]["model"], total, rel_tol=1e-9)
+        assert isclose((10 ** (fit.transitions[before, cls] + emission)).sum(), 1, rel_tol=1e-9)
+
+
+def test_score_is_the_models(spark, trained, model):
+    texts, docs, _, words, classes = trained
+    fit, classes_of, joint = model
+    ids = [i for i in range(10_000) if zlib.crc32(str(i).encode()) % 7 != 2][: len(texts)]
+    held = [i for i in range(10_000, 11_000) if zlib.crc32(str(i).encode()) % 7 == 2][:3]
+    new = [texts[0], "the NOUN1 never seen verb1 odd3", None]
+    rows = [*zip(ids, texts), *zip(held, new)]
+    found = brown.score(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    score = {r["doc_id"]: r["score"] for r in found}
+    for i, text in rows:
+        cls = classes_of(text)
+        total = sum(fit.transitions[a, b] - fit.weight[b] for a, b in zip(cls, cls[1:]))
+        total += sum(log10(words.get(hashed(w), (0, None))[0] + 1) for w in words_of(text)[:-1])
+        assert isclose(score[i], total, rel_tol=1e-9)
 
 
 def test_edges(spark):
