@@ -3,12 +3,14 @@
 One model describes random strings, the other ordinary words and identifiers. Both are trained on
 samples that the corpus labels itself: the values matched by the fixed patterns are random, all
 other runs of key characters are ordinary, but for the long ones that mix letters and digits: those
-are what the models shall judge, so they have no label. Counts of character pairs are summed over all
+may be either, so they have no label. Counts of character pairs are summed over all
 documents; a model is a table of ALPHABET x ALPHABET counts, whatever the corpus's size.
 
-A further span of kind ``markov`` is a run of key characters of at least MIN_RUN, outside the
-spans of the patterns, whose summed log-likelihood ratio per character reaches MIN_RATIO and
-that mixes letters and digits.
+The models judge every run of key characters outside the spans of the patterns, of any length and any
+mix of characters. It is a further span of kind ``markov`` if its log-likelihood ratio reaches
+MIN_EVIDENCE in all, which outweighs how much rarer secrets are than words, also where each pair of
+characters counts once only, as a line of one character is no secret, and MIN_RATIO per character, so that a
+run is not found for being long.
 
 Edge cases: a null or empty text has no spans; texts are scanned whole; repeated rows give repeated
 results and count as often as they occur; an empty table gives an empty result; without any
@@ -37,10 +39,11 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 KINDS = ("assign", "access", "hex", "markov")
 ASSIGN_WORDS = ("passw", "secret", "token", "api")
 
-RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
-MIN_RUN = 20
-# Natural log units per character by which the random model must be the likelier one.
+# Runs without a label, if they have both letters and digits.
+RUN = re.compile(r"[A-Za-z0-9+/_=-]{12,}")
+# Natural log units by which the random model must be the likelier one, per character and in all.
 MIN_RATIO = 0.7
+MIN_EVIDENCE = 14.0
 
 BACK_OFF = 20
 
@@ -140,17 +143,43 @@ def log_ratio(counts: DataFrame) -> np.ndarray:
     return logs[1] - logs[0]
 
 
-def markov_spans(text: str, base: list, ratio: np.ndarray, least: float) -> list:
-    found = []
-    for at, to in mixed_runs(text):
-        if any(start < to and at < end for start, _, end in base):
-            continue
-        run = text[at:to]
-        codes = _CODE[np.frombuffer(run.encode(), np.uint8)]
-        score = ratio[0, codes[0]] + ratio[codes[:-1], codes[1:]].sum() + ratio[codes[-1], 0]
-        if score >= least * len(run):
-            found.append((at, 3, to))
-    return found
+def random_runs(
+    texts: list[bytes], ratio: np.ndarray, least: float, evidence: float
+) -> Iterator[tuple[int, int, int]]:
+    """(text, start, end) in bytes of all runs of key characters that the random model explains better."""
+    joined = b"\n".join(texts) + b"\n"
+    codes = np.r_[0, _CODE[np.frombuffer(joined, np.uint8)]]
+    inside = codes > 0
+    starts = np.flatnonzero(inside[1:] & ~inside[:-1])
+    ends = np.flatnonzero(~inside[1:] & inside[:-1])
+    # From the step onto the first character to the step off the last one.
+    steps = ratio[codes[:-1], codes[1:]]
+    sums = np.r_[0.0, np.cumsum(np.where(inside[1:] | inside[:-1], steps, 0.0))]
+    scores = sums[ends + 1] - sums[starts]
+    begins = np.r_[0, np.cumsum([len(text) + 1 for text in texts])]
+    for k in np.flatnonzero((scores >= evidence) & (scores >= least * (ends - starts))):
+        start, end = int(starts[k]), int(ends[k])
+        distinct = np.unique(codes[start : end + 1] * ALPHABET + codes[start + 1 : end + 2])
+        if ratio.ravel()[distinct].sum() >= evidence:
+            of = int(np.searchsorted(begins, start, "right")) - 1
+            yield of, start - int(begins[of]), end - int(begins[of])
+
+
+def markov_spans(
+    texts: list[str], base: list[list], ratio: np.ndarray, least: float, evidence: float
+) -> list[list]:
+    """For each text the (start, kind number, end) of its random runs outside the spans of ``base``."""
+    raw = as_utf8(texts)
+    spans: list[list] = [[] for _ in texts]
+    for a, b in blocks(raw):
+        for i, start, end in random_runs(raw[a:b], ratio, least, evidence):
+            i, text = a + i, raw[a + i]
+            # Key characters are one byte each.
+            at = start if text.isascii() else len(text[:start].decode())
+            to = at + end - start
+            if not any(first < to and at < last for first, _, last in base[i]):
+                spans[i].append((at, 3, to))
+    return spans
 
 
 def scan(
@@ -159,6 +188,7 @@ def scan(
     id_column: str = "doc_id",
     text_column: str = "text",
     least: float = MIN_RATIO,
+    evidence: float = MIN_EVIDENCE,
 ) -> DataFrame:
     """(id, n_assign, n_access, n_hex, base_sha256, spans, n_markov) for every document."""
 
@@ -168,9 +198,9 @@ def scan(
     def rows(batch):
         out = {name: [] for name in ("n_assign", "n_access", "n_hex", "base_sha256", "spans")}
         out |= {"id": batch["id"], "n_markov": []}
-        for text in batch["text"]:
-            base = base_spans(text or "")
-            more = markov_spans(text or "", base, ratio, least)
+        texts = [text or "" for text in batch["text"]]
+        bases = [base_spans(text) for text in texts]
+        for base, more in zip(bases, markov_spans(texts, bases, ratio, least, evidence)):
             for kind, name in enumerate(("n_assign", "n_access", "n_hex")):
                 out[name].append(sum(span[1] == kind for span in base))
             out["base_sha256"].append(hashlib.sha256(joined(base).encode()).hexdigest())

@@ -7,6 +7,8 @@ import random
 import re
 import string
 
+import numpy as np
+
 from riskloom.llm import secrets
 from riskloom.llm.queries import QUERIES
 
@@ -58,6 +60,57 @@ def test_markov_finds_what_patterns_miss(spark):
     assert all(found[i]["n_markov"] == 0 for i in range(230, 235))
 
 
+def brute_runs(text, base, ratio, least, evidence):
+    """Every run scored character by character."""
+    code = {c: i + 1 for i, c in enumerate(secrets.LETTERS)}
+    out = []
+    for m in re.finditer("[A-Za-z0-9+/_=-]+", text):
+        path = [0, *(code[c] for c in m.group()), 0]
+        score = sum(ratio[a, b] for a, b in zip(path, path[1:]))
+        once = sum(ratio[a, b] for a, b in set(zip(path, path[1:])))
+        if score >= evidence and score >= least * len(m.group()) and once >= evidence:
+            if all(m.end() <= start or end <= m.start() for start, _, end in base):
+                out.append((m.start(), 3, m.end()))
+    return out
+
+
+def test_added_spans_against_brute_force(spark, monkeypatch):
+    draw = random.Random(4)
+    alphabet = secrets.LETTERS + " \n.é🙂"
+    texts = ["".join(draw.choices(alphabet, k=draw.randint(0, 400))) for _ in range(120)]
+    texts += ["", "é" * 9, "A" * 5000, f"token=abcdefgh12 {'Zq7' * 30}🙂xK9"]
+    ratio = np.random.default_rng(5).normal(0.5, 1.5, (secrets.ALPHABET, secrets.ALPHABET))
+    bases = [secrets.base_spans(text) for text in texts]
+    want = [brute_runs(text, base, ratio, 0.7, 14.0) for text, base in zip(texts, bases)]
+    assert sum(map(len, want)) > 100
+    assert secrets.markov_spans(texts, bases, ratio, 0.7, 14.0) == want
+    monkeypatch.setattr(secrets, "blocks", lambda raw: ((i, i + 1) for i in range(len(raw))))
+    assert secrets.markov_spans(texts, bases, ratio, 0.7, 14.0) == want
+
+
+def test_runs_of_letters_and_short_runs_are_judged(spark):
+    random.seed(6)
+    alphabet = string.ascii_letters + string.digits
+    key = lambda n, of=alphabet: "".join(random.choices(of, k=n))
+    plain = "ordinary text holds Names, Titles, IBM, NASA, version 2 of file_name and user-name1 at 10:30".split()
+    prose = lambda n: " ".join(w.title() if random.random() < 0.1 else w for w in random.choices(plain, k=n))
+    texts = [f"{prose(200)} token = {key(40)} {prose(200)}" for _ in range(300)]
+    letters = [key(32, string.ascii_letters) for _ in range(20)]
+    short = [key(19) for _ in range(20)]
+    texts += [f"{prose(20)} {run} {prose(20)}" for run in letters + short]
+    texts += [f"{prose(200)} {c * 90} {prose(9)}" for c in "-=_A0zZ/+a" * 2]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    found = {r["doc_id"]: r["spans"] for r in secrets.find_secrets(docs).collect()}
+
+    def hits(first, runs):
+        span = [f"markov:{texts[first + i].index(run)}:{texts[first + i].index(run) + len(run)}" for i, run in enumerate(runs)]
+        return sum(found[first + i] == span[i] for i in range(len(runs)))
+
+    assert hits(300, letters) >= 19
+    assert hits(320, short) >= 18
+    assert not any("markov" in found[i] for i in range(340, 360))
+
+
 def test_edges(spark):
     texts = [None, "", " ", "é🙂 token=abcdefgh12", "a" * 100_000, "0" * 50_000, "A1" * 30_000]
     rows = [(i if i else None, text, "x") for i, text in enumerate(texts)]
