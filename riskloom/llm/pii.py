@@ -23,7 +23,8 @@ repeated rows give repeated results; an empty table gives an empty result. Only
 
 from __future__ import annotations
 
-from functools import partial
+from functools import partial, reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -223,7 +224,13 @@ def with_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
         F.lit(r"(?iu)(?<![\p{L}\p{N}])(?:"), F.array_join("terms", "|"), F.lit(r")(?![\p{L}\p{N}])")
     )
     term = F.when(F.size("terms") > 0, matches(F.col("text"), pattern))
-    joined = spans.join(revealing, "key", "left")
+    # Only texts that may hold an entity can have revealing terms; the others need not move for the join.
+    tests = [F.coalesce(may_hold(kind, F.col("text")), F.lit(False)) for kind in KINDS]
+    may = reduce(or_, tests)
+    none = {name: F.lit(None).cast("array<string>") for name in ("terms", "removed")}
+    rest = plain.where(~may).withColumns(base_spans(F.col("text"))).withColumns(none)
+    some = plain.where(may).withColumns(base_spans(F.col("text")))
+    joined = some.join(revealing, "key", "left").unionByName(rest)
     return joined.withColumn("term", F.coalesce(term, F.expr(NO_SPANS))).drop("terms", "key")
 
 
