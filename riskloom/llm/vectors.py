@@ -39,6 +39,15 @@ WIDTH = 1.0
 SEED = 20240229
 # Rows of a bucket that a task compares at once with as many others.
 BLOCK_ROWS = 2048
+# The exact check cuts a label into BLOCKS blocks of no fewer rows, and into more where one would have more
+# than so many components.
+BLOCKS = 8
+BLOCK_COMPONENTS = 1 << 20
+# Rows that are multiplied at once with a block, and pairs that are looked at together.
+SLAB_ROWS = 512
+PAIRS = 100_000
+# Cosines this close to the threshold are summed again.
+ROUNDING = 1e-9
 
 
 def directions(length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -50,8 +59,8 @@ def directions(length: int) -> tuple[np.ndarray, np.ndarray]:
 
 def unit_rows(vectors: np.ndarray) -> np.ndarray:
     matrix = vectors.astype(np.float64)
-    # Scaling by the largest component first keeps tiny and huge vectors from vanishing.
-    matrix /= np.abs(matrix).max(axis=1, keepdims=True)
+    # Scaling by the largest component's power of two keeps tiny and huge vectors from vanishing, and is exact.
+    matrix = np.ldexp(matrix, -np.frexp(np.abs(matrix).max(axis=1, keepdims=True))[1])
     return matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
 
 
@@ -89,32 +98,89 @@ def hashed(distinct: DataFrame) -> DataFrame:
     return distinct.mapInPandas(run, distinct._jdf.schema().toDDL() + ", keys ARRAY<INT>")
 
 
-def block_links(ids, vectors, keys, copies, left: int, table: int, threshold: float):
+def near_pairs(left: np.ndarray, right: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """(rows of ``left``, rows of ``right``) of unit vectors with a cosine of ``threshold`` or more."""
+    cosines = left @ right.T
+    a, b = np.nonzero(cosines >= threshold - ROUNDING)
+    unsure = np.flatnonzero(cosines[a, b] < threshold + ROUNDING)
+    near = np.ones(len(a), bool)
+    for at in range(0, len(unsure), PAIRS):
+        part = unsure[at : at + PAIRS]
+        near[part] = (left[a[part]] * right[b[part]]).sum(axis=1) >= threshold
+    return a[near], b[near]
+
+
+def share_key(keys_a: np.ndarray, keys_b: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether rows ``a`` of the one and ``b`` of the other agree in the key of any table."""
+    shared = np.zeros(len(a), bool)
+    for at in range(0, len(a) if keys_a.shape[1] else 0, PAIRS):
+        part = slice(at, at + PAIRS)
+        shared[part] = (keys_a[a[part]] == keys_b[b[part]]).any(axis=1)
+    return shared
+
+
+def lowest_reached(ids: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each row the lowest id that chains of the links between rows ``a`` and ``b`` reach, or its own."""
+    order = np.argsort(ids, kind="stable")
+    place = np.empty_like(order)
+    place[order] = np.arange(len(ids))
+    a, b = place[a], place[b]
+    low = np.arange(len(ids))
+    while True:
+        least = np.minimum(low[a], low[b])
+        now = low.copy()
+        for rows in (a, b, low[a], low[b]):
+            np.minimum.at(now, rows, least)
+        now = now[now]
+        if np.array_equal(now, low):
+            return ids[order][low[place]]
+        low = now
+
+
+def block_links(ids, vectors, keys, copies, left: int, table: int, threshold: float, same: bool = False):
     """Links between two blocks of a bucket, the first ``left`` rows and the others.
 
-    Per row of the first its weighted number of links and its lowest partner; without a second
-    block the first meets itself.
+    Per row of the first its weighted number of links and the lowest id that links reach; with ``same`` the
+    first meets itself. Pairs that share a bucket of a table before are not counted again.
     """
     unit = unit_rows(vectors)
-    other = slice(left, None) if left < len(ids) else slice(None)
-    near = unit[:left] @ unit[other].T >= threshold
-    ids_a, ids_b = ids[:left], ids[other]
-    near &= ids_a[:, None] != ids_b[None, :]
-    linked_a, linked_b = np.nonzero(near)
-    if not len(linked_a):
+    start = 0 if same else left
+    a, b = near_pairs(unit[:left], unit[start:], threshold)
+    b = b + start
+    apart_ids = ids[a] != ids[b]
+    a, b = a[apart_ids], b[apart_ids]
+    if not len(a):
         return None
-    first = np.ones(len(linked_a), bool)
-    keys_a, keys_b = keys[:left, :table], keys[other, :table]
-    for at in range(0, len(first) if table else 0, 100_000):
-        part = slice(at, at + 100_000)
-        same = keys_a[linked_a[part]] == keys_b[linked_b[part]]
-        first[part] = ~same.any(axis=1)
-    weights = copies[other].astype(np.float64)
-    found = np.bincount(linked_a[first], weights[linked_b[first]], left).astype(np.int64)
-    lowest = ids_a.copy()
-    np.minimum.at(lowest, linked_a, ids_b[linked_b])
-    has = (found > 0) | (lowest < ids_a)
-    return ids_a[has], found[has], lowest[has]
+    first = ~share_key(keys[:, :table], keys[:, :table], a, b)
+    weights = copies.astype(np.float64)
+    found = np.bincount(a[first], weights[b[first]], left).astype(np.int64)[:left]
+    lowest = lowest_reached(ids, a, b)[:left]
+    has = (found > 0) | (lowest < ids[:left])
+    return ids[:left][has], found[has], lowest[has]
+
+
+def unmet_links(ids, vectors, keys, copies, left: int, threshold: float, same: bool):
+    """As :func:`block_links` for the pairs that share no bucket, with the rows of both blocks."""
+    unit = unit_rows(vectors)
+    start = 0 if same else left
+    pairs = []
+    for at in range(0, left, SLAB_ROWS):
+        end = min(at + SLAB_ROWS, left)
+        # A block that meets itself is compared with what comes after, so each pair is seen once.
+        base = at if same else start
+        a, b = near_pairs(unit[at:end], unit[base:], threshold)
+        a, b = a + at, b + base
+        if same:
+            a, b = a[a < b], b[a < b]
+        unmet = ~share_key(keys, keys, a, b)
+        pairs.append((a[unmet], b[unmet]))
+    a, b = (np.concatenate(x) for x in zip(*pairs)) if pairs else (np.zeros(0, int), np.zeros(0, int))
+    if not len(a):
+        return None
+    weights, n = copies.astype(np.float64), len(ids)
+    found = (np.bincount(a, weights[b], n) + np.bincount(b, weights[a], n)).astype(np.int64)
+    has = found > 0
+    return ids[has], found[has], lowest_reached(ids, a, b)[has]
 
 
 BUCKET = ["label", "length", "table", "key", "i", "j"]
@@ -149,6 +215,7 @@ def near_links(keyed: DataFrame, threshold: float, block_rows: int = BLOCK_ROWS)
             column = lambda name: batch.column(batch.schema.get_field_index(name))  # noqa: B023, E731
             ids, copies = column("id").to_numpy(), column("copies").to_numpy()
             side, table = column("side").to_numpy(), column("table").to_numpy()
+            same = column("i").to_numpy() == column("j").to_numpy()
             length = column("length").to_numpy()
             keys = column("keys").flatten().to_numpy().reshape(len(ids), TABLES)
             flat = column("vector").flatten().to_numpy()
@@ -160,7 +227,7 @@ def near_links(keyed: DataFrame, threshold: float, block_rows: int = BLOCK_ROWS)
                 left = int(np.count_nonzero(side[part] == 0))
                 if left:
                     links = block_links(
-                        ids[part], rows, keys[part], copies[part], left, table[a], threshold
+                        ids[part], rows, keys[part], copies[part], left, table[a], threshold, same[a]
                     )
                     if links:
                         found.append(links)
@@ -175,6 +242,55 @@ def near_links(keyed: DataFrame, threshold: float, block_rows: int = BLOCK_ROWS)
     return rows.mapInArrow(run, "id bigint, n bigint, lowest bigint")
 
 
+def unmet_near_links(keyed: DataFrame, threshold: float, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(id, n, lowest) of the links between vectors of a label that share no bucket, see :func:`unmet_links`."""
+    block = ["label", "length", "i", "j"]
+    rows = keyed.withColumn("length", F.size("vector"))
+    # Small enough to broadcast: only what is cut, one row for every block_rows vectors at most.
+    sizes = rows.groupBy("label", "length").agg(F.count("*").alias("size")).where(F.col("size") > block_rows)
+    most = F.least(F.ceil(F.col("size") / BLOCKS), F.lit(BLOCK_COMPONENTS) / F.col("length"))
+    parts = F.ceil(F.col("size") / F.greatest(F.lit(float(block_rows)), most)).cast("int")
+    cut = sizes.select("label", "length", parts.alias("parts"))
+    met = (
+        rows.join(F.broadcast(cut), ["label", "length"], "left")
+        .withColumn("parts", F.coalesce("parts", F.lit(1)))
+        .withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+        # Each two blocks meet once, and each with itself.
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    )
+    met = met.select(
+        "label",
+        "length",
+        F.least("part", "other").alias("i"),
+        F.greatest("part", "other").alias("j"),
+        (F.col("part") > F.col("other")).cast("int").alias("side"),
+        "id",
+        "vector",
+        "copies",
+        "keys",
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, bounds in segments(batches, block):
+            column = lambda name: batch.column(batch.schema.get_field_index(name))  # noqa: B023, E731
+            ids, copies = column("id").to_numpy(), column("copies").to_numpy()
+            side, length = column("side").to_numpy(), column("length").to_numpy()
+            same = column("i").to_numpy() == column("j").to_numpy()
+            keys = column("keys").flatten().to_numpy().reshape(len(ids), TABLES)
+            flat = column("vector").flatten().to_numpy()
+            ends = np.r_[0, np.cumsum(length)]
+            for a, b in zip(bounds, bounds[1:]):
+                part = slice(a, b)
+                vectors = flat[ends[a] : ends[b]].reshape(b - a, -1)
+                left = int(np.count_nonzero(side[part] == 0))
+                links = unmet_links(ids[part], vectors, keys[part], copies[part], left, threshold, same[a])
+                if links:
+                    yield pa.RecordBatch.from_arrays(list(map(pa.array, links)), names=["id", "n", "lowest"])
+
+    dealt = met.repartition(*block).sortWithinPartitions(*block, "side")
+    return dealt.mapInArrow(run, "id bigint, n bigint, lowest bigint")
+
+
 def near_duplicates(
     embeddings: DataFrame,
     threshold: float = THRESHOLD,
@@ -202,7 +318,7 @@ def near_duplicates(
     # An id may have several vectors, so these are told apart by numbers, which the stored table fixes.
     numbered = distinct.withColumn("id", F.monotonically_increasing_id())
     keyed = durable(hashed(numbered.select("id", "label", "vector", "copies", "low")))
-    links = durable(near_links(keyed, threshold))
+    links = durable(near_links(keyed, threshold).union(unmet_near_links(keyed, threshold)))
     counts = links.groupBy("id").agg(F.sum("n").alias("n"))
     groups = components(links.select(F.col("id").alias("u"), F.col("lowest").alias("v")))
     entries = (

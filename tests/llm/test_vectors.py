@@ -104,3 +104,55 @@ def test_several_vectors_of_one_id(spark):
         (1, 1, 1, True), (1, 1, 1, True), (2, 0, 2, True), (2, 1, 2, True), (3, 1, 1, False),
         (4, 1, 1, False), (4, 1, 2, False),
     ]
+
+
+def test_links_through_a_higher_vector_join_what_it_links():
+    """1 and 2 are linked with 3 only; the three share every bucket."""
+    angles = [-0.3, 0.3, 0.0]
+    points = np.array([[np.cos(x), np.sin(x)] for x in angles])
+    keys = np.zeros((3, vectors.TABLES), np.int32)
+    ids, found, lowest = vectors.block_links(
+        np.array([1, 2, 3]), points, keys, np.ones(3, np.int64), 3, 0, 0.93, same=True
+    )
+    assert (ids.tolist(), found.tolist(), lowest.tolist()) == ([1, 2, 3], [1, 1, 2], [1, 1, 1])
+
+
+def test_every_pair_at_the_threshold_is_found(spark):
+    """Of 2000 pairs the tables miss some; labels of one block and of several."""
+    random = np.random.default_rng(12)
+    data = []
+    for p in range(2000):
+        u, w = random.normal(size=(2, 64))
+        u /= np.linalg.norm(u)
+        w -= (w @ u) * u
+        w /= np.linalg.norm(w)
+        near = 0.9301 * u + np.sqrt(1 - 0.9301**2) * w
+        data += [(2 * p, u.tolist(), p % 2), (2 * p + 1, near.tolist(), p % 2)]
+    df = spark.createDataFrame(data, "vec_id bigint, embedding array<double>, label int")
+    want = {i: (1, i - i % 2, i % 2 == 0) for i, _, _ in data}
+    assert found(vectors.near_duplicates(df)) == want
+
+
+def test_unmet_links_over_blocks(spark):
+    """Without any shared bucket the exact check alone finds every link, each once, from both its ends."""
+    random = np.random.default_rng(13)
+    centres = random.normal(size=(40, 16))
+    points = [c + random.normal(scale=0.08, size=16) for c in centres for _ in range(7)]
+    data = [(i, i % 2, x.tolist(), 1, [i * 50 + t for t in range(vectors.TABLES)]) for i, x in enumerate(points)]
+    keyed = spark.createDataFrame(data, "id bigint, label int, vector array<double>, copies bigint, keys array<int>")
+    want = brute_force([(i, x, label) for i, label, x, _, _ in data])
+    for block_rows in (4096, 11):
+        n = {}
+        for row in vectors.unmet_near_links(keyed, 0.93, block_rows).collect():
+            n[row["id"]] = n.get(row["id"], 0) + row["n"]
+        assert n == {i: k for i, (k, _, _) in want.items() if k}
+
+
+def test_a_cosine_of_just_the_threshold_links(spark):
+    v = [0.93, float(np.sqrt(1 - 0.93**2))]
+    cosine = 0.93 / np.sqrt(v[0] ** 2 + v[1] ** 2)
+    df = spark.createDataFrame(
+        [(1, [1.0, 0.0], 1), (2, v, 1), (3, [2.0**40, 0.0], 1)], "vec_id bigint, embedding array<double>, label int"
+    )
+    want = {1: (2, 1, True), 2: (2, 1, False), 3: (2, 1, False)}
+    assert cosine >= 0.93 and found(vectors.near_duplicates(df)) == want
