@@ -31,6 +31,8 @@ FOLDS = 5
 UNDETERMINED = "und"
 # n-gram vectors that a worker keeps (1 KB each), before it starts anew.
 KEPT_GRAMS = 40_000
+# Cosines of unrelated vectors have a mean of 0 and a deviation of DIMENSIONS ** -0.5; three of those are chance.
+CHANCE = 3 / DIMENSIONS**0.5
 # Prototypes are sent to all tasks: DIMENSIONS numbers for each language.
 MOST_LANGUAGES = 10_000
 
@@ -193,14 +195,24 @@ def predict(
 
 
 def keep_known(
-    docs: DataFrame, names: list[str], matrix: np.ndarray, least: float = 0.0
+    docs: DataFrame,
+    names: list[str],
+    matrix: np.ndarray,
+    least: float = 0.0,
+    lang_column: str | None = None,
 ) -> DataFrame:
-    """The documents with a language, and a score of ``least`` or more; all columns stay."""
+    """The documents with a language, and a score of ``least`` or more; all columns stay.
+
+    ``lang_column`` names a column that gets the predicted language."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
             found = [classify(text, names, matrix) for text in texts]
+            if lang_column:
+                place = batch.schema.get_field_index(lang_column)
+                told = pa.array([lang for lang, _ in found], batch.schema.field(place).type)
+                batch = batch.set_column(place, batch.schema.field(place), told)
             kept = [lang != UNDETERMINED and score >= least for lang, score in found]
             yield batch.filter(pa.array(kept, pa.bool_()))
 

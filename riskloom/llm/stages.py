@@ -17,9 +17,13 @@ from riskloom.session import durable
 
 
 def known_language(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Keep the documents whose language can be told: those with a letter in their text."""
+    """Keep the documents in a language that was learned; ``lang`` is what their texts are told to be.
+
+    Texts without a letter, and those that are no nearer to any learned language than chance, go. The last
+    stage returns the languages with the tokens."""
     share_package(spark)
-    return langid.keep_known(docs, *langid.fitted(langid.training_rows(docs)))
+    learned = langid.fitted(langid.training_rows(docs))
+    return langid.keep_known(docs, *learned, least=langid.CHANCE, lang_column="lang")
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
@@ -47,17 +51,17 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, folder: str) -> DataFram
 
 
 def encoded(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """(doc_id, ids, n_tokens, position): the tokens of every document, in the mixed order.
+    """(doc_id, lang, ids, n_tokens, position): the tokens of every document, in the mixed order.
 
     Texts are encoded where they are read. Files are not read in the order they were written in, so the
     positions are found anew, for the tokens: they follow from ids, texts and sources alone.
     Ascending ``position`` is the order of the stage before.
     """
     share_package(spark)
-    keyed = docs.select("doc_id", "source", "text", mixing.mixed_by().alias("mixed"))
-    tokens = durable(bpe.encode_documents(keyed, vocabulary(), carried=["source", "mixed"]))
-    placed = mixing.mix(tokens, carried=["doc_id", "ids"], mixed_column="mixed")
+    keyed = docs.select("doc_id", "lang", "source", "text", mixing.mixed_by().alias("mixed"))
+    tokens = durable(bpe.encode_documents(keyed, vocabulary(), carried=["lang", "source", "mixed"]))
+    placed = mixing.mix(tokens, carried=["doc_id", "lang", "ids"], mixed_column="mixed")
     ordered = placed.repartitionByRange("position").sortWithinPartitions("position")
     return ordered.select(
-        "row.doc_id", "row.ids", F.size("row.ids").cast("bigint").alias("n_tokens"), "position"
+        "row.doc_id", "row.lang", "row.ids", F.size("row.ids").cast("bigint").alias("n_tokens"), "position"
     )

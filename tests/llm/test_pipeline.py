@@ -117,3 +117,24 @@ def test_mixed_order_reaches_the_result(spark, folder, steps):
     out = corpus_pipeline.STAGES[-1][1](spark, shuffled, folder).collect()
     assert [r["doc_id"] for r in out] == sorted(want, key=want.get)
     assert [r["position"] for r in out] == sorted(want.values())
+
+
+def test_the_language_decides_what_follows(spark, folder):
+    """Texts in no learned language go, and the told language stands beside the tokens."""
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    german = docs.where("lang = 'de'").orderBy("doc_id").first()
+    odd = {
+        9001: (german["text"], None),  # told
+        9002: (german["text"] + " und der die", "en"),  # labelled wrongly
+        9003: ("это русский текст и он довольно длинный", "en"),
+        9004: ("xq zzk wvv qqx pfx", "en"),
+        9005: ("if (x==1) return foo(bar);", None),
+    }
+    rows = [(*(odd[i][0] if c == "text" else odd[i][1] if c == "lang" else i if c == "doc_id" else german[c]
+               for c in docs.columns),) for i in odd]
+    before = docs.union(spark.createDataFrame(rows, docs.schema))
+    known = durable(corpus_pipeline.STAGES[0][1](spark, before, folder))
+    after = {r["doc_id"]: r["lang"] for r in known.collect()}
+    assert [after.get(i) for i in odd] == ["de", "de", None, None, None]
+    encoded = corpus_pipeline.STAGES[-1][1](spark, known, folder)
+    assert {r["doc_id"]: r["lang"] for r in encoded.collect()} == after
