@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from riskloom.llm import bpe, forest_dedup, langid, mixing, pii
 from riskloom.llm.common import share_package
 from riskloom.llm.queries import vocabulary
-from riskloom.session import durable
 
 
 def known_language(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
@@ -53,15 +52,13 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, folder: str) -> DataFram
 def encoded(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """(doc_id, lang, ids, n_tokens, position): the tokens of every document, in the mixed order.
 
-    Texts are encoded where they are read. Files are not read in the order they were written in, so the
-    positions are found anew, for the tokens: they follow from ids, texts and sources alone.
-    Ascending ``position`` is the order of the stage before.
+    Files are not read in the order they were written in, so the positions are found anew: they follow from ids,
+    texts and sources alone. Texts are encoded once they are in place, as they take less room to move than
+    their tokens. Ascending ``position`` is the order of the stage before.
     """
     share_package(spark)
-    keyed = docs.select("doc_id", "lang", "source", "text", mixing.mixed_by().alias("mixed"))
-    tokens = durable(bpe.encode_documents(keyed, vocabulary(), carried=["lang", "source", "mixed"]))
-    placed = mixing.mix(tokens, carried=["doc_id", "lang", "ids"], mixed_column="mixed")
+    placed = mixing.mix(docs, carried=["doc_id", "lang", "text"])
     ordered = placed.repartitionByRange("position").sortWithinPartitions("position")
-    return ordered.select(
-        "row.doc_id", "row.lang", "row.ids", F.size("row.ids").cast("bigint").alias("n_tokens"), "position"
-    )
+    texts = ordered.select("row.doc_id", "row.lang", "row.text", "position")
+    tokens = bpe.encode_documents(texts, vocabulary(), carried=["lang", "position"])
+    return tokens.select("doc_id", "lang", "ids", F.size("ids").cast("bigint").alias("n_tokens"), "position")

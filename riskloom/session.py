@@ -14,6 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 T = TypeVar("T")
 
+# Whether a query's shuffle files go when it ends, instead of when the driver collects its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -137,9 +140,14 @@ def durable(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder and go on from there.
 
     Later uses neither recompute it nor lose it with an executor, and as a Parquet table it is
-    compressed and read column by column.
+    compressed and read column by column. The shuffle files it was made with go at once.
     """
     spark = df.sparkSession
     path = new_path(spark, "stored")
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)

@@ -138,3 +138,11 @@ def test_the_language_decides_what_follows(spark, folder):
     assert [after.get(i) for i in odd] == ["de", "de", None, None, None]
     encoded = corpus_pipeline.STAGES[-1][1](spark, known, folder)
     assert {r["doc_id"]: r["lang"] for r in encoded.collect()} == after
+
+
+def test_texts_move_instead_of_tokens(spark, steps):
+    """Nothing moves the tokens once they are made: they take more room than the texts."""
+    before, _ = steps["bpe"]
+    result = corpus_pipeline.STAGES[-1][1](spark, before, None)
+    plan = result._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("MapInArrow") < plan.index("Exchange") and plan.count("MapInArrow") == 1

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import time
 from pathlib import Path
 from types import SimpleNamespace
 
@@ -93,3 +96,17 @@ def test_a_cluster_needs_a_shared_folder(master, named, warehouse, expected):
             session.shared_dir(like)
     else:
         assert session.shared_dir(like) == expected
+
+
+def test_storing_a_table_leaves_no_shuffle_files(spark):
+    local = Path(spark.conf.get("spark.local.dir", None) or os.environ.get("SPARK_LOCAL_DIRS") or tempfile.gettempdir())
+    shuffles = lambda: set(local.glob("**/blockmgr-*/*/shuffle_*.data"))
+    setting, before = spark.conf.get(session.CLEANUP), shuffles()
+    rows = spark.range(10_000).groupBy("id").count().repartition(3)
+    kept = session.durable(rows)
+    for _ in range(50):  # executors remove them on their own time
+        if shuffles() <= before:
+            break
+        time.sleep(0.1)
+    assert shuffles() <= before and spark.conf.get(session.CLEANUP) == setting
+    assert kept.count() == 10_000
