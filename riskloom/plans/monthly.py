@@ -36,7 +36,9 @@ def load_months(
     with temporary(spark):
         known = _stored(spark, path, "refined_users", schemas.REFINED_USERS)
         loaded = None if months is None else _sorted(set(months))
-        counted = histories.by_user_and_month(in_months(orders, "created_at", loaded))
+        # Raw orders may be costly to read: each month is read once, and what is read is kept for the three tables.
+        months_read = durable(in_months(orders, "created_at", loaded))
+        counted = histories.by_user_and_month(months_read)
         files.replace_months(counted, f"{path}/user_months", MONTH, loaded)
         stored_months = files.read_parquet(spark, f"{path}/user_months", schemas.USER_MONTHS)
         history = histories.rolled_up(stored_months)
@@ -49,9 +51,11 @@ def load_months(
         relabelled = _united(loaded, [row[MONTH] for row in touched])
         resettled = _united(loaded, [row[MONTH] for row in touched if row["all"]])
 
-        rows = refine.refined_orders(in_months(orders, "created_at", resettled), refined)
+        if relabelled is not None and (more := [month for month in relabelled if month not in set(loaded)]):
+            months_read = months_read.union(durable(in_months(orders, "created_at", more)))
+        rows = refine.refined_orders(in_months(months_read, "created_at", resettled), refined)
         files.replace_months(_dated(rows), f"{path}/refined_orders", MONTH, resettled)
-        facts = refine.order_facts(in_months(orders, "created_at", relabelled))
+        facts = refine.order_facts(months_read)
         joined = features.orders_modeling(facts, refined, "inner")
         files.replace_months(_dated(joined), f"{path}/orders_modeling", MONTH, relabelled)
 

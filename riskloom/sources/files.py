@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType, TimestampNTZType
 
 from riskloom.functions.columns import naive_utc
-from riskloom.session import durable
 from riskloom.sources.publication import file_system
 
 # Microseconds are spelled out: the CSV writer's own format stops at milliseconds. Blanks at the
@@ -86,13 +85,21 @@ def replace_months(df: DataFrame, path: str, month: str, months: list | None) ->
     if months is None:
         writer.parquet(path)
         return
-    written = durable(df.select(month).distinct())
+    folders = [f"{path}/{month}={'__HIVE_DEFAULT_PARTITION__' if m is None else m.isoformat()}" for m in months]
+    # Every write names its files anew, so a folder whose files stay got no rows.
+    before = {folder: _files(spark, folder) for folder in folders}
     writer.option("partitionOverwriteMode", "dynamic").parquet(path)
-    have = {row[0] for row in written.collect()}  # one row per month
-    for gone in set(months) - have:
-        value = "__HIVE_DEFAULT_PARTITION__" if gone is None else gone.isoformat()
-        system, folder = file_system(spark, f"{path}/{month}={value}")
-        system.delete(folder, True)
+    for folder, had in before.items():
+        if had and _files(spark, folder) == had:
+            system, gone = file_system(spark, folder)
+            system.delete(gone, True)
+
+
+def _files(spark: SparkSession, folder: str) -> set[str]:
+    system, found = file_system(spark, folder)
+    if not system.exists(found):
+        return set()
+    return {status.getPath().getName() for status in system.listStatus(found)}
 
 
 def exists(spark: SparkSession, path: str) -> bool:

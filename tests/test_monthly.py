@@ -201,3 +201,21 @@ def test_command_line(spark, tmp_path, capsys):
     main(["load", raw_users, raw_orders, tables, "--months", "2024-02"])
     assert "orders_modeling 2024-02-01" in capsys.readouterr().out
     assert_as_built(spark, people(spark), spark.read.parquet(raw_orders), tables, tmp_path)
+
+
+def test_a_load_reads_each_month_of_the_source_once(spark, tmp_path):
+    path, raw_users = str(tmp_path), people(spark)
+    monthly.load_months(raw_users, orders(spark, *JANUARY, *FEBRUARY, *MARCH), path)
+    seen = spark.sparkContext.accumulator(0)
+    rows = orders(spark, *JANUARY, *FEBRUARY, *MARCH, *FLIPS)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    # April is loaded, and January is written again for the customer whose label changed.
+    source = rows.mapInArrow(count, rows.schema)
+    done = monthly.load_months(raw_users, source, path, [first(4)])
+    assert done["orders_modeling"] == [first(1), first(4)]
+    assert seen.value == 2 * rows.count()  # one pass for what is loaded and one for the rest
