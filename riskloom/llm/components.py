@@ -9,6 +9,12 @@ from riskloom.llm.common import apart
 from riskloom.session import durable
 
 
+def _each(rows: DataFrame, *pairs: tuple[str, str]) -> DataFrame:
+    """(u, v) of each of the pairs of columns; ``rows`` are made once, and not for each of them."""
+    both = [F.struct(F.col(a).alias("u"), F.col(b).alias("v")) for a, b in pairs]
+    return rows.select(F.explode(F.array(*both)).alias("x")).select("x.u", "x.v")
+
+
 def _lowest(edges: DataFrame) -> DataFrame:
     """Each (u, v) with the lowest of u's neighbours, of which there may be very many."""
     lowest = edges.groupBy("u").agg(F.min("v").alias("m"))
@@ -16,16 +22,13 @@ def _lowest(edges: DataFrame) -> DataFrame:
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    met = _lowest(both).where("v > u")
+    met = _lowest(_each(edges, ("u", "v"), ("v", "u"))).where("v > u")
     return met.select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     met = _lowest(edges)  # u > v holds for every edge
-    moved = met.select(F.col("v").alias("u"), F.col("m").alias("v"))
-    kept = met.select("u", F.col("m").alias("v"))
-    return moved.union(kept).where("u > v").distinct()
+    return _each(met, ("v", "m"), ("u", "m")).where("u > v").distinct()
 
 
 def _only_stars(edges: DataFrame) -> bool:
@@ -45,7 +48,7 @@ def components(edges: DataFrame) -> DataFrame:
     later rounds repeat earlier ones. The rounds grow with the logarithm of the longest chain.
     """
     high, low = F.greatest("u", "v"), F.least("u", "v")
-    now = durable(edges.where("u != v").select(high.alias("u"), low.alias("v")).distinct())
+    now = edges.where("u != v").select(high.alias("u"), low.alias("v"))
     while True:
         now = durable(_small_star(_large_star(now)))
         if _only_stars(now):

@@ -309,12 +309,21 @@ class Block:
     def __init__(self, batch: pa.RecordBatch, percent: int):
         column = lambda name: batch.column(batch.schema.get_field_index(name))
         self.sketch, self.size = _sketches(batch), column("n").to_numpy()
+        self.tree = column("tree").to_numpy()
+        # The first values of the trees that the sketch holds, as one number each.
+        values = np.ascontiguousarray(self.sketch[:, : SKETCH // DEPTH * DEPTH])
+        self.starts = values.view(">u8") >> np.uint64(8 * (DEPTH - MIN_DEPTH))
         self.component, self.part = _numbered(column("component")), column("part").to_numpy()
         self.two = column("i").to_numpy() != column("j").to_numpy()
         self.percent = percent
 
-    def candidates(self, start: int, end: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """Each row with its partners and the share of the sketch that agrees; every pair once."""
+    def candidates(
+        self, start: int, end: int, first: bool = False
+    ) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Each row with its partners and the share of the sketch that agrees; every pair once.
+
+        With ``first`` a pair whose sketches show that it also meets in an earlier tree is left to that one,
+        where all rows that share MIN_DEPTH values with another component meet."""
         here = self.component[start:end]
         names, count = np.unique(here, return_counts=True)
         if len(names) == 1:
@@ -329,9 +338,24 @@ class Block:
             if self.two[start]:
                 can &= self.part[b] != self.part[a]
             b = b[can]
-            agree = (sketch[b] == sketch[a]).mean(axis=1)
+            agree = self.agreeing(a, b)
             enough = agree >= SKETCH_AGREES
-            yield a, b[enough], agree[enough]
+            b, agree = b[enough], agree[enough]
+            if first and len(b):
+                later = ~self.met_before(a, b)
+                b, agree = b[later], agree[later]
+            yield a, b, agree
+
+    def agreeing(self, a: int, b: np.ndarray) -> np.ndarray:
+        """The share of the values that sketches have in common; values of eight bytes are added at once."""
+        same = (self.sketch[b] == self.sketch[a]).view(np.uint64).sum(axis=1, dtype=np.uint64)
+        bytes_ = same.view(np.uint8).reshape(-1, 8)
+        return bytes_.sum(axis=1) / self.sketch.shape[1]
+
+    def met_before(self, a: int, b: np.ndarray) -> np.ndarray:
+        """Whether ``a`` shares MIN_DEPTH values of an earlier tree with each of ``b``."""
+        trees = min(int(self.tree[a]), self.starts.shape[1])
+        return (self.starts[b, :trees] == self.starts[a, :trees]).any(axis=1)
 
 
 def likeliest_pairs(rows: DataFrame, percent: int) -> DataFrame:
@@ -352,25 +376,54 @@ def likeliest_pairs(rows: DataFrame, percent: int) -> DataFrame:
     return ordered_pairs(in_blocks(rows, range(MIN_DEPTH, DEPTH + 1)).mapInArrow(run, PAIR))
 
 
+class Bottoms:
+    """The lowest hashes of the sets of one block, numbered in their order."""
+
+    def __init__(self, bottoms: list[bytes], size: np.ndarray, percent: int):
+        values = np.frombuffer(b"".join(bottoms), np.uint32)
+        names, self.values = np.unique(values, return_inverse=True)
+        lengths = np.fromiter(map(len, bottoms), np.int64, len(bottoms)) // 4
+        self.ends = np.cumsum(lengths)
+        self.starts = self.ends - lengths
+        self.mine = np.zeros(len(names), bool)
+        self.whole, self.percent = size <= BOTTOM, percent
+        # Lists of part of a set tell nothing beyond their last hash.
+        self.last = np.where(self.whole, len(names), self.values[self.ends - 1])
+
+    def may_link(self, a: int, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether set ``a`` and each of ``b`` may link, and whether that is certain."""
+        own = self.values[self.starts[a] : self.ends[a]]
+        last = np.minimum(self.last[a], self.last[b])
+        # All hashes up to the last one that both lists would hold.
+        lengths = self.ends[b] - self.starts[b]
+        begins = np.cumsum(lengths) - lengths
+        at = np.arange(lengths.sum()) + np.repeat(self.starts[b] - begins, lengths)
+        values = self.values[at]
+        inside = values <= np.repeat(last, lengths)
+        self.mine[own] = True
+        both = np.add.reduceat((self.mine[values] & inside).astype(np.int64), begins)
+        self.mine[own] = False
+        union = np.searchsorted(own, last, side="right") - both
+        union += np.add.reduceat(inside.astype(np.int64), begins)
+        certain = self.whole[a] & self.whole[b]
+        share = self.percent / 100
+        least = share - DEVIATIONS * (share * (1 - share) / union) ** 0.5
+        return np.where(certain, 100 * both >= self.percent * union, both / union >= least), certain
+
+
 def may_link(a: np.ndarray, b: np.ndarray, n: int, m: int, percent: int) -> tuple[bool, bool]:
-    """Whether sets of ``n`` and ``m`` shingles with these lowest hashes may link, and whether that is certain."""
-    known = n <= BOTTOM and m <= BOTTOM
-    if not known:  # all hashes up to the last one that both lists would hold
-        last = min(x[-1] for x, size in ((a, n), (b, m)) if size > BOTTOM)
-        a, b = a[: np.searchsorted(a, last, side="right")], b[: np.searchsorted(b, last, side="right")]
-    both = len(np.intersect1d(a, b))
-    union = len(a) + len(b) - both
-    if known:
-        return 100 * both >= percent * union, True
-    share = percent / 100
-    return both / union >= share - DEVIATIONS * (share * (1 - share) / union) ** 0.5, False
+    """The same for two sets of ``n`` and ``m`` shingles with these lowest hashes."""
+    two = Bottoms([a.tobytes(), b.tobytes()], np.array([n, m]), percent)
+    links, certain = two.may_link(0, np.array([1]))
+    return bool(links[0]), bool(certain[0])
 
 
 def cross_links(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(u, v): what of all candidates of different components, which share MIN_DEPTH values, may link.
 
-    First only the rows that have a partner are told, then these meet again with the lowest hashes of their
-    sets. Pairs of sets known whole are only returned where they join components within the block.
+    A pair that meets in several trees is compared in the first of those that its sketches show. First only the
+    rows that have a partner are told, then these meet again with the lowest hashes of their sets, a row with all
+    its partners at once. Pairs of sets known whole are only returned where they join components within the block.
     """
     blocks_ = in_blocks(rows, range(MIN_DEPTH, MIN_DEPTH + 1))
 
@@ -378,7 +431,7 @@ def cross_links(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         for batch, bounds in segments(batches, MET):
             block, some = Block(batch, percent), np.zeros(batch.num_rows, bool)
             for start, end in zip(bounds, bounds[1:]):
-                for a, b, _ in block.candidates(start, end):
+                for a, b, _ in block.candidates(start, end, first=True):
                     some[b] = True
                     some[a] |= len(b) > 0
             yield batch.filter(pa.array(some))
@@ -387,7 +440,7 @@ def cross_links(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         for batch, bounds in segments(batches, MET):
             block, left, right = Block(batch, percent), [], []
             column = batch.column(batch.schema.get_field_index("bottom")).to_pylist()
-            bottom = [np.frombuffer(x, np.uint32) for x in column]
+            bottoms = Bottoms(column, block.size, percent)
             for start, end in zip(bounds, bounds[1:]):
                 joined: dict[int, int] = {}
 
@@ -396,19 +449,23 @@ def cross_links(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                         x = joined[x]
                     return x
 
-                for a, partners, agree in block.candidates(start, end):
-                    for b in partners[np.argsort(-agree, kind="stable")].tolist():
+                for a, partners, agree in block.candidates(start, end, first=True):
+                    one = root(int(block.component[a]))
+                    apart_ = [root(x) != one for x in block.component[partners].tolist()]
+                    partners, agree = partners[apart_], agree[apart_]
+                    if not len(partners):
+                        continue
+                    links, certain = bottoms.may_link(a, partners)
+                    order = np.argsort(-agree, kind="stable")
+                    order = order[links[order]]
+                    for b, sure in zip(partners[order].tolist(), certain[order].tolist()):
                         one, two = root(int(block.component[a])), root(int(block.component[b]))
                         if one == two:
                             continue
-                        links, certain = may_link(
-                            bottom[a], bottom[b], block.size[a], block.size[b], percent
-                        )
-                        if links:
-                            left.append(a)
-                            right.append(b)
-                            if certain:
-                                joined[max(one, two)] = min(one, two)
+                        left.append(a)
+                        right.append(b)
+                        if sure:
+                            joined[max(one, two)] = min(one, two)
             if left:
                 yield _pairs(batch, np.array(left), np.array(right))
 
