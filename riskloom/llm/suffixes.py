@@ -20,6 +20,9 @@ import numpy as np
 
 _MASKS = np.array([0, *(((1 << 64) - 1) ^ ((1 << (64 - 8 * k)) - 1) for k in range(1, 9))], np.uint64)
 
+# Places after each one that are compared with it before any pointer is followed.
+NEAR = 16
+
 
 class Block:
     """Strings side by side: ``text`` is their bytes plus one, each followed by a zero."""
@@ -38,30 +41,59 @@ class Block:
         self.packed = np.r_[packed, np.zeros(8, np.uint64)]
 
     def next_smaller(self) -> np.ndarray:
-        """For each place the next one in its string, or its end, with a smaller suffix."""
+        """For each place the next one in its string, or its end, with a smaller suffix.
+
+        Of most places it is among the next NEAR ones, which all places look at together as long as eight bytes
+        decide. The others follow pointers from the right, first that of the smallest suffix they have passed. In
+        periodic text, places that are equal for long compare like those as far apart behind them."""
         packed = self.packed
         found = np.arange(1, self.size + 1)
-        by_length = np.argsort(-self.lengths, kind="stable")
-        ends = (self.starts + self.lengths)[by_length]
-        longest_first = -self.lengths[by_length]
-        for back in range(1, int(self.lengths.max(initial=0)) + 1):
-            at = ends[: np.searchsorted(longest_first, -back, side="right")] - back
-            to = at + 1
-            open_ = np.arange(len(at))
-            while len(open_):
-                i, j = at[open_], to[open_]
-                a, b = packed[i], packed[j]
+        left = np.flatnonzero(self.text[: self.size])
+        own, low_at = packed[left], left + 1
+        low = packed[low_at]
+        equal = []
+        for step in range(1, NEAR + 1):
+            value = packed[left + step]
+            smaller = left[value < own]
+            found[smaller] = smaller + step
+            equal.append(left[value == own])
+            on = value > own
+            left, own, low, low_at, value = left[on], own[on], low[on], low_at[on], value[on]
+            less = value < low
+            low[less], low_at[less] = value[less], left[less] + step
+        tied = np.concatenate(equal)
+        places, via = np.r_[left, tied], np.r_[low_at, tied + 1]
+        passed = np.arange(len(places)) < len(left)
+        ends = self.starts + self.lengths
+        back = ends[np.searchsorted(ends, places)] - places
+        order = np.argsort(back, kind="stable")
+        places, via, passed, back = places[order], via[order], passed[order], back[order]
+        # Of places that were equal to another one for eight bytes: how far off that was, and the result.
+        apart, result = np.zeros(self.size + 16, np.int64), np.zeros(self.size + 16, bool)
+        ahead = np.arange(1, 9)
+        bounds = [*np.flatnonzero(np.r_[True, back[1:] != back[:-1]][: len(back)]).tolist(), len(back)]
+        for start, stop in zip(bounds, bounds[1:]):
+            i, j = places[start:stop], via[start:stop]
+            j = np.where(passed[start:stop], found[j], j)
+            mine = packed[i]
+            while len(i):
+                a, b = mine, packed[j]
                 greater = b > a
-                same = np.flatnonzero(a == b)
-                step = 8
+                tie = same = np.flatnonzero(a == b)
+                gap, step = j - i, 8
                 while len(same):  # equal so far: the strings differ before either ends
+                    behind = i[same, None] + (step - 8) + ahead
+                    hit = apart[behind] == gap[same, None]
+                    known = hit.any(axis=1)
+                    greater[same[known]] = result[behind[known, hit[known].argmax(axis=1)]]
+                    same = same[~known]
                     a, b = packed[i[same] + step], packed[j[same] + step]
                     greater[same] = b > a
                     same = same[a == b]
                     step += 8
-                open_ = open_[greater]
-                to[open_] = found[to[open_]]
-            found[at] = to
+                apart[i[tie]], result[i[tie]] = gap[tie], greater[tie]
+                found[i[~greater]] = j[~greater]
+                i, mine, j = i[greater], mine[greater], found[j[greater]]
         return found
 
     def words(self, group: np.ndarray, after: np.ndarray, places: np.ndarray):

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from riskloom.llm import substrings
+from riskloom.llm import substrings, suffixes
 from riskloom.llm.queries import QUERIES
 from riskloom.llm.suffixes import Block
 
@@ -163,3 +163,18 @@ def test_any_batches(seed, monkeypatch):
         sizes.append(draw.randint(1, min(left, 4)))
         left -= sizes[-1]
     assert sorted_rows(rows, sizes) == want
+
+
+def test_next_smaller_suffix():
+    """Near and far next smaller suffixes, and those that many equal bytes put off."""
+    draw = random.Random(8)
+    strings = [b"a" * 40, b"ab" * 60 + b"a", b"a" + b"zyxwvutsrqponmlkjihgfedcb" * 3, b"", b"q"]
+    strings += [bytes(draw.choices(b"abc", k=draw.randint(1, 90))) for _ in range(40)]
+    strings += [bytes(range(65, 115)), b"".join(bytes([65 + k]) * 20 for k in range(4))]
+    block = suffixes.Block(strings)
+    assert suffixes.NEAR < 40
+    found = block.next_smaller()
+    for first, text in zip(block.starts.tolist(), strings):
+        for i in range(len(text)):
+            after = (j for j in range(i + 1, len(text)) if text[j:] < text[i:])
+            assert found[first + i] == first + next(after, len(text))
