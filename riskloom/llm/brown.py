@@ -23,7 +23,7 @@ texts every count is zero; an empty table gives an empty result. Only the id and
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -120,11 +120,32 @@ class Lexicon:
     symbols: np.ndarray
     end: int
     other: int  # the symbol of all words that are not listed
+    _starts: np.ndarray | None = field(default=None, init=False, repr=False, compare=False)
+
+    def places(self, words: np.ndarray) -> np.ndarray:
+        """Where each hash stands in the list, or would stand.
+
+        Hashes are spread evenly, so the first bits of one lead to a few listed words. This table is made by
+        each task for itself."""
+        if self._starts is None:
+            self._shift = np.uint64(63 - len(self.words).bit_length())
+            sizes = np.bincount((self.words >> self._shift).astype(np.int64), minlength=1 << int(64 - self._shift))
+            self._starts = np.r_[0, np.cumsum(sizes)]
+            self._ended = np.r_[self.words, np.uint64((1 << 64) - 1)]
+        at = self._starts[words >> self._shift]
+        behind = np.flatnonzero(self._ended[at] < words)
+        while len(behind):
+            at[behind] += 1
+            behind = behind[self._ended[at[behind]] < words[behind]]
+        return at
+
+    def __getstate__(self) -> dict:
+        return {**self.__dict__, "_starts": None, "_ended": None}
 
     def look_up(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Counts, zero if not listed, and symbols of word hashes."""
         if len(self.words):
-            at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
+            at = np.minimum(self.places(words), len(self.words) - 1)
             hit = self.words[at] == words
             counts = np.where(hit, self.counts[at], 0)
             symbols = np.where(hit, self.symbols[at], self.other)
@@ -336,6 +357,18 @@ def fitted(joint: np.ndarray, size: np.ndarray, mass: np.ndarray, lexicon: Lexic
     return Model(lexicon, np.log10(np.where(smooth > 0, smooth, 1)), weight)
 
 
+def sorted_pairs(pair: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs and their texts by text, then by pair; where both fit into 64 bits they are sorted as one number."""
+    before, cls = pair >> 32, pair & 0xFFFFFFFF
+    wide, texts = (int(x.max(initial=0)).bit_length() for x in (np.maximum(before, cls), text))
+    if 2 * wide + texts > 63:
+        order = np.lexsort((pair, text))
+        return pair[order], text[order]
+    key = np.sort((text << wide | before) << wide | cls)
+    low = (1 << wide) - 1
+    return (key >> wide & low) << 32 | key & low, key >> 2 * wide
+
+
 def text_rows(docs: DataFrame, lexicon: Lexicon, ends: int) -> DataFrame:
     """One row per text: its class pairs with their numbers, sums over held words, and its other words.
 
@@ -362,9 +395,8 @@ def text_rows(docs: DataFrame, lexicon: Lexicon, ends: int) -> DataFrame:
                 cls[order] = OPEN + which - open_bounds[here[order]]
                 before = np.r_[lexicon.end, cls[:-1]]
                 pair = before << 32 | cls
-                by_pair = np.lexsort((pair, here))
+                p, h = sorted_pairs(pair, here)
                 differs = np.ones(len(pair), bool)
-                p, h = pair[by_pair], here[by_pair]
                 differs[1:] = (p[1:] != p[:-1]) | (h[1:] != h[:-1])
                 runs = np.flatnonzero(differs)
                 pair_bounds = np.searchsorted(h[runs], np.arange(n + 1))

@@ -129,6 +129,7 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BYTE = mix64(np.arange(1, 257, dtype=np.uint64) * _P)
+_LOWER_BYTE = _BYTE[_LOWER]
 
 
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -140,14 +141,18 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     joined = b" ".join(texts) + b" "
     raw = np.frombuffer(joined, np.uint8)
     space = _SPACE[raw]
-    word = ~space
-    starts = np.flatnonzero(word & np.r_[True, space[:-1]])
-    ends = np.flatnonzero(space & np.r_[False, word[:-1]])
+    # Words and spaces take turns, and the last byte is a space.
+    turns = np.flatnonzero(space[1:] != space[:-1]) + 1
+    if not space[0]:
+        turns = np.r_[0, turns]
+    starts, ends = turns[::2], turns[1::2]
     # Horner sums from the left need powers; each word's sum is rescaled by the inverse power.
     n = len(raw)
     powers = _powers(n)
     sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTE[_LOWER[raw]] * powers[0][:n], out=sums[1:])
+    value = _LOWER_BYTE[raw]
+    value *= powers[0][:n]
+    np.cumsum(value, out=sums[1:])
     value = (sums[ends] - sums[starts]) * powers[1][starts]
     value = mix64(value + (ends - starts).astype(np.uint64) * _P)
     lengths = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 import random
 import re
 import zlib
@@ -211,3 +212,30 @@ def test_edges(spark):
         spark.createDataFrame([(held[0], "a b", 1, ""), (held[1], None, 1, "")], docs.schema)
     )
     compare(brown.score(only).collect(), [(held[0], "a b"), (held[1], None)])
+
+
+@pytest.mark.parametrize("listed", [1, 2, 3, 1000])
+def test_places_of_listed_words(listed):
+    """The table by first bits finds what a binary search does, for the least and greatest hashes too."""
+    draw = np.random.default_rng(listed)
+    edges = np.array([0, 1, (1 << 63) - 1, 1 << 63, (1 << 64) - 2, (1 << 64) - 1], np.uint64)
+    words = np.unique(draw.integers(0, 1 << 64, listed, dtype=np.uint64))
+    if listed > 3:
+        words = np.unique(np.r_[words, edges])
+    lexicon = brown.Lexicon(words, np.arange(1, len(words) + 1), np.arange(len(words)), 5000, 5001)
+    asked = np.r_[edges, words, words + np.uint64(1), draw.integers(0, 1 << 64, 500, dtype=np.uint64)]
+    assert np.array_equal(lexicon.places(asked), np.searchsorted(words, asked))
+    again = pickle.loads(pickle.dumps(lexicon))
+    assert again._starts is None
+    assert all(np.array_equal(x, y) for x, y in zip(again.look_up(asked), lexicon.look_up(asked)))
+
+
+@pytest.mark.parametrize("most", [1 << 6, 1 << 21, 1 << 31])
+def test_sorted_pairs(most):
+    """Pairs of texts as one number, and where they are too wide for it."""
+    draw = np.random.default_rng(4)
+    text = draw.integers(0, 30, 4000)
+    pair = draw.integers(0, most, 4000) << 32 | draw.integers(0, most, 4000)
+    order = np.lexsort((pair, text))
+    p, h = brown.sorted_pairs(pair, text)
+    assert np.array_equal(p, pair[order]) and np.array_equal(h, text[order])
