@@ -46,6 +46,8 @@ HELD = 500_000
 COUNTED_AT_ONCE = 2_000_000
 # Counts a class pair is smoothed with, spread like the classes themselves.
 PAIR_PRIOR = 20.0
+# Words whose gains in all classes are found at once.
+WORDS_AT_ONCE = 256
 # The end of a text among the hashes of words.
 END = np.uint64(0x0E0D0E0D0E0D0E0D)
 # Words of a text that are not held get the numbers from here on, in place of a class.
@@ -301,6 +303,31 @@ def neighbours(train: DataFrame, classed: Lexicon, k: int) -> DataFrame:
     return found.groupBy("word", "place").agg(F.sum("n").alias("n"))
 
 
+def best_classes(joint: np.ndarray, table: np.ndarray, classes: int) -> np.ndarray:
+    """Of the first ``classes`` that of the largest of :func:`gains` for each row of ``table``: how often
+    words of each class follow a word, and then how often they stand before it."""
+    k = len(joint)
+    sides = np.r_[joint.T, joint][:, :classes]
+    side_logs = _xlogx(sides)
+    cell, rows, columns = np.diag(joint)[:classes], joint.sum(axis=1)[:classes], joint.sum(axis=0)[:classes]
+    best = np.zeros(len(table), np.int32)
+    for a in range(0, len(table), WORDS_AT_ONCE):
+        part = table[a : a + WORDS_AT_ONCE]
+        of, place = np.nonzero(part)
+        gain = np.zeros((len(part), classes))
+        if len(of):
+            first = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+            terms = _xlogx(sides[place] + part[of, place][:, None]) - side_logs[place]
+            gain[of[first]] = np.add.reduceat(terms, first, axis=0)
+        right, left = part[:, :classes], part[:, k : k + classes]
+        gain -= _xlogx(cell + right) + _xlogx(cell + left) - 2 * _xlogx(cell)
+        gain += _xlogx(cell + right + left) - _xlogx(cell)
+        gain -= _xlogx(rows + part[:, :k].sum(axis=1, keepdims=True)) - _xlogx(rows)
+        gain -= _xlogx(columns + part[:, k:].sum(axis=1, keepdims=True)) - _xlogx(columns)
+        best[a : a + WORDS_AT_ONCE] = gain.argmax(axis=1)
+    return best
+
+
 def joined_classes(contexts: DataFrame, joint: np.ndarray, classes: int) -> DataFrame:
     """(word, cls): the class among the first ``classes`` where each word adds most to the likelihood.
 
@@ -316,9 +343,7 @@ def joined_classes(contexts: DataFrame, joint: np.ndarray, classes: int) -> Data
             table = np.zeros((batch.num_rows, 2 * k))
             of = np.repeat(np.arange(batch.num_rows), sizes)
             table[of, entries.field("place").to_numpy()] = entries.field("n").to_numpy()
-            best = np.zeros(batch.num_rows, np.int32)
-            for i, counts in enumerate(table):
-                best[i] = np.argmax(gains(joint, counts[:k], counts[k:], 0.0)[:classes])
+            best = best_classes(joint, table, classes)
             yield pa.RecordBatch.from_pydict({"word": batch.column(0), "cls": best})
 
     # A word has at most 2 k entries.

@@ -239,3 +239,14 @@ def test_sorted_pairs(most):
     order = np.lexsort((pair, text))
     p, h = brown.sorted_pairs(pair, text)
     assert np.array_equal(p, pair[order]) and np.array_equal(h, text[order])
+
+
+def test_classes_of_many_words():
+    """Gains of many words at once choose what those of each word do."""
+    draw = np.random.default_rng(6)
+    k = 12
+    joint = draw.integers(0, 400, (k, k)) * (draw.random((k, k)) < 0.7).astype(float)
+    table = draw.integers(1, 9, (600, 2 * k)) * (draw.random((600, 2 * k)) < 0.2).astype(float)
+    table[5] = 0
+    each = [np.argmax(brown.gains(joint, x[:k], x[k:], 0.0)[: k - 2]) for x in table]
+    assert np.array_equal(brown.best_classes(joint, table, k - 2), each)
